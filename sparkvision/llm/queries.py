@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, packing, suffix_dedup, window_dedup
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_super_k_mers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -22,5 +26,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op8_bpe_forced_boundaries, op9_best_fit_packing)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_super_k_mers, op8_bpe_forced_boundaries, op9_best_fit_packing, op10_suffix_array_dedup)}
 SQL: dict[str, str] = {}
