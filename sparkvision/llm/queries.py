@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, suffix_dedup, window_dedup
+from ..sources.package import shipped
+from . import bpe, ngram_join, packing, suffix_dedup, window_dedup
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op4_super_k_mers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +35,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_super_k_mers, op8_bpe_forced_boundaries, op9_best_fit_packing, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_super_k_mers, op8_bpe_forced_boundaries, op9_best_fit_packing, op10_suffix_array_dedup)}
 SQL: dict[str, str] = {}
