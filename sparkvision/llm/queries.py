@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.package import shipped
-from . import bpe, ngram_join, packing, suffix_dedup, window_dedup
+from . import bpe, fingerprints, ngram_join, packing, quality_rules, suffix_dedup, window_dedup
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -19,10 +19,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
 def op4_super_k_mers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"))
 
 
+def op6_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -35,5 +43,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_super_k_mers, op8_bpe_forced_boundaries, op9_best_fit_packing, op10_suffix_array_dedup)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_super_k_mers, op6_threshold_sketch, op8_bpe_forced_boundaries, op9_best_fit_packing, op10_suffix_array_dedup)}
+SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
