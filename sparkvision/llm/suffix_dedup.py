@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .superwindows import Received, Shape, found_spans, keyed, union
-from .text import U, column, spread
+from .superwindows import Received, Shape, found_spans, keyed, union, unpacked, with_spans
+from .text import U, spread
 
 #: Bytes of a shard.
 SHARD = 2 << 20
@@ -193,7 +193,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 400, id_col: str = "doc
     own = keyed(docs, id_col, text_col)
     shape = Shape(False, window, max(1, min(32, window // 8)))
     spans = found_spans(own, shape, every, lambda r: judged(r, window))
-    joined = own.join(spans, ["doc", "mark"], "left").select("id", "text", "spans")
+    joined = with_spans(own, spans)
     return joined.mapInArrow(lambda batches: cut_out(batches, with_text, id_col), result_schema(docs, id_col, with_text))
 
 
@@ -207,7 +207,7 @@ def cut_out(batches, with_text: bool, id_col: str):
     """(id, text, spans) to the columns of result_schema."""
     for b in batches:
         sizes, gone, number, sums, kept, where = [], [], [], [], [], []
-        for text, found in zip(column(b, "text"), b.column(2).to_pylist(), strict=True):
+        for text, found in zip(unpacked(b), b.column(2).to_pylist(), strict=True):
             ranges = union(found, len(text))
             at, left = 0, []
             for lo, hi in ranges:

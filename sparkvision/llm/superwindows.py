@@ -19,17 +19,20 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import for_bytes, written
 from .text import U, WORD_BASE, Chunk, chunks, mix, powers, spread, window_minimum
 
 SHARE = 1 << 16
 #: Bytes of stretches that a task takes in.
-TASK_BYTES = 40 << 20
+TASK_BYTES = 24 << 20
 SPANS = "p int, blob binary, doc long, mark long, lo long, hi long"
 #: Stands for a null document id; sorts before all others.
 NO_ID = -(1 << 63)
-HEADER = (("minimum", U), ("doc", np.int64), ("mark", np.int64), ("start", np.int64), ("windows", np.int64), ("size", np.int64), ("recurs", np.bool_))
+#: Columns of a blob as they travel; ids as differences from row to row. 32 bits of the minimiser group the stretches of a
+#: partition: a chance meeting of two minimisers costs a comparison and changes no result.
+HEADER = (("minimum", np.uint32), ("doc", np.int64), ("mark", np.uint16), ("start", np.uint32), ("windows", np.uint32), ("size", np.uint32), ("recurs", np.bool_))
 _up: list[np.ndarray] = []
 
 
@@ -122,7 +125,7 @@ def spans_batch(doc, mark, lo, hi, p) -> pa.RecordBatch:
 
 def send(batches, shape: Shape, hot: np.ndarray, partitions: int, local: Callable) -> Iterator[pa.RecordBatch]:
     """Blobs of different stretches by partition, and the spans that `local` finds among a chunk's equal stretches."""
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3)
     for rows, texts in chunks(batches, "text"):
         c = Chunk(texts)
         least, text, unit, windows, recurs = stretches(c, shape, hot)
@@ -152,12 +155,14 @@ def send(batches, shape: Shape, hot: np.ndarray, partitions: int, local: Callabl
             a, b = c.start[unit[go]], c.stop[unit[go] + units[go] - 1]
         else:
             a, b = unit[go], unit[go] + units[go]
-        cols = {"minimum": least, "doc": doc, "mark": mark, "start": start, "windows": windows, "recurs": recurs}
+        cols = {"minimum": mix(least) & U(0xFFFFFFFF), "doc": doc, "mark": mark, "start": start, "windows": windows, "recurs": recurs}
         edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
         blobs = []
         for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             body = b"".join([c.raw[x:y] for x, y in zip(a[i:j].tolist(), b[i:j].tolist(), strict=True)])
-            head = b"".join((b[i:j] - a[i:j] if name == "size" else cols[name][go[i:j]]).astype(kind).tobytes() for name, kind in HEADER)
+            own = {name: b[i:j] - a[i:j] if name == "size" else cols[name][go[i:j]] for name, _ in HEADER}
+            own["doc"] = np.diff(own["doc"], prepend=0)
+            head = b"".join(own[name].astype(kind).tobytes() for name, kind in HEADER)
             blobs.append(pack.compress((j - i).to_bytes(8, "little") + head + body))
         n, none = len(blobs), pa.nulls(len(blobs), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary()), none, none, none, none], names=["p", "blob", "doc", "mark", "lo", "hi"])
@@ -175,18 +180,19 @@ class Received:
             for name, kind in HEADER:
                 cols[name].append(np.frombuffer(raw, kind, n, at))
                 at += n * np.dtype(kind).itemsize
-            size = cols["size"][-1]
+            cols["doc"][-1] = np.cumsum(cols["doc"][-1])
+            size = cols["size"][-1].astype(np.int64)
             offset.append(base + np.cumsum(size) - size)
             bodies.append(raw[at:])
             base += len(raw) - at
-        joined = {name: np.concatenate(v) for name, v in cols.items()}
+        joined = {name: np.concatenate(v).astype(np.uint32 if name == "minimum" else np.int64) for name, v in cols.items()}
         offset = np.concatenate(offset)
         order = np.argsort(joined["minimum"], kind="stable")
         m = joined["minimum"][order]
         edge = np.append(True, m[1:] != m[:-1])
         number = np.bincount(np.cumsum(edge) - 1)
         often = np.repeat(number, number) > 1
-        often |= joined["recurs"][order]
+        often |= joined["recurs"][order] > 0
         order = order[often]
         self.__dict__ |= {name: v[order] for name, v in joined.items()}
         self.offset, self.body = offset[order], b"".join(bodies)
@@ -194,6 +200,24 @@ class Received:
     def texts(self, i: int, j: int) -> list[bytes]:
         return [self.body[a : a + n] for a, n in zip(self.offset[i:j].tolist(), self.size[i:j].tolist(), strict=True)]
 
+    def merged(self, window: int) -> tuple[np.ndarray, ...]:
+        """Keeps one of each set of equal stretches, and of these only those that can still meet another; the spans
+        (doc, mark, lo, hi) of all that had an equal."""
+        number: dict[tuple[int, bytes], int] = {}
+        key = np.fromiter((number.setdefault((m, t), len(number)) for m, t in zip(self.minimum.tolist(), self.texts(0, len(self.minimum)), strict=True)), np.int64, len(self.minimum))
+        times = np.bincount(key, minlength=len(number))
+        some = np.flatnonzero(times[key] > 1)
+        out = self.doc[some], self.mark[some], self.start[some], self.start[some] + self.windows[some] + window - 1
+        _, first = np.unique(key, return_index=True)
+        first = np.sort(first)
+        m = self.minimum[first]
+        edge = np.append(True, m[1:] != m[:-1])[: len(m)]
+        alone = np.bincount(np.cumsum(edge) - 1)
+        keep = first[(np.repeat(alone, alone) > 1) | (self.recurs[first] > 0)]
+        for name in (*(x for x, _ in HEADER), "offset"):
+            setattr(self, name, getattr(self, name)[keep])
+        return out
+
     def slices(self, limit: int) -> Iterator[tuple[int, int, bool]]:
         """Ranges of whole minimisers of about `limit` bytes; a minimiser beyond it comes alone (True)."""
         n = len(self.minimum)
@@ -244,6 +268,22 @@ def union(spans: list[dict], n: int) -> list[tuple[int, int]]:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, and (doc, mark): the id as a long with null as the least, and a hash of the text, so that rows with one
-    id but different texts stay apart."""
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", "text", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("mark"))
+    """id, text, and (doc, mark): the id as a long with null as the least, and 16 bits of a hash of the text, so that rows
+    with one id but different texts stay apart."""
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", "text", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).alias("mark"))
+
+
+def with_spans(own: DataFrame, spans: DataFrame) -> DataFrame:
+    """(id, packed text, spans) of every document; texts are compressed for the way."""
+    schema = T.StructType([own.schema["id"], T.StructField("packed", T.BinaryType()), T.StructField("doc", T.LongType()), T.StructField("mark", T.LongType())])
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1)
+        for rows, texts in chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([pack.compress(t) for t in texts], pa.binary()), rows.column(2), rows.column(3)], names=schema.names)
+
+    return own.mapInArrow(run, schema).join(spans, ["doc", "mark"], "left").select("id", "packed", "spans")
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
+    return map(zstandard.decompress, batch.column(1).to_pylist())

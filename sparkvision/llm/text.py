@@ -15,7 +15,7 @@ BASE = U(0x9E3779B97F4A7C15)
 BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 WORD_BASE = U(0xD1342543DE82EF95)
 #: Bytes that are handled at once; a longer single text is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

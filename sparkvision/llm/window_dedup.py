@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .superwindows import Received, Shape, found_spans, keyed, union, word_powers
-from .text import SPACE, U, Chunk, column, mix, spread
+from .superwindows import Received, Shape, found_spans, keyed, union, unpacked, with_spans, word_powers
+from .text import SPACE, U, Chunk, mix, spread
 
 SLICE = 4 << 20
 
@@ -67,9 +67,9 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "do
     """Per row: id_col, n_words, n_removed, kept_sha256 (of the kept words joined by a space); `with_text` adds that text
     as `kept` and the removed ranges of words as `spans`."""
     own = keyed(docs, id_col, text_col)
-    shape = Shape(True, window, max(1, window // 4))
+    shape = Shape(True, window, max(1, window // 8))
     spans = found_spans(own, shape, later, lambda r: judged(r, window))
-    joined = own.join(spans, ["doc", "mark"], "left").select("id", "text", "spans")
+    joined = with_spans(own, spans)
     pair = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.StringType()), T.StructField("spans", pair)] if with_text else [])])
     blanks = bytes(np.flatnonzero(SPACE).tolist())
@@ -78,7 +78,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "do
     def apply(batches):
         for b in batches:
             sizes, gone, sums, kept, where = [], [], [], [], []
-            for text, found in zip(column(b, "text"), b.column(2).to_pylist(), strict=True):
+            for text, found in zip(unpacked(b), b.column(2).to_pylist(), strict=True):
                 words = text.translate(table).split()
                 ranges = union(found, len(words))
                 left, at = [], 0
