@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.package import shipped
-from . import bpe, fingerprints, ngram_join, packing, quality_rules, suffix_dedup, window_dedup
+from . import bpe, fingerprints, language, ngram_join, packing, quality_model, quality_rules, suffix_dedup, toxicity, window_dedup
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,14 +23,26 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_super_k_mers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -43,5 +55,19 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_super_k_mers, op6_threshold_sketch, op8_bpe_forced_boundaries, op9_best_fit_packing, op10_suffix_array_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_quality_rules,
+        op3_toxicity,
+        op4_super_k_mers,
+        op5_language_id,
+        op6_threshold_sketch,
+        op7_quality_classifier,
+        op8_bpe_forced_boundaries,
+        op9_best_fit_packing,
+        op10_suffix_array_dedup,
+    )
+}
 SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
