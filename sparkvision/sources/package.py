@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch; Spark's default of 10000 long texts would be hundreds of megabytes at once.
+RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -17,4 +19,6 @@ def shipped(spark: SparkSession) -> SparkSession:
     known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [known, ROOT]))
+    if spark.conf.get(RECORDS) == "10000":
+        spark.conf.set(RECORDS, "1000")
     return spark
