@@ -1,27 +1,74 @@
-"""From raw documents to packed training sequences, in stages of which each is an operator of sparkvision.llm."""
+"""From raw documents to packed training sequences, in stages of which each is an operator of sparkvision.llm.
+
+Every stage but the last returns the columns of `documents` and works on all that its predecessor kept. Null and empty
+texts go in the first stage, as they have no language. Equal rows are copies of each other, of which one stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkvision.llm import packing
-from sparkvision.llm.queries import WORD_BPE
+from sparkvision.llm import language, ngram_join, packing, quality_model, suffix_dedup
+from sparkvision.llm.queries import WORD_BPE, table
 from sparkvision.llm.scratch import written
+from sparkvision.sources.package import shipped
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Below these a document is rejected.
+LEAST_LANGUAGE_SCORE, LEAST_QUALITY = 0.25, 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language, or hardly like any, go."""
+    shipped(spark)
+    told = language.identify(docs, keep=COLUMNS)
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(COLUMNS)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are more likely bad than good go."""
+    shipped(spark)
+    scored = quality_model.scored(docs, table(spark, sf_dir, "labels"), keep=COLUMNS)
+    return scored.where(F.col("score") >= LEAST_QUALITY).select(COLUMNS)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id stays."""
+    shipped(spark)
+    first = ngram_join.classes(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("first_id")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    return kept.withColumn("_mark", F.xxhash64("text")).dropDuplicates(["doc_id", "_mark"]).select(COLUMNS)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long strings that occur more than once are cut out of the texts."""
+    shipped(spark)
+    cut = suffix_dedup.remove_repeated_bytes(docs, with_text=True, keep=["lang", "source"])
+    n = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+    return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", n.alias("n_chars"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, WORD_BPE)
+    shipped(spark)
+    return packing.pack(docs.select(COLUMNS), WORD_BPE)
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("language ID", language_id),
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("best-fit packing", best_fit_packing),
+]
 
 #: Learned models and suffix arrays cannot be written in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"stage{i}")

@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 
 from .quality_rules import SYMBOL, WINDOW, by_doc, covered, twice
 from .samples import held_out, label_sample
-from .scratch import written
 from .superwindows import word_powers
 from .text import Chunk, U, chunks, mix, powers
 
@@ -158,27 +157,29 @@ class Model:
         return 1 / (1 + np.exp(-f))
 
 
-def scored(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.7, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> DataFrame:
-    """Per row: id_col, held_out, score, predicted."""
-    own = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("id"), held_out(id_col, folds, fold).alias("held_out"))
-    row = T.StructType([own.schema["id"], own.schema["held_out"], T.StructField("x", T.BinaryType())])
+def fit(docs: DataFrame, labels: DataFrame, folds: int, fold: int, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Model:
+    some = label_sample(labels, label, id_col, folds, fold, sample)
+    # at most `sample` ids, so they may be sent to all tasks, and the joined rows to the driver
+    own = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("id")).join(F.broadcast(some), F.col("id") == F.col("sample_id")).select("_text", "label")
 
     def measure(batches):
         for rows, texts in chunks(batches, "_text"):
-            x = features(texts)
-            yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), pa.array([v.tobytes() for v in x], pa.binary())], names=row.names)
+            yield pa.RecordBatch.from_arrays([rows.column(1), pa.array([v.tobytes() for v in features(texts)], pa.binary())], names=["label", "x"])
 
-    rows = written(own.mapInArrow(measure, row), "features")
-    some = label_sample(labels, label, id_col, folds, fold, sample)
-    # at most `sample` ids, so their rows may be sent to all tasks, and the joined rows to the driver
-    found = sorted((r.label, bytes(r.x)) for r in rows.join(F.broadcast(some), F.col("id") == F.col("sample_id")).select("label", "x").limit(2 * sample).collect())
+    found = sorted((r.label, bytes(r.x)) for r in own.mapInArrow(measure, "label int, x binary").limit(2 * sample).collect())
     x = np.array([np.frombuffer(r[1]) for r in found]).reshape(-1, len(FEATURES))
-    sent = docs.sparkSession.sparkContext.broadcast(Model(x, np.array([float(r[0] > 0) for r in found])))
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return Model(x, np.array([float(r[0] > 0) for r in found]))
+
+
+def scored(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.7, sample: int = SAMPLE, keep: list[str] = (), id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> DataFrame:
+    """Per row: id_col, the columns of `keep`, held_out, score, predicted."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, fold, sample, id_col, text_col, label))
+    own = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *[F.col(c) for c in keep if c != id_col], held_out(id_col, folds, fold).alias("held_out"))
+    schema = T.StructType([*own.schema.fields[1:], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def score(batches):
-        for b in batches:
-            s = sent.value.scores(np.frombuffer(b"".join(b.column(2).to_pylist())).reshape(-1, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array(s >= threshold).cast(pa.int32())], names=schema.names)
+        for rows, texts in chunks(batches, "_text"):
+            s = sent.value.scores(features(texts))
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(s), pa.array(s >= threshold).cast(pa.int32())], names=schema.names)
 
-    return rows.mapInArrow(score, schema)
+    return own.mapInArrow(score, schema)
