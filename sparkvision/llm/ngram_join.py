@@ -71,7 +71,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
     """(doc, sid, n, sketch): the set's name, its size, and the least hash (32 bits, 0 for none) of each of 64 parts."""
 
     def run(batches):
-        for rows, texts in chunks(batches, "text"):
+        for rows, texts in chunks(batches, "text", 1 << 20):
             h, d = distinct_shingles(Chunk(texts), k)
             n = np.bincount(d, minlength=len(texts))
             first = np.cumsum(n) - n

@@ -25,7 +25,7 @@ from .superwindows import Received, Shape, found_spans, keyed, union, unpacked,
 from .text import U, spread
 
 #: Bytes of a shard.
-SHARD = 2 << 20
+SHARD = 1 << 20
 SYMBOLS = 7
 
 
@@ -57,7 +57,7 @@ class Shard:
         rank[n] = 0
         rank[self.sa] = np.maximum.accumulate(np.where(edge, np.arange(n), 0)) + 1
         slots = np.flatnonzero(~edge | ~np.append(edge[1:], True))
-        h = SYMBOLS
+        h, self.levels = SYMBOLS, [(SYMBOLS, rank.astype(np.int32))]
         while h < window and len(slots):
             at = self.sa[slots]
             step = min(h, window - h)
@@ -69,9 +69,9 @@ class Shard:
             self.sa[slots] = at
             edge = np.append(True, key[1:] != key[:-1])
             rank[at] = np.maximum.accumulate(np.where(edge, slots, 0)) + 1
-            open_ = ~edge | ~np.append(edge[1:], True)
-            slots = slots[open_]
+            slots = slots[~edge | ~np.append(edge[1:], True)]
             h += step
+            self.levels.append((h, rank.astype(np.int32)))
         self.rank = rank
 
     def common_prefixes(self) -> np.ndarray:
@@ -79,29 +79,30 @@ class Shard:
         n = len(self.buf)
         before = np.full(n, -1)
         before[self.sa[1:]] = self.sa[:-1]
-        out = np.zeros(n, np.int64)
-        i = np.arange(1, n)
-        follows = np.zeros(n, bool)
-        b = before[i - 1]
-        follows[1:] = (b >= 0) & (before[1:] == b + 1) & (self.buf[i - 1] == self.buf[np.maximum(b, 0)])
+        b = before[:-1]
         b1 = np.maximum(b, 0)
-        follows[1:] &= (self.end[i] == self.end[i - 1]) & (self.end[np.minimum(b1 + 1, n - 1)] == self.end[b1])
+        follows = np.zeros(n, bool)
+        follows[1:] = (b >= 0) & (before[1:] == b + 1) & (self.buf[:-1] == self.buf[b1]) & (self.end[1:] == self.end[:-1])
+        follows[1:] &= self.end[np.minimum(b1 + 1, n - 1)] == self.end[b1]
         a = np.flatnonzero(~follows & (before >= 0))
         b, length = before[a], np.zeros(len(a), np.int64)
         most = np.minimum(self.end[a] - a, self.end[b] - b)
-        live = np.flatnonzero(most > 0)
-        while len(live):
-            x, y = self.key[a[live] + length[live]], self.key[b[live] + length[live]]
-            equal = x == y
-            part = live[~equal]
-            diff, same = x[~equal] ^ y[~equal], np.zeros(len(part), np.int64)
-            for s in range(SYMBOLS - 1, 0, -1):
-                same += diff < U(1) << U(9 * s)
-            length[part] += same
-            live = live[equal]
-            length[live] += SYMBOLS
-            live = live[length[live] < most[live]]
-        out[a] = np.minimum(length, most)
+        # ranks of each refinement tell whether so many symbols agree; the longest step is taken as often as it fits
+        for size, rank in reversed(self.levels):
+            live = np.arange(len(a)) if size == self.levels[-1][0] else np.flatnonzero(length + size <= most)
+            while len(live):
+                live = live[length[live] + size <= most[live]]
+                live = live[rank[a[live] + length[live]] == rank[b[live] + length[live]]]
+                length[live] += size
+                if size != self.levels[-1][0]:
+                    break
+        part = np.flatnonzero(length < most)
+        diff, same = self.key[a[part] + length[part]] ^ self.key[b[part] + length[part]], np.zeros(len(part), np.int64)
+        for i in range(1, SYMBOLS):
+            same += diff < U(1) << U(9 * i)
+        length[part] = np.minimum(length[part] + same, most[part])
+        out = np.zeros(n, np.int64)
+        out[a] = length
         anchor = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
         return np.where(follows, out[anchor] - (np.arange(n) - anchor), out)
 
@@ -156,6 +157,9 @@ def runs(r: Received, shard: Shard, repeated: np.ndarray, window: int):
 
 
 def judged(r: Received, window: int):
+    """Equal stretches are one with a weight: its places are repeats of each other, and the suffix arrays hold it once."""
+    spans = r.merged(window)
+    yield spans
     for i, j, large in r.slices(SHARD):
         if not large:
             shard = Shard(r, i, j, window)
@@ -187,24 +191,20 @@ def every(doc, mark, start, units, some, first):
     return doc[some], mark[some], start[some], start[some] + units[some]
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Per row: id_col, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; `with_text` adds `kept`, the rest as
-    text (without code points that lost a byte), and the removed ranges as `spans`."""
-    own = keyed(docs, id_col, text_col)
+def remove_repeated_bytes(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: list[str] = ()) -> DataFrame:
+    """Per row: id_col, the columns of `keep`, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; `with_text`
+    adds `kept`, the rest as text (without code points that lost a byte), and the removed ranges as `spans`."""
+    own = keyed(docs, id_col, text_col, keep)
     shape = Shape(False, window, max(1, min(32, window // 8)))
     spans = found_spans(own, shape, every, lambda r: judged(r, window))
-    joined = with_spans(own, spans)
-    return joined.mapInArrow(lambda batches: cut_out(batches, with_text, id_col), result_schema(docs, id_col, with_text))
-
-
-def result_schema(docs: DataFrame, id_col: str, with_text: bool) -> T.StructType:
     pair = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
     longs = [T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")]
-    return T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *longs, T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.StringType()), T.StructField("spans", pair)] if with_text else [])])
+    schema = T.StructType([own.schema["id"], *longs, T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.StringType()), T.StructField("spans", pair)] if with_text else [])])
+    return with_spans(own, spans).mapInArrow(lambda batches: cut_out(batches, with_text, schema.names), schema).select("id.*", *schema.names[1:])
 
 
-def cut_out(batches, with_text: bool, id_col: str):
-    """(id, text, spans) to the columns of result_schema."""
+def cut_out(batches, with_text: bool, names: list[str]):
+    """(id, packed text, spans) to the named columns."""
     for b in batches:
         sizes, gone, number, sums, kept, where = [], [], [], [], [], []
         for text, found in zip(unpacked(b), b.column(2).to_pylist(), strict=True):
@@ -223,8 +223,6 @@ def cut_out(batches, with_text: bool, id_col: str):
                 kept.append("".join(x.decode(errors="ignore") for x in left))
                 where.append([{"lo": x, "hi": y} for x, y in ranges])
         cols = [b.column(0), *(pa.array(x, pa.int64()) for x in (sizes, gone, number)), pa.array(sums, pa.string())]
-        names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if with_text:
             cols += [pa.array(kept, pa.string()), pa.array(where, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))]
-            names += ["kept", "spans"]
         yield pa.RecordBatch.from_arrays(cols, names=names)

@@ -163,7 +163,8 @@ def send(batches, shape: Shape, hot: np.ndarray, partitions: int, local: Callabl
             own = {name: b[i:j] - a[i:j] if name == "size" else cols[name][go[i:j]] for name, _ in HEADER}
             own["doc"] = np.diff(own["doc"], prepend=0)
             head = b"".join(own[name].astype(kind).tobytes() for name, kind in HEADER)
-            blobs.append(pack.compress((j - i).to_bytes(8, "little") + head + body))
+            head = pack.compress((j - i).to_bytes(8, "little") + head)
+            blobs.append(len(head).to_bytes(8, "little") + head + pack.compress(body))
         n, none = len(blobs), pa.nulls(len(blobs), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary()), none, none, none, none], names=["p", "blob", "doc", "mark", "lo", "hi"])
 
@@ -173,27 +174,34 @@ class Received:
 
     def __init__(self, blobs: list[bytes], shape: Shape):
         cols: dict[str, list] = {name: [] for name, _ in HEADER}
-        bodies, offset, base = [], [], 0
-        for blob in blobs:
-            raw = zstandard.decompress(blob)
+        heads = [int.from_bytes(blob[:8], "little") + 8 for blob in blobs]
+        for blob, end in zip(blobs, heads, strict=True):
+            raw = zstandard.decompress(blob[8:end])
             n, at = int.from_bytes(raw[:8], "little"), 8
             for name, kind in HEADER:
                 cols[name].append(np.frombuffer(raw, kind, n, at))
                 at += n * np.dtype(kind).itemsize
             cols["doc"][-1] = np.cumsum(cols["doc"][-1])
-            size = cols["size"][-1].astype(np.int64)
-            offset.append(base + np.cumsum(size) - size)
-            bodies.append(raw[at:])
-            base += len(raw) - at
-        joined = {name: np.concatenate(v).astype(np.uint32 if name == "minimum" else np.int64) for name, v in cols.items()}
-        offset = np.concatenate(offset)
+        source = np.repeat(np.arange(len(blobs)), [len(x) for x in cols["size"]])
+        joined = {name: np.concatenate(cols.pop(name)).astype(np.uint32 if name == "minimum" else np.int64) for name, _ in HEADER}
         order = np.argsort(joined["minimum"], kind="stable")
         m = joined["minimum"][order]
-        edge = np.append(True, m[1:] != m[:-1])
-        number = np.bincount(np.cumsum(edge) - 1)
-        often = np.repeat(number, number) > 1
-        often |= joined["recurs"][order] > 0
-        order = order[often]
+        number = np.bincount(np.cumsum(np.append(True, m[1:] != m[:-1])) - 1)
+        often = np.zeros(len(order), bool)
+        often[order] = np.repeat(number, number) > 1
+        often |= joined["recurs"] > 0
+        # only now the texts, and of each blob only those that can meet another
+        bodies, offset, base = [], np.zeros(len(order), np.int64), 0
+        for k, (blob, end) in enumerate(zip(blobs, heads, strict=True)):
+            own = slice(*np.searchsorted(source, [k, k + 1]))
+            size, go = joined["size"][own], often[own]
+            stop = np.cumsum(size)
+            raw = zstandard.decompress(blob[end:])
+            kept = [raw[y - n : y] for y, n in zip(stop[go].tolist(), size[go].tolist(), strict=True)]
+            offset[own] = np.where(go, base + np.cumsum(size * go) - size, 0)
+            bodies.append(b"".join(kept))
+            base += len(bodies[-1])
+        order = order[often[order]]
         self.__dict__ |= {name: v[order] for name, v in joined.items()}
         self.offset, self.body = offset[order], b"".join(bodies)
 
@@ -267,10 +275,13 @@ def union(spans: list[dict], n: int) -> list[tuple[int, int]]:
     return [(a, min(b, n)) for a, b in out]
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, and (doc, mark): the id as a long with null as the least, and 16 bits of a hash of the text, so that rows
-    with one id but different texts stay apart."""
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", "text", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).alias("mark"))
+def keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:
+    """id (a struct of the id and the columns of `keep`), text, and (doc, mark): the id as a long with null as the least,
+    and 16 bits of a hash of the text, so that rows with one id but different texts stay apart."""
+    id_ = F.col(id_col)
+    mark = F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFF))
+    rest = F.struct(id_.alias(id_col), *[F.col(c) for c in keep if c != id_col])
+    return docs.select(rest.alias("id"), F.col(text_col).alias("text"), F.coalesce(id_.cast("long"), F.lit(NO_ID)).alias("doc"), mark.alias("mark"))
 
 
 def with_spans(own: DataFrame, spans: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "do
     spans = found_spans(own, shape, later, lambda r: judged(r, window))
     joined = with_spans(own, spans)
     pair = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.StringType()), T.StructField("spans", pair)] if with_text else [])])
+    schema = T.StructType([own.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.StringType()), T.StructField("spans", pair)] if with_text else [])])
     blanks = bytes(np.flatnonzero(SPACE).tolist())
     table = bytes.maketrans(blanks, b" " * len(blanks))
 
@@ -98,4 +98,4 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "do
                 cols += [pa.array(kept, pa.string()), pa.array(where, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return joined.mapInArrow(apply, schema)
+    return joined.mapInArrow(apply, schema).select("id.*", *schema.names[1:])
