@@ -2,6 +2,26 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "softmax_top5"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function as the query of its name."""
+
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+from . import benchmark_queries, detection_queries, image_queries, profiling_queries, scheduling_queries, stream_queries  # noqa: E402, F401

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 #: Rows of an Arrow batch; Spark's default of 10000 long texts would be hundreds of megabytes at once.
 RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+CHECKPOINTS = "spark.checkpoint.dir"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -22,3 +24,12 @@ def shipped(spark: SparkSession) -> SparkSession:
     if spark.conf.get(RECORDS) == "10000":
         spark.conf.set(RECORDS, "1000")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; only where the setting is missing (tests) a local one of our own."""
+    found = spark.conf.get(CHECKPOINTS, None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="sparkvision-")
+        spark.conf.set(CHECKPOINTS, found)
+    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
