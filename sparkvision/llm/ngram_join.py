@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .scratch import for_bytes, written
+from .scratch import reused, written
 from .text import U, Chunk, chunks, components, mix, spread
 
 BINS = 64
@@ -193,9 +193,9 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
     level = sets.select("sid", "sketch").mapInArrow(lambda b: paths(b, runs_for(RECALL, DEPTH), similarity), "sid binary, path long")
     small = None
     for depth in range(1, DEPTH + 1):
-        level = written(level, f"paths{depth}")
+        level = reused(level)
         sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        rows = written(level.join(sizes, "path"), f"buckets{depth}")
+        rows = reused(level.join(sizes, "path"))
         now = rows if depth == DEPTH else rows.where(F.col("n") <= LIMIT)
         small = now if small is None else small.unionByName(now)
         if depth == DEPTH or not rows.where(F.col("n") > LIMIT).limit(1).count():
@@ -273,16 +273,14 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     """Per row: id_col, class_id (least id of the texts joined to it by links), n_links (other documents with a similarity
     of at least `similarity`, copies included), copy_id (least id with an equal shingle set) and n_copies (such rows)."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"))
-    rows = written(sketched(own.select("text", "doc"), k), "sketches")
-    sets = written(rows.groupBy("sid").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sets")
-    links = written(candidates(sets, similarity), "candidates")
-    groups = connected_components(links)
+    rows = reused(sketched(own.select("text", "doc"), k))
+    sets = reused(rows.groupBy("sid").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    groups = connected_components(candidates(sets, similarity))
     sizes = groups.join(sets.select("sid", "n"), groups.node == sets.sid).groupBy("label").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_TEXTS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.lit(1)).alias("_n"))
     members = groups.join(sizes, "label").join(sets.select("sid", "rep", "copies"), F.col("node") == F.col("sid")).select("label", "_n", "sid", "rep", "copies")
     texts = own.select("doc", "text").join(members, F.col("doc").eqNullSafe(F.col("rep"))).select(F.xxhash64("label").alias("group"), "_n", "sid", "copies", "text")
-    size = groups.count() * 4000
     dealt = blocks(texts, "group", "_n", "sid").select("group", "one", "two", "side", "sid", "copies", "text")
-    found = written(dealt.repartition(for_bytes(docs.sparkSession, size, 16 << 20), "group", "one", "two").sortWithinPartitions("group", "one", "two").mapInArrow(lambda b: decided(b, k, similarity), "u binary, v binary, links long"), "decided")
+    found = written(dealt.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two").mapInArrow(lambda b: decided(b, k, similarity), "u binary, v binary, links long"), "decided")
     label = connected_components(found)
     per_set = found.groupBy(F.col("u").alias("sid")).agg(F.sum("links").alias("links"))
     of_class = label.join(sets.select("sid", "rep"), F.col("node") == F.col("sid")).select("sid", "label", "rep")

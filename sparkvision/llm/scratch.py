@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where the setting is missing (tests) a local one of our own."""
-    found = spark.conf.get(SETTING, None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="sparkvision-")
-        spark.conf.set(SETTING, found)
-    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
+from ..sources.package import shared_dir
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -29,6 +20,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """Keep df on the executors' disks while several steps read it. What a lost executor held is computed anew; written()
+    is for what that would make expensive. spark.catalog.clearCache() frees it."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table of written() that nothing will read again."""
     path = getattr(df, "_scratch_path", None)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import for_bytes, written
+from .scratch import for_bytes, reused
 from .text import U, WORD_BASE, Chunk, chunks, mix, powers, spread, window_minimum
 
 SHARE = 1 << 16
@@ -89,7 +89,7 @@ def frequent(docs: DataFrame, shape: Shape) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(g[edge[often]].view(np.int64), 0)), pa.array(np.append(n[often], len(g))), pa.array(np.append(np.zeros(often.sum(), np.int64), len(c.buf)))], names=["gram", "n", "size"])
 
     counted = docs.select("text").mapInArrow(run, "gram long, n long, size long").groupBy("gram", (F.col("size") > 0).alias("all")).agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
-    counted = written(counted, "grams")
+    counted = reused(counted)
     total = counted.where("all").agg(F.sum("n"), F.sum("size")).first()
     if not total[0]:
         return np.zeros(0, U), total[1] or 0
