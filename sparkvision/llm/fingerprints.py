@@ -2,7 +2,8 @@
 
 A document's sketch is every hash of its five-word shingles below a fixed fraction of the hash range, so the sketch of a
 union is the union of the sketches, and the share of a sketch found in another estimates containment however unequal
-the two documents are. A text with shingles but none below the threshold keeps its least hash.
+the two documents are. Short documents keep their LEAST_HASHES smallest hashes, even above the threshold; two sketches are
+compared up to the hash to which both are complete.
 
 Only SQL functions are used. The next document of each is found without a global sort: ids are cut at their quantiles
 into ranges, the first document of each range also goes to the range before (of the first, to the last), and each range
@@ -24,25 +25,34 @@ from .scratch import parts
 
 SHINGLE = 5
 FRACTION = 1 / 4
-LEAST = -(1 << 63)
+LEAST_HASHES = 32
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def threshold(fraction: float) -> int:
+    """The greatest hash that every sketch keeps; hashes are signed."""
+    return LEAST + int(fraction * (1 << 64)) - 1
 
 
 def sketch(text: Column, fraction: float = FRACTION, k: int = SHINGLE) -> Column:
     """Sorted distinct hashes below the threshold."""
     blank = " \t\n\x0b\x0c\r"
     words = F.split(F.btrim(text, F.lit(blank)), r"[\x20\x09-\x0D]+")
-    limit = F.lit(LEAST + int(fraction * (1 << 64)))
+    limit = threshold(fraction)
 
     def hashes(w: Column) -> Column:
         # a lambda's argument is computed once; the words would else be split again for each shingle
         many = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[w[i + j] for j in range(k)]))
         return F.when(F.size(w) >= k, many).when(w[0] == "", F.array().cast("array<long>")).otherwise(F.array(F.xxhash64(w)))
 
-    def scaled(h: Column) -> Column:
-        low = F.filter(h, lambda x: x < limit)
-        return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(h)
+    return F.transform(F.transform(F.array(words), hashes), lambda h: scaled(h, limit))[0]
+
 
-    return F.transform(F.transform(F.array(words), hashes), scaled)[0]
+def scaled(h: Column, limit: int) -> Column:
+    """Of an array of hashes those of the sketch."""
+    low = F.sort_array(F.array_distinct(F.filter(h, lambda x: x <= limit)))
+    least = F.slice(F.sort_array(F.array_distinct(h)), 1, LEAST_HASHES)
+    return F.transform(F.array(low), lambda x: F.when(F.size(x) >= LEAST_HASHES, x).otherwise(least))[0]
 
 
 def written_out(s: Column) -> Column:
@@ -50,20 +60,35 @@ def written_out(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def containment(a: Column, b: Column) -> Column:
-    """The share of the smaller document's shingles that the other has, as the sketches estimate it."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b)))
+def shared(a: Column, b: Column, fraction: float) -> Column:
+    """(both, one, two): how many hashes two sketches share, and have each, up to where both are complete."""
+    limit = threshold(fraction)
+
+    def complete(s: Column) -> Column:
+        return F.when(F.size(s) < LEAST_HASHES, MOST).otherwise(F.greatest(F.element_at(s, LEAST_HASHES), F.lit(limit)))
+
+    def cut(s: Column, t: Column) -> Column:
+        return F.filter(s, lambda x: x <= t)
+
+    def counts(t: Column) -> Column:
+        return F.struct(F.size(F.array_intersect(cut(a, t), cut(b, t))).alias("both"), F.size(cut(a, t)).alias("one"), F.size(cut(b, t)).alias("two"))
+
+    return F.transform(F.array(F.least(complete(a), complete(b))), counts)[0]
+
+
+def containment(c: Column) -> Column:
+    """Of shared(): the share of the smaller document's shingles that the other has."""
+    return F.when((c.one == 0) & (c.two == 0), 1.0).when((c.one == 0) | (c.two == 0), 0.0).otherwise(c.both / F.least(c.one, c.two))
 
 
-def resemblance(a: Column, b: Column) -> Column:
-    """The estimated Jaccard similarity."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
+def resemblance(c: Column) -> Column:
+    """Of shared(): the Jaccard similarity."""
+    return F.when((c.one == 0) & (c.two == 0), 1.0).otherwise(c.both / (c.one + c.two - c.both))
 
 
-def merged(sketches: Column) -> Column:
+def merged(sketches: Column, fraction: float = FRACTION) -> Column:
     """Aggregate: the sketch of the union of documents."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(sketches))))
+    return F.transform(F.array(F.flatten(F.collect_list(sketches))), lambda h: scaled(h, threshold(fraction)))[0]
 
 
 def with_next(docs: DataFrame, order: str, tie: str, carried: list[str]) -> DataFrame:
@@ -102,5 +127,6 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, id_col: str = "doc
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
     own = own.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
     own = own.withColumn("changed", sketch(F.col("edited"), fraction))
-    a, b, c = F.col("own"), F.col("changed"), F.col("next_own")
-    return own.select(F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written_out(a).alias("fingerprint"), written_out(b).alias("edited_fingerprint"), containment(a, b).alias("near_edited"), containment(a, c).alias("near_next"), resemblance(a, b).alias("jaccard_edited"), resemblance(a, c).alias("jaccard_next"))
+    own = own.withColumn("e", shared(F.col("own"), F.col("changed"), fraction)).withColumn("x", shared(F.col("own"), F.col("next_own"), fraction))
+    e, x = F.col("e"), F.col("x")
+    return own.select(F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written_out(F.col("own")).alias("fingerprint"), written_out(F.col("changed")).alias("edited_fingerprint"), containment(e).alias("near_edited"), containment(x).alias("near_next"), resemblance(e).alias("jaccard_edited"), resemblance(x).alias("jaccard_next"))
