@@ -194,7 +194,7 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
     small = None
     for depth in range(1, DEPTH + 1):
         level = reused(level)
-        sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        sizes = reused(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
         rows = reused(level.join(sizes, "path"))
         now = rows if depth == DEPTH else rows.where(F.col("n") <= LIMIT)
         small = now if small is None else small.unionByName(now)
