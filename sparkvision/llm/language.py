@@ -66,15 +66,18 @@ class Model:
     def __init__(self, bits: np.ndarray, langs: list[str]):
         """bits: packed presence rows of the training texts."""
         self.langs = sorted(set(langs))
-        x = normalised(np.unpackbits(bits, axis=1, count=int(FROM[-1])).astype(np.float32))
+
+        def rows(at) -> np.ndarray:
+            return normalised(np.unpackbits(bits[at], axis=1, count=int(FROM[-1])).astype(np.float32))
+
         # landmarks: in turn from each language, so that rare ones are spanned as well
         turn: dict[str, int] = {}
         order = sorted(range(len(langs)), key=lambda i: (turn.setdefault(langs[i], 0), turn.update({langs[i]: turn[langs[i]] + 1}))[0])
-        z = x[order[:LANDMARKS]]
+        z = rows(order[:LANDMARKS])
         values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
         keep = values > 1e-6 * max(values.max(), 1e-12)
         half = vectors[:, keep] / np.sqrt(values[keep])
-        f = (x @ z.T).astype(np.float64) @ half
+        f = np.concatenate([rows(slice(i, i + 256)) @ z.T for i in range(0, len(bits), 256)]).astype(np.float64) @ half
         target = np.array([[float(a == b) for b in self.langs] for a in langs])
         self.mean = target.mean(0)
         weights = np.linalg.solve(f.T @ f + RIDGE * len(f) * np.eye(f.shape[1]), f.T @ (target - self.mean))
