@@ -79,6 +79,6 @@ def device_group(name: Column) -> Column:
 def report_rows(results: DataFrame, frameworks: list[str]) -> DataFrame:
     """One text row for each device, framework (in reverse order), model and size: comma separated, N/A for what is missing."""
     order = F.array_position(F.array(*map(F.lit, frameworks)), F.col("framework"))
-    cells = [F.coalesce(F.format_number(c, 1), F.lit("N/A")) for c in ("mean", "median", "min", "max")]
+    cells = [F.when(F.col(c).isNull(), "N/A").otherwise(F.format_string("%.1f", F.col(c).cast("double"))) for c in ("mean", "median", "min", "max")]
     own = results.withColumn("place", F.lit(len(frameworks)) - order)
     return own.select("device", "place", F.concat_ws(",", "framework", "model", F.col("size").cast("string"), *cells).alias("row"))

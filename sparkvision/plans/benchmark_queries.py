@@ -121,8 +121,7 @@ SELECT device, CAST(5 - list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'M
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = views.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("device"), F.col("c_mktsegment").alias("framework")).agg(F.floor(F.avg("c_acctbal")).alias("mean"), F.when(F.count("*") > 5, F.floor(F.min("c_acctbal"))).alias("min"))
     own = own.withColumns({"model": F.lit("m"), "size": F.lit(640), "median": F.lit(None).cast("double"), "max": F.lit(None).cast("double")})
-    rows = benchmarks.report_rows(own, FRAMEWORKS)
-    return rows.select("device", F.col("place").cast("int").alias("place"), F.regexp_replace("row", r"(\d),(\d{3}\.)", "$1$2").alias("row"))
+    return benchmarks.report_rows(own, FRAMEWORKS).withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT p_partkey AS arg_id, 'in' || CAST(p_partkey AS VARCHAR) AS name, 3 AS n, p_size AS last FROM part")
