@@ -164,6 +164,32 @@ def model_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.model_families(spark)
 
 
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{x}', 'classification', {catalog.SIZES.get(x, 224)})" for x in catalog.CLASSIFIERS) + ", ('depth_anything_v2', 'depth', 518)) AS t(family, task, imgsz)")
+def other_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.other_models(spark)
+
+
+@query("""SELECT s_suppkey AS engine, 'conf=' || CASE WHEN s_suppkey % 2 = 0 THEN '0.3' ELSE '0.1' END || ',nms=0.5' || CASE WHEN s_suppkey % 3 = 0 THEN ',warmup=1' ELSE '' END AS settings,
+CASE WHEN s_suppkey % 2 = 0 THEN 'a,b' ELSE 'a' END AS hooks FROM supplier""")
+def merged_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides over defaults: single values replace, hooks are added."""
+    even, third = F.col("s_suppkey") % 2 == 0, F.col("s_suppkey") % 3 == 0
+    base = F.create_map(F.lit("conf"), F.lit("0.1"), F.lit("nms"), F.lit("0.5"))
+    conf = F.when(even, F.create_map(F.lit("conf"), F.lit("0.3"))).otherwise(F.create_map().cast("map<string,string>"))
+    warm = F.when(third, F.create_map(F.lit("warmup"), F.lit("1"))).otherwise(F.create_map().cast("map<string,string>"))
+    settings = catalog.merged_settings(catalog.merged_settings(base, conf), warm)
+    hooks = catalog.appended(F.create_map(F.lit("hooks"), F.array(F.lit("a"))), F.when(even, F.create_map(F.lit("hooks"), F.array(F.lit("b")))).otherwise(F.create_map().cast("map<string,array<string>>")))
+    pairs = F.array_sort(F.transform(F.map_entries(settings), lambda e: F.concat(e.key, F.lit("="), e.value)))
+    return views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("engine"), F.array_join(pairs, ",").alias("settings"), F.array_join(hooks["hooks"], ",").alias("hooks"))
+
+
+@query("""SELECT p_partkey AS model_id, p_name AS model, CASE WHEN contains(p_name, 'red') AND NOT contains(p_name, 'bolt') THEN 'torch' WHEN contains(p_name, 'red') THEN 'onnx' WHEN contains(p_name, 'ring') THEN 'paddle' END AS route FROM part""")
+def model_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered rules on the name; the first that fits counts."""
+    rules = [("red", "bolt", "torch"), ("red", None, "onnx"), ("ring", None, "paddle")]
+    return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("model_id"), F.col("p_name").alias("model"), catalog.routed(F.col("p_name"), rules).alias("route"))
+
+
 @query()
 def synthetic_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uniform random tensors from a seed, one for each order; random, so there is no SQL for it."""

@@ -192,3 +192,27 @@ def output_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def engine_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = detection.engine_inputs(views.images(spark, sf_dir), "RT_DETR_V3")
     return own.select("image_id", F.col("orig_size")[0].cast("int").alias("orig_h"), F.col("orig_size")[1].cast("int").alias("orig_w"), F.round(F.col("scale_factor")[0], 6).alias("scale_y"), F.round(F.col("scale_factor")[1], 6).alias("scale_x"))
+
+
+END_TO_END = ", ".join(f"CAST(trunc({b}) AS INT) AS {b}" for b in detection.BOX)
+
+
+@query(f"""WITH RECURSIVE {views.RAW_DET}, {GEOMETRY}, open_ AS (SELECT image_id, det_id, {DECODED}, score, class_id FROM raw_det JOIN geo USING (image_id) WHERE score >= 0.3), {nms_sql("image_id, class_id", "open_")}
+SELECT image_id, det_id, class_id, score, {END_TO_END} FROM nms""")
+def detect_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geometry, decoding, confidence, suppression and final integers in one plan."""
+    found = detection.nms(detection.decode_end_to_end(boxes(spark, sf_dir), 0.3), 0.5)
+    return detection.as_integers(found, 0.3)
+
+
+@query(f"""WITH {views.GRID}, t AS (SELECT image_id, (2 - c) * 16 + y * 4 + x AS idx, (value / 255.0::DOUBLE - [0.485, 0.456, 0.406][3 - c]) / [0.229, 0.224, 0.225][3 - c] AS v FROM grid),
+l AS (SELECT image_id, k AS class_idx, sum(v * ((idx * 7 + k * 13) % 11 - 5) / 50.0::DOUBLE) AS x FROM t, (SELECT unnest(range(6)) AS k) GROUP BY 1, 2),
+e AS (SELECT image_id, class_idx, exp(x - max(x) OVER (PARTITION BY image_id)) AS e FROM l), p AS (SELECT image_id, class_idx, e / sum(e) OVER (PARTITION BY image_id) AS prob FROM e)
+SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY prob DESC, class_idx DESC) AS INT) AS rank, CAST(class_idx AS INT) AS class_id, round(prob, 6) AS prob FROM p QUALIFY rank <= 3""")
+def classify_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised pixels, a linear stand-in for the network, softmax and the three best classes."""
+    own = image.normalised(views.grid(spark, sf_dir), 4, 4).withColumn("class_idx", F.explode(F.array(*[F.lit(k) for k in range(6)])))
+    weight = ((F.col("idx") * 7 + F.col("class_idx") * 13) % 11 - 5) / F.lit(50.0)
+    logits = own.groupBy("image_id", "class_idx").agg(F.sum(F.col("value") * weight).alias("x"))
+    top = classification.top_k(classification.softmax(logits), 3)
+    return rounded(top.select("image_id", "rank", F.col("class_idx").alias("class_id"), "prob"), "prob")

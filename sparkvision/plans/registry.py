@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "softmax_top5"
+FLAGSHIP = "detect_end_to_end"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

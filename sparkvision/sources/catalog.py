@@ -25,7 +25,18 @@ FAMILIES = (
     ("rtdetrv1", 640, "0:255", "linear", False, "RT_DETR", "DETR_LBS", False),
     ("rtdetrv2", 640, "0:255", "linear", False, "RT_DETR", "DETR_LBS", False),
     ("rtdetrv3", 640, "0:255", "linear", False, "RT_DETR_V3", "RT_DETR_V3", False),
+    ("dfine", 640, "0:1", "linear", True, "RT_DETR", "DETR_LBS", False),
+    ("rfdetr", 576, "0:1", "letterbox", True, "RF_DETR", "RF_DETR", False),
 )
+#: Classifiers and depth estimators, and their default sizes; all take 0:1, linear and normalised input.
+CLASSIFIERS = ("alexnet", "convnext", "densenet", "efficientnet", "efficientnetv2", "googlenet", "inception", "maxvit", "mnasnet", "mobilenetv2", "mobilenetv3", "regnet", "resnet", "resnext", "wideresnet", "shufflenetv2", "squeezenet", "swintransformer", "swintransformerv2", "vgg", "vit")
+SIZES = {"inception": 299, "depth_anything_v2": 518}
+
+
+def other_models(spark: SparkSession) -> DataFrame:
+    """(family, task, imgsz) of classifiers and depth estimators."""
+    rows = [(x, "classification", SIZES.get(x, 224)) for x in CLASSIFIERS] + [("depth_anything_v2", "depth", SIZES["depth_anything_v2"])]
+    return spark.createDataFrame(rows, "family string, task string, imgsz int")
 
 
 def model_families(spark: SparkSession) -> DataFrame:
@@ -43,6 +54,16 @@ def supported_models(catalog: DataFrame) -> DataFrame:
     return catalog.select("model").distinct()
 
 
+def merged_settings(base: Column, override: Column) -> Column:
+    """Two maps of settings as one: the override's values count. Map columns of lists (hooks) are joined by appended()."""
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(override, k)), override)
+
+
+def appended(base: Column, override: Column) -> Column:
+    """Two maps of lists as one: lists under one key are joined, base first."""
+    return F.map_zip_with(base, override, lambda _, a, b: F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))))
+
+
 def routed(name: Column, rules: list[tuple[str, str | None, str]]) -> Column:
     """The route of a model name: of the ordered rules (contains, but not, route) the first that fits; null if none."""
     out = [F.when(name.contains(a) & (~name.contains(b) if b else F.lit(True)), F.lit(route)) for a, b, route in rules]
