@@ -70,4 +70,4 @@ QUERIES = {
         op10_suffix_array_dedup,
     )
 }
-SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op4_super_k_mers": window_dedup.SQL}

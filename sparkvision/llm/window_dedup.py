@@ -99,3 +99,14 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "do
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return joined.mapInArrow(apply, schema).select("id.*", *schema.names[1:])
+
+
+#: The same rows in SQL; ids must be unique.
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, i, list_aggregate(words[i : i + 19], 'string_agg', ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w)),
+firsts AS (SELECT win, min({'d': doc_id, 'i': i}) AS f FROM windows GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM windows JOIN firsts USING (win) WHERE {'d': doc_id, 'i': i} <> f),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
