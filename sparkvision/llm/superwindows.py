@@ -165,7 +165,7 @@ def send(batches, shape: Shape, hot: np.ndarray, partitions: int, local: Callabl
             head = b"".join(own[name].astype(kind).tobytes() for name, kind in HEADER)
             head = pack.compress((j - i).to_bytes(8, "little") + head)
             blobs.append(len(head).to_bytes(8, "little") + head + pack.compress(body))
-        n, none = len(blobs), pa.nulls(len(blobs), pa.int64())
+        none = pa.nulls(len(blobs), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary()), none, none, none, none], names=["p", "blob", "doc", "mark", "lo", "hi"])
 
 

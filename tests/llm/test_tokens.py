@@ -11,7 +11,6 @@ import pytest
 
 from sparkvision.llm import bpe, packing
 
-from .conftest import SCHEMA
 
 tokenizers = pytest.importorskip("tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
