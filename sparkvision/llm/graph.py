@@ -8,25 +8,38 @@ from pyspark.sql import functions as F
 from .scratch import dropped, written
 
 
+def followed(hooks: DataFrame) -> DataFrame:
+    """(node, label) with each label followed to where it leads, twice as far each time."""
+    moves = True
+    while moves:
+        further = hooks.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        jumped = hooks.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved"))
+        hooks = written(jumped, "hooks")
+        moves = hooks.where("moved").limit(1).count() > 0
+        hooks = hooks.select("node", "label")
+    return hooks
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, label): each node of links (u, v) with the least node of its component.
 
-    Each round every node takes the least label among its neighbours' and then its label's label; rounds end when no
-    label falls. Star-shaped inputs take two. Each round is a written table, so a lost executor costs one round."""
-    both = written(links.select("u", "v").where("u != v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")).where("u != v")).distinct(), "links")
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
-    while True:
-        # a node's label is passed on to its neighbours and to the node it names
-        near = both.join(labels, both.u == labels.node).select(F.col("v").alias("node"), "label")
-        own = labels.select("node", "label")
-        hook = near.join(own.withColumnRenamed("label", "old"), "node").where("label < old").select(F.col("old").alias("node"), "label")
-        least = near.union(own).union(hook).groupBy("node").agg(F.min("label").alias("label"))
-        up = least.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = least.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"))
-        new = written(jumped, "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label < old").limit(1).count()
-        dropped(labels)
-        labels = new
-        if not changed:
-            dropped(both)
-            return labels
+    Links point from the greater node to the lesser. In each round every node with links hooks on to its least neighbour,
+    the hooks are followed to their roots, and the links are drawn anew between the roots of their ends. Links inside a
+    star vanish, so few are left after a round or two. Each round is a written table: a lost executor costs one round."""
+
+    def directed(pairs: DataFrame) -> DataFrame:
+        return pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+    edges = written(directed(links.select("u", "v")), "links")
+    hooks = None
+    while hooks is None or edges.limit(1).count():
+        own = followed(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")))
+        hooks = own if hooks is None else hooks.unionByName(own)
+        a, b = (own.select(F.col("node").alias(x), F.col("label").alias(f"{x}_to")) for x in "uv")
+        moved = edges.join(a, "u", "left").join(b, "v", "left")
+        new = written(directed(moved.select(F.coalesce("u_to", "u").alias("u"), F.coalesce("v_to", "v").alias("v"))), "links")
+        dropped(edges)
+        edges = new
+    dropped(edges)
+    hooks = followed(hooks)
+    return hooks.unionByName(hooks.select(F.col("label").alias("node"), "label").distinct())

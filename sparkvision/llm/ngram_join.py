@@ -2,9 +2,9 @@
 
 Chosen-path join. Texts with equal shingle sets are one set. Each set is a sketch of up to 64 tokens: the least hash in
 each of 64 parts of the hash range. In each run a set takes the path of every token whose hash for the run falls below
-1 / (similarity x tokens); sets on one path are a bucket. Buckets of up to LIMIT sets are compared by brute force on the
-sketches; larger ones are split again by further sampled tokens, DEPTH times at most, and what is then still large is
-compared in blocks. Runs are repeated until a pair at the threshold is missed with a probability under 1 - RECALL: a path
+1 / (similarity x tokens); sets on one path are a bucket. Buckets of up to LIMIT sets (below the first level DEEP_LIMIT)
+are compared by brute force on the sketches; larger ones are split again by further sampled tokens, DEPTH times at most, and
+what is then still large is compared in blocks. Runs are repeated until a pair at the threshold is missed with a probability under 1 - RECALL: a path
 of depth d survives a run with f(d) = 1 - exp(-f(d-1)), f(0) = 1, so ceil(log(1-RECALL) / log(1-f(DEPTH))) runs are made.
 
 Sets whose sketches may be similar (5 standard deviations of tolerance) form candidate groups, and within these every
@@ -32,6 +32,10 @@ from .text import U, Chunk, chunks, components, mix, spread
 BINS = 64
 LIMIT = 256
 DEPTH = 3
+#: Sets of a bucket that are compared at once below the first level, where splitting on has cost more than it saves.
+DEEP_LIMIT = 4096
+#: Parts of a key's rows in joins with facts about the key.
+SALTS = 8
 RECALL = 0.9999
 #: Texts and shingles of a block in the exact comparison.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 400_000
@@ -68,7 +72,8 @@ def signatures(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[bytes]:
 
 
 def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, sid, n, sketch): the set's name, its size, and the least hash (32 bits, 0 for none) of each of 64 parts."""
+    """(doc, sid, n, sketch, brief): the set's name, its size, the least hash (32 bits, 0 for none) of each of 64 parts, and
+    a byte of each."""
 
     def run(batches):
         for rows, texts in chunks(batches, "text", 1 << 20):
@@ -79,17 +84,17 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
             head = np.append(True, bin_[1:] != bin_[:-1])[: len(h)]
             sketch = np.zeros(len(texts) * BINS, np.uint32)
             sketch[bin_[head]] = np.maximum(h[head] >> U(20) & U(0xFFFFFFFF), U(1))
-            raw = sketch.tobytes()
+            raw, brief = sketch.tobytes(), np.where(sketch, np.maximum(sketch & 0xFF, 1), 0).astype(np.uint8).tobytes()
             some = np.flatnonzero(n)
             sid = signatures(h, first, n)
             size = 4 * BINS
-            yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(some)), pa.array([sid[i] for i in some], pa.binary()), pa.array(n[some], pa.int64()), pa.array([raw[size * i : size * i + size] for i in some], pa.binary())], names=["doc", "sid", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(some)), pa.array([sid[i] for i in some], pa.binary()), pa.array(n[some], pa.int64()), pa.array([raw[size * i : size * i + size] for i in some], pa.binary()), pa.array([brief[BINS * i : BINS * i + BINS] for i in some], pa.binary())], names=["doc", "sid", "n", "sketch", "brief"])
 
-    return docs.mapInArrow(run, "doc long, sid binary, n long, sketch binary")
+    return docs.mapInArrow(run, "doc long, sid binary, n long, sketch binary, brief binary")
 
 
-def tokens(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, BINS)
+def tokens(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, BINS)
 
 
 def paths(batches, runs: int, similarity: float):
@@ -108,7 +113,7 @@ def paths(batches, runs: int, similarity: float):
 
 
 def deeper(batches, similarity: float):
-    """(sid, path, sketch) to the paths one token longer; a token is not taken twice in a row by the same hash."""
+    """(sid, path, sketch) to the same with the paths one token longer."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -118,11 +123,12 @@ def deeper(batches, similarity: float):
         path = np.asarray(b.column(1)).view(U)
         next_ = mix(mix(s[row, bin_].astype(U) << U(8) | bin_.astype(U)) ^ mix(path[row] + SEED))
         go = (next_ >> U(11)).astype(np.float64) * 2.0**-53 < share[row]
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[go])), pa.array(next_[go].view(np.int64))], names=["sid", "path"])
+        at = pa.array(row[go])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(next_[go].view(np.int64)), b.column(2).take(at)], names=["sid", "path", "sketch"])
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """May sets with these sketches reach the similarity?"""
+    """May sets with these sketches reach the similarity? Bytes that agree by chance only let more through."""
     either = ((a > 0) | (b > 0)).sum(1)
     equal = ((a == b) & (a > 0)).sum(1)
     return equal >= either * similarity - 5 * np.sqrt(either * similarity * (1 - similarity))
@@ -151,11 +157,11 @@ def grouped(batches, columns: int):
 
 
 def compared(batches, similarity: float):
-    """(path, one, two, side, sid, sketch) sorted by the first three: a forest of the pairs of each bucket that may be similar."""
+    """(path, one, two, side, sid, brief) sorted by the first three: a forest of the pairs of each bucket that may be similar."""
     for t, first in grouped(batches, 3):
         n = np.diff(np.append(first, t.num_rows)) if first[-1] != t.num_rows else np.diff(first)
         first = first[: len(n)]
-        s = tokens(t.column(5))
+        s = tokens(t.column(5), np.uint8)
         sids = t.column(4).to_pylist()
         number: dict[bytes, int] = {}
         node = np.fromiter((number.setdefault(x, len(number)) for x in sids), np.int64, len(sids))
@@ -188,22 +194,34 @@ def blocks(rows: DataFrame, group: str, number: str, key: str) -> DataFrame:
     return each.select("*", F.least("_b", "_o").alias("one"), F.greatest("_b", "_o").alias("two"), F.col("_b").alias("side")).drop("_b", "_o")
 
 
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
+    """rows with the facts of their key, of which there is one row: a key's rows are dealt out by `by` to SALTS tasks, so
+    that one with a third of all rows is not one task's."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    right = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def candidates(sets: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) that connect all sets which may be similar."""
     level = sets.select("sid", "sketch").mapInArrow(lambda b: paths(b, runs_for(RECALL, DEPTH), similarity), "sid binary, path long")
     small = None
     for depth in range(1, DEPTH + 1):
-        level = reused(level)
         sizes = reused(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
-        rows = reused(level.join(sizes, "path"))
-        now = rows if depth == DEPTH else rows.where(F.col("n") <= LIMIT)
+        rows = reused(salted_join(level, sizes, "path", "sid"))
+        limit = LIMIT if depth == 1 else DEEP_LIMIT
+        now = (rows if depth == DEPTH else rows.where(F.col("n") <= limit)).select("sid", "path", "n")
         small = now if small is None else small.unionByName(now)
-        if depth == DEPTH or not rows.where(F.col("n") > LIMIT).limit(1).count():
+        if depth == DEPTH:
+            break
+        hot = rows.where(F.col("n") > limit)
+        hot = written((hot if depth > 1 else hot.join(sets.select("sid", "sketch"), "sid")).select("sid", "path", "sketch"), "hot")
+        if not hot.limit(1).count():
             break
-        level = rows.where(F.col("n") > LIMIT).join(sets.select("sid", "sketch"), "sid").select("sid", "path", "sketch").mapInArrow(lambda b: deeper(b, similarity), "sid binary, path long")
+        level = reused(hot.mapInArrow(lambda b: deeper(b, similarity), "sid binary, path long, sketch binary"))
     dealt = blocks(small.withColumn("_n", F.ceil(F.col("n") / F.lit(4 * LIMIT))), "path", "_n", "sid")
-    full = dealt.join(sets.select("sid", "sketch"), "sid").select("path", "one", "two", "side", "sid", "sketch")
-    return full.repartition(*("path", "one", "two")).sortWithinPartitions("path", "one", "two").mapInArrow(lambda b: compared(b, similarity), "u binary, v binary").distinct()
+    full = dealt.join(sets.select("sid", "brief"), "sid").select("path", "one", "two", "side", "sid", "brief")
+    return full.repartition("path", "one", "two").sortWithinPartitions("path", "one", "two").mapInArrow(lambda b: compared(b, similarity), "u binary, v binary").distinct()
 
 
 def intersections(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
@@ -274,10 +292,10 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     of at least `similarity`, copies included), copy_id (least id with an equal shingle set) and n_copies (such rows)."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"))
     rows = reused(sketched(own.select("text", "doc"), k))
-    sets = reused(rows.groupBy("sid").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    sets = written(rows.groupBy("sid").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("brief").alias("brief")), "sets")
     groups = connected_components(candidates(sets, similarity))
     sizes = groups.join(sets.select("sid", "n"), groups.node == sets.sid).groupBy("label").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_TEXTS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.lit(1)).alias("_n"))
-    members = groups.join(sizes, "label").join(sets.select("sid", "rep", "copies"), F.col("node") == F.col("sid")).select("label", "_n", "sid", "rep", "copies")
+    members = salted_join(groups, sizes, "label", "node").join(sets.select("sid", "rep", "copies"), F.col("node") == F.col("sid")).select("label", "_n", "sid", "rep", "copies")
     texts = own.select("doc", "text").join(members, F.col("doc").eqNullSafe(F.col("rep"))).select(F.xxhash64("label").alias("group"), "_n", "sid", "copies", "text")
     dealt = blocks(texts, "group", "_n", "sid").select("group", "one", "two", "side", "sid", "copies", "text")
     found = written(dealt.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two").mapInArrow(lambda b: decided(b, k, similarity), "u binary, v binary, links long"), "decided")
@@ -285,7 +303,7 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     per_set = found.groupBy(F.col("u").alias("sid")).agg(F.sum("links").alias("links"))
     of_class = label.join(sets.select("sid", "rep"), F.col("node") == F.col("sid")).select("sid", "label", "rep")
     least = of_class.groupBy("label").agg(F.min("rep").alias("class_id"))
-    named = of_class.join(least, "label").join(per_set, "sid", "left").select("sid", "class_id", "links")
+    named = salted_join(of_class, least, "label", "sid").join(per_set, "sid", "left").select("sid", "class_id", "links")
     facts = sets.select("sid", "rep", "copies").join(named, "sid", "left").select("sid", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("rep").alias("copy_id"), F.col("copies").alias("n_copies"))
     known = rows.select("doc", "sid").join(facts, "sid").drop("sid")
     blank = own.where(F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))).select("doc", F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"))

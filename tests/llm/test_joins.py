@@ -59,6 +59,7 @@ def test_classes(spark, seed):
 
 def test_large_buckets_are_split_and_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LIMIT", 4)
+    monkeypatch.setattr(ngram_join, "DEEP_LIMIT", 8)
     monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 8)
     rng = random.Random(9)
     base, line = prose(rng, 150), prose(rng, 30)
@@ -85,6 +86,19 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 102: 100}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_links(spark, seed):
+    rng = random.Random(seed)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(rng.choice([120, 200, 300]))]
+    label = {x: x for a, b in links for x in (a, b) if a != b}
+    for _ in label:
+        for a, b in links:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = connected_components(spark.createDataFrame(links, "u long, v long")).collect()
+    assert len(got) == len(label) and {r.node: r.label for r in got} == label
+
+
 def test_fingerprints(spark):
     rng = random.Random(4)
     rows = [(i * 7, prose(rng, rng.choice([0, 3, 20, 200, 900])), "en", "s", 0) for i in range(50)]
