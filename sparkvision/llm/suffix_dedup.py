@@ -25,7 +25,7 @@ from .superwindows import Received, Shape, found_spans, keyed, union, unpacked,
 from .text import U, spread
 
 #: Bytes of a shard.
-SHARD = 1 << 20
+SHARD = 1 << 19
 SYMBOLS = 7
 
 
@@ -45,6 +45,7 @@ class Shard:
             symbol[: n - s] = self.buf[s:].astype(U) + U(1)
             symbol[place + s >= self.end] = 0
             self.key = self.key << U(9) | symbol
+        del place, symbol
         self.sort(window)
 
     def sort(self, window: int) -> None:
@@ -164,6 +165,7 @@ def judged(r: Received, window: int):
         if not large:
             shard = Shard(r, i, j, window)
             out = runs(r, shard, shard.repeated(window), window)
+            del shard  # before the next one is built
             if out:
                 yield out
             continue

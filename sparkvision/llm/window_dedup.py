@@ -61,6 +61,7 @@ def judged(r: Received, window: int):
         b = np.append(a[1:], len(lost)) - 1
         lo = r.start[i:j][o[a]] + at[lost[a]] - c.first[o[a]]
         yield r.doc[i:j][o[a]], r.mark[i:j][o[a]], lo, lo + (lost[b] - lost[a]) + window
+        del c, sums, h, at, owner, order, same
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
