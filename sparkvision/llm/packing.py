@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encoded
-from .scratch import parts, written
+from .scratch import parts, reused
 
 CLOSING_ID = 1
 
@@ -93,10 +93,10 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_id
     """Per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset. Every sequence holds at most `capacity`
     tokens, gapless from 0. The numbering within a length is spread over salts, so no length meets in one task."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, path, capacity, id_col, text_col), "pieces")
+    cut = reused(pieces(docs, path, capacity, id_col, text_col))
     salts = parts(spark)
     salted = cut.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = written(salted.groupBy("length", "_salt").agg(F.count("*").alias("n")), "lengths")
+    counts = reused(salted.groupBy("length", "_salt").agg(F.count("*").alias("n")))
     # at most `capacity` lengths reach the driver
     table, _ = plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
