@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import percent_difference
+
 MIB = float(1 << 20)
 #: Fixed values of the cost model: what a layer costs that was not measured, and the share of its GPU cost on the DLA.
 MISSING_GPU_MS, MISSING_GPU_MJ, DLA_TIME, DLA_ENERGY = 0.01, 0.001, 1.5, 0.5
@@ -133,6 +135,22 @@ def solved(layers: DataFrame, energy_share: float = 0.8, max_transitions: int =
     return layers.select("net", "idx", "gpu_ms", "gpu_mj", "dla_ms", "dla_mj", "size", "compat").groupBy("net").applyInPandas(run, "net string, procs string, time_ms double, energy_mj double, transitions int")
 
 
+def compared_schedules(chosen: DataFrame, layers: DataFrame) -> DataFrame:
+    """Adds to chosen (net, time_ms, energy_mj) the throughput and power of a schedule and, in percent, how its time and
+    energy differ from those of all layers on the GPU and of all that can be on the DLA; 0 where there is none to divide by.
+    layers: as for solved_one_change."""
+    on_dla = schedule_cost(layers.withColumn("schedule_id", F.col("net")).withColumn("proc", F.when(F.col("compat"), "D").otherwise("G")))
+    # nine digits, as solved schedules have: the same schedule summed in another order differs by nothing
+    on_dla = on_dla.select(F.col("schedule_id").alias("net"), F.round("time_ms", 9).alias("_dla_ms"), F.round("energy_mj", 9).alias("_dla_mj"))
+    on_gpu = layers.groupBy("net").agg(F.round(F.sum("gpu_ms"), 9).alias("_gpu_ms"), F.round(F.sum("gpu_mj"), 9).alias("_gpu_mj"))
+    own = chosen.select("net", F.round("time_ms", 9).alias("time_ms"), F.round("energy_mj", 9).alias("energy_mj")).join(on_gpu, "net").join(on_dla, "net")
+    some = F.col("time_ms") > 0
+    own = own.withColumn("fps", F.when(some, 1000 / F.col("time_ms")).otherwise(0.0)).withColumn("watts", F.when(some, F.col("energy_mj") / F.col("time_ms")).otherwise(0.0))
+    for device in ("gpu", "dla"):
+        own = own.withColumn(f"time_vs_{device}", percent_difference(F.col("time_ms"), F.col(f"_{device}_ms"))).withColumn(f"energy_vs_{device}", percent_difference(F.col("energy_mj"), F.col(f"_{device}_mj")))
+    return own.drop("_gpu_ms", "_gpu_mj", "_dla_ms", "_dla_mj")
+
+
 def subgraph_ports(io: DataFrame, start: int, end: int) -> DataFrame:
     """(net, tensor, port): inputs and outputs of nodes start..end. io: net, node, tensor, dir (in or out). Inputs are
     consumed but not produced inside; outputs are produced inside and consumed later, or all produced if none is."""

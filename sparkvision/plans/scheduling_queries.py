@@ -98,6 +98,19 @@ def solved_schedules_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduling.solved(costs(spark, sf_dir), max_transitions=3)
 
 
+@query(f"""WITH {SOLVED}, gpu_only AS (SELECT net, round(sum(gpu_ms), 9) AS t, round(sum(gpu_mj), 9) AS e FROM costs GROUP BY 1), best AS (SELECT p.net, coalesce(round(g.t, 9), p.t) AS t, coalesce(round(g.e, 9), p.e) AS e FROM gpu_only p LEFT JOIN good g ON g.net = p.net AND g.r = 1),
+moved AS (SELECT *, coalesce(lag(compat) OVER w <> compat, FALSE) AS ch, lag(size) OVER w / 1048576.0 AS mb FROM costs WINDOW w AS (PARTITION BY net ORDER BY idx)),
+dla_first AS (SELECT net, round(sum(CASE WHEN compat THEN dla_ms ELSE gpu_ms END + CASE WHEN ch THEN 0.1 + mb * 0.05 ELSE 0 END), 9) AS t, round(sum(CASE WHEN compat THEN dla_mj ELSE gpu_mj END + CASE WHEN ch THEN 0.01 + mb * 0.005 ELSE 0 END), 9) AS e FROM moved GROUP BY 1)
+SELECT net, round(b.t, 6) AS time_ms, round(b.e, 6) AS energy_mj, round(1000 / b.t, 4) AS fps, round(b.e / b.t, 4) AS watts, round((b.t - p.t) / p.t * 100, 4) AS time_vs_gpu, round((b.e - p.e) / p.e * 100, 4) AS energy_vs_gpu, round((b.t - d.t) / d.t * 100, 4) AS time_vs_dla, round((b.e - d.e) / d.e * 100, 4) AS energy_vs_dla
+FROM best b JOIN gpu_only p USING (net) JOIN dla_first d USING (net)""")
+def schedule_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The solved schedules beside all-GPU and DLA-where-possible."""
+    own = costs(spark, sf_dir)
+    found = scheduling.compared_schedules(scheduling.solved_one_change(own), own)
+    exact = [F.round(c, 6).alias(c) for c in ("time_ms", "energy_mj")]
+    return found.select("net", *exact, *[F.round(c, 4).alias(c) for c in ("fps", "watts", "time_vs_gpu", "energy_vs_gpu", "time_vs_dla", "energy_vs_dla")])
+
+
 #: A network as tensors: each layer consumes its predecessor's tensor and, every third, that of two before.
 IO = views.LAYERS + """, io AS (SELECT net, idx AS node, 't' || CAST(idx AS VARCHAR) AS tensor, 'out' AS dir FROM layers UNION ALL SELECT net, idx, 't' || CAST(idx - 1 AS VARCHAR), 'in' FROM layers UNION ALL SELECT net, idx, 't' || CAST(idx - 3 AS VARCHAR), 'in' FROM layers WHERE idx % 3 = 0)"""
 

@@ -179,6 +179,14 @@ def test_solvers_against_all_schedules(spark, seed):
     assert r.time_ms == pytest.approx(brute_schedule(layers, 1, 0.8)[0], abs=1e-6)
 
 
+def test_compared_schedules(spark):
+    layers = spark.createDataFrame([("n", 0, 4.0, 8.0, 5.0, 4.0, 1 << 20, True), ("n", 1, 4.0, 8.0, 5.0, 4.0, 1 << 20, True)], "net string, idx int, gpu_ms double, gpu_mj double, dla_ms double, dla_mj double, size long, compat boolean")
+    chosen = spark.createDataFrame([("n", 10.0, 8.0)], "net string, time_ms double, energy_mj double")
+    (r,) = scheduling.compared_schedules(chosen, layers).collect()
+    assert (r.fps, r.watts) == (100, 0.8)
+    assert (r.time_vs_gpu, r.energy_vs_gpu, r.time_vs_dla, r.energy_vs_dla) == (25, -50, 0, 0)
+
+
 def test_split_ranges(spark):
     sizes = spark.createDataFrame([("n", 5)], "net string, n int")
     cuts = spark.createDataFrame([("n", 1), ("n", 3)], "net string, idx int")
