@@ -202,13 +202,15 @@ def salted_join(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFra
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
-def candidates(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) that connect all sets which may be similar."""
+def candidates(sets: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (u, v) that connect all sets which may be similar, and the tables of paths that they are computed from, which
+    are to be given up once the links are written."""
     level = sets.select("sid", "sketch").mapInArrow(lambda b: paths(b, runs_for(RECALL, DEPTH), similarity), "sid binary, path long")
-    small = None
+    small, held = None, []
     for depth in range(1, DEPTH + 1):
         sizes = reused(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
         rows = reused(salted_join(level, sizes, "path", "sid"))
+        held += [sizes, rows]
         limit = LIMIT if depth == 1 else DEEP_LIMIT
         now = (rows if depth == DEPTH else rows.where(F.col("n") <= limit)).select("sid", "path", "n")
         small = now if small is None else small.unionByName(now)
@@ -219,9 +221,11 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
         if not hot.limit(1).count():
             break
         level = reused(hot.mapInArrow(lambda b: deeper(b, similarity), "sid binary, path long, sketch binary"))
+        held.append(level)
     dealt = blocks(small.withColumn("_n", F.ceil(F.col("n") / F.lit(4 * LIMIT))), "path", "_n", "sid")
     full = dealt.join(sets.select("sid", "brief"), "sid").select("path", "one", "two", "side", "sid", "brief")
-    return full.repartition("path", "one", "two").sortWithinPartitions("path", "one", "two").mapInArrow(lambda b: compared(b, similarity), "u binary, v binary").distinct()
+    links = full.repartition("path", "one", "two").sortWithinPartitions("path", "one", "two").mapInArrow(lambda b: compared(b, similarity), "u binary, v binary").distinct()
+    return links, held
 
 
 def intersections(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
@@ -293,7 +297,10 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"))
     rows = reused(sketched(own.select("text", "doc"), k))
     sets = written(rows.groupBy("sid").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("brief").alias("brief")), "sets")
-    groups = connected_components(candidates(sets, similarity))
+    links, held = candidates(sets, similarity)
+    groups = connected_components(links)
+    for table in held:
+        table.unpersist()
     sizes = groups.join(sets.select("sid", "n"), groups.node == sets.sid).groupBy("label").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_TEXTS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.lit(1)).alias("_n"))
     members = salted_join(groups, sizes, "label", "node").join(sets.select("sid", "rep", "copies"), F.col("node") == F.col("sid")).select("label", "_n", "sid", "rep", "copies")
     texts = own.select("doc", "text").join(members, F.col("doc").eqNullSafe(F.col("rep"))).select(F.xxhash64("label").alias("group"), "_n", "sid", "copies", "text")
