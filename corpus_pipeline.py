@@ -36,9 +36,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays."""
     shipped(spark)
-    first = ngram_join.classes(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return kept.withColumn("_mark", F.xxhash64("text")).dropDuplicates(["doc_id", "_mark"]).select(COLUMNS)
+    # two columns that are never null stand for the id: the join then deals texts out as dropDuplicates needs them, once
+    key = {"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()}
+    first = ngram_join.classes(docs).where("doc_id <=> class_id").withColumns(key).select(*key).distinct()
+    kept = docs.withColumns(key).join(first, [*key], "left_semi")
+    return kept.withColumn("_mark", F.xxhash64("text")).dropDuplicates([*key, "_mark"]).select(COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
