@@ -100,6 +100,13 @@ def test_toxicity(spark):
     assert np.mean([a == b for a, b in out]) > 0.95
 
 
+def test_every_place_of_three_texts_is_embedded():
+    parts, n = len(toxicity.PARTS), 70_000
+    texts = [np.arange(n, dtype=np.int32).reshape(-1, parts)] * 4
+    m = toxicity.Model(texts, np.array([0.0, 1.0, 0.0, 1.0]), ["en"] * 4)
+    assert len(np.unique(m.index[:n])) == n and m.index[:n].min() > 0 and len(m.e) == n + 1
+
+
 def test_interactions_are_learned():
     rng = np.random.default_rng(1)
     x = rng.random((4000, len(quality_model.FEATURES)))
