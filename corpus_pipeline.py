@@ -16,14 +16,14 @@ from sparkvision.sources.package import shipped
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below these a document is rejected.
-LEAST_LANGUAGE_SCORE, LEAST_QUALITY = 0.25, 0.5
+LEAST_KNOWN_SHARE, LEAST_QUALITY = 0.5, 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language, or hardly like any, go."""
+    """Documents in no language, or hardly like any that was learned, go."""
     shipped(spark)
-    told = language.identify(docs, keep=COLUMNS)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(COLUMNS)
+    told = language.identify(docs, keep=COLUMNS, spelling=True)
+    return told.where((F.col("lang_pred") != "und") & (F.col("known_share") >= LEAST_KNOWN_SHARE)).select(COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,11 @@ two texts is the mean over n of the normalised number of n-grams that both have.
 Nyström approximation, in which one ridge regression per language is solved. Texts are scored in blocks by two matrix
 products: presence by landmarks, then kernel values by weights.
 
+Scores of a text sum to 1, whatever it is, so the greatest says nothing of a text in no language or in one that was not
+learned. On request known_share tells them: the share of a text's distinct trigrams (digits as one sign of their own) that
+stand in at least KNOWN_IN of the training texts of the language it was given. A language with fewer than KNOWN_FROM
+training texts cannot be judged so, and the share is 1.
+
 Learns from at most SAMPLE rows with a text and a language, chosen by a hash of the id. Null texts and texts without a
 letter are `und` with score 0; so is every text if there is nothing to learn from. Rows are scored one by one: repeated
 rows and ids and further columns change nothing.
@@ -34,13 +39,16 @@ FOLD = np.full(256, 0x20, np.uint8)
 FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 FOLD[0x80:] = np.arange(0x80, 0x100)
+KNOWN_IN, KNOWN_FROM = 0.03, 10
+SPELT = FOLD.copy()
+SPELT[ord("0") : ord("9") + 1] = ord("0")
 
 
-def presence(texts: list[bytes]) -> np.ndarray:
+def presence(texts: list[bytes], fold: np.ndarray = FOLD) -> np.ndarray:
     """One row of 0 and 1 for each text."""
     out = np.zeros((len(texts), FROM[-1]), np.float32)
     buf = np.frombuffer(b"   ".join(texts) + b"   ", np.uint8)
-    b = FOLD[buf]
+    b = fold[buf]
     b[1:][(buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E)] += 0x20
     size = np.fromiter((len(t) + 3 for t in texts), np.int64, len(texts))
     base = np.repeat(np.arange(len(texts)) * FROM[-1], size)[: len(b)]
@@ -54,6 +62,11 @@ def presence(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def trigrams(texts: list[bytes]) -> np.ndarray:
+    """The places of the trigrams that known_share counts, one row of 0 and 1 for each text."""
+    return presence(texts, SPELT)[:, FROM[2] :]
+
+
 def normalised(x: np.ndarray) -> np.ndarray:
     """Rows whose product is the kernel."""
     for n in range(len(PLACES)):
@@ -63,8 +76,8 @@ def normalised(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, bits: np.ndarray, langs: list[str]):
-        """bits: packed presence rows of the training texts."""
+    def __init__(self, bits: np.ndarray, langs: list[str], spelt: np.ndarray | None = None):
+        """bits, spelt: packed rows of presence and of trigrams of the training texts."""
         self.langs = sorted(set(langs))
 
         def rows(at) -> np.ndarray:
@@ -83,11 +96,21 @@ class Model:
         weights = np.linalg.solve(f.T @ f + RIDGE * len(f) * np.eye(f.shape[1]), f.T @ (target - self.mean))
         self.landmarks, self.weights = np.ascontiguousarray(z.T), (half @ weights).astype(np.float32)
 
+        if spelt is not None:
+            own = [spelt[np.array(langs) == a] for a in self.langs]
+            seen = [sum(np.unpackbits(x[i : i + 256], axis=1).sum(0, dtype=np.int64) for i in range(0, len(x), 256)) for x in own]
+            self.known = np.array([(n >= max(1, KNOWN_IN * len(x))) | (len(x) < KNOWN_FROM) for n, x in zip(seen, own, strict=True)], np.float32)
+
+    def known_share(self, texts: list[bytes], lang: np.ndarray) -> np.ndarray:
+        """lang: the place in langs of each text's language."""
+        x = trigrams(texts)
+        return (x @ self.known.T)[np.arange(len(texts)), lang] / np.maximum(1, x.sum(1))
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         return normalised(presence(texts)) @ self.landmarks @ self.weights + self.mean.astype(np.float32)
 
 
-def fit(docs: DataFrame, folds: int, fold: int, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fit(docs: DataFrame, folds: int, fold: int, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", spelling: bool = False) -> Model | None:
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     ids = own.where(~held_out("id", folds, fold)).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
     some = own.join(F.broadcast(ids), "id").select("text", "lang")  # at most `sample` ids
@@ -95,34 +118,40 @@ def fit(docs: DataFrame, folds: int, fold: int, sample: int = SAMPLE, id_col: st
     def run(batches):
         for rows, texts in chunks(batches, "text", 1 << 18):
             packed = np.packbits(presence(texts).astype(bool), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in packed], pa.binary()), rows.column(1)], names=["bits", "lang"])
+            spelt = np.packbits(trigrams(texts).astype(bool), axis=1) if spelling else np.zeros((len(texts), 0), np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in packed], pa.binary()), rows.column(1), pa.array([p.tobytes() for p in spelt], pa.binary())], names=["bits", "lang", "spelt"])
 
-    rows = sorted(some.mapInArrow(run, "bits binary, lang string").limit(4 * sample).collect())
+    rows = sorted(some.mapInArrow(run, "bits binary, lang string, spelt binary").limit(4 * sample).collect())
     if not rows:
         return None
-    return Model(np.stack([np.frombuffer(r.bits, np.uint8) for r in rows]), [r.lang for r in rows])
+    bits, spelt = (np.stack([np.frombuffer(r[c], np.uint8) for r in rows]) for c in ("bits", "spelt"))
+    return Model(bits, [r.lang for r in rows], spelt if spelling else None)
 
 
-def identified(docs: DataFrame, model: Model | None, folds: int, fold: int, keep: list[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, held_out, lang_pred, score, and the columns of `keep`."""
+def identified(docs: DataFrame, model: Model | None, folds: int, fold: int, keep: list[str] = (), id_col: str = "doc_id", text_col: str = "text", spelling: bool = False) -> DataFrame:
+    """Per row: id_col, held_out, lang_pred, score, with spelling also known_share (the model must have learned it), and the
+    columns of `keep`."""
     own = docs.select(F.col(text_col).alias("_text"), F.col(id_col), held_out(id_col, folds, fold).alias("held_out"), *[F.col(c) for c in keep if c != id_col])
-    schema = T.StructType([*own.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*own.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField("known_share", T.DoubleType())] * spelling])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         own_model = sent.value
         for rows, texts in chunks(batches, "_text", 1 << 20):
-            lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+            lang, score, known = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts))
             at = [i for i, t in enumerate(texts) if LETTER.search(t.decode())] if own_model else []
             for i in range(0, len(at), BLOCK):
                 some = at[i : i + BLOCK]
-                s = own_model.scores([texts[j] for j in some])
+                own_texts = [texts[j] for j in some]
+                s = own_model.scores(own_texts)
                 lang[some] = np.array(own_model.langs, object)[s.argmax(1)]
+                if spelling:
+                    known[some] = own_model.known_share(own_texts, s.argmax(1))
                 score[some] = np.clip(s.max(1), 0, 1)
-            yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(lang, pa.string()), pa.array(score)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(lang, pa.string()), pa.array(score), *[pa.array(known)] * spelling], names=schema.names)
 
     return own.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, folds: int = 3, fold: int = 1, keep: list[str] = ()) -> DataFrame:
-    return identified(docs, fit(docs, folds, fold), folds, fold, keep)
+def identify(docs: DataFrame, folds: int = 3, fold: int = 1, keep: list[str] = (), spelling: bool = False) -> DataFrame:
+    return identified(docs, fit(docs, folds, fold, spelling=spelling), folds, fold, keep, spelling=spelling)

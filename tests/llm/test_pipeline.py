@@ -1,5 +1,8 @@
 """Each stage on what its predecessor kept, against what its operator says."""
 
+import base64
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
@@ -41,6 +44,23 @@ def test_stages(spark, sf_dir):
     assert packed.select("doc_id").distinct().count() == n[4]
 
 
+def test_no_learned_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(8)
+    junk = [
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(40)),
+        "".join(rng.choice("asdfghjkl") for _ in range(120)),
+        rng.randbytes(90).hex(),
+        base64.b64encode(rng.randbytes(90)).decode(),
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    ]
+    rows = spark.createDataFrame([(-1 - i, t, None, "s", len(t)) for i, t in enumerate(junk)], docs.schema)
+    got = {r.doc_id for r in pipeline.language_id(spark, docs.unionByName(rows), sf_dir).collect()}
+    clean = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").join(docs.where("text IS NOT NULL"), "doc_id").collect()
+    assert not [i for i in got if i < 0] and {r.doc_id for r in clean} <= got
+
+
 def test_run(spark, sf_dir):
     assert pipeline.run(spark, sf_dir).count() > 0
 
