@@ -34,13 +34,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays."""
+    """Of each group of near copies the document with the least id stays, of several with that id the text with the least
+    hash; ids that are null or stand on other texts as well make no difference."""
     shipped(spark)
-    # two columns that are never null stand for the id: the join then deals texts out as dropDuplicates needs them, once
-    key = {"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()}
-    first = ngram_join.classes(docs).where("doc_id <=> class_id").withColumns(key).select(*key).distinct()
-    kept = docs.withColumns(key).join(first, [*key], "left_semi")
-    return kept.withColumn("_mark", F.xxhash64("text")).dropDuplicates([*key, "_mark"]).select(COLUMNS)
+    # columns that are never null stand for id and text: the join then deals texts out as dropDuplicates needs them, once
+    key = {"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull(), "_mark": F.xxhash64("text")}
+    first = ngram_join.representatives(docs).select(F.coalesce("doc", F.lit(0)).cast(docs.schema["doc_id"].dataType).alias("_id"), F.col("doc").isNull().alias("_none"), F.col("mark").alias("_mark"))
+    return docs.withColumns(key).join(first, [*key], "left_semi").dropDuplicates([*key]).select(COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

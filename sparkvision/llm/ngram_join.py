@@ -22,8 +22,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import connected_components
 from .scratch import reused, written
@@ -73,7 +74,9 @@ def signatures(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[bytes]:
 
 def sketched(docs: DataFrame, k: int) -> DataFrame:
     """(doc, sid, n, sketch, brief): the set's name, its size, the least hash (32 bits, 0 for none) of each of 64 parts, and
-    a byte of each."""
+    a byte of each; behind them the columns of docs after text and doc."""
+    more = docs.schema.fields[2:]
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("sid", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("brief", T.BinaryType()), *more])
 
     def run(batches):
         for rows, texts in chunks(batches, "text", 1 << 20):
@@ -88,9 +91,10 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
             some = np.flatnonzero(n)
             sid = signatures(h, first, n)
             size = 4 * BINS
-            yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(some)), pa.array([sid[i] for i in some], pa.binary()), pa.array(n[some], pa.int64()), pa.array([raw[size * i : size * i + size] for i in some], pa.binary()), pa.array([brief[BINS * i : BINS * i + BINS] for i in some], pa.binary())], names=["doc", "sid", "n", "sketch", "brief"])
+            at = pa.array(some)
+            yield pa.RecordBatch.from_arrays([rows.column(1).take(at), pa.array([sid[i] for i in some], pa.binary()), pa.array(n[some], pa.int64()), pa.array([raw[size * i : size * i + size] for i in some], pa.binary()), pa.array([brief[BINS * i : BINS * i + BINS] for i in some], pa.binary()), *[rows.column(2 + i).take(at) for i in range(len(more))]], names=schema.names)
 
-    return docs.mapInArrow(run, "doc long, sid binary, n long, sketch binary, brief binary")
+    return docs.mapInArrow(run, schema)
 
 
 def tokens(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
@@ -291,12 +295,9 @@ def decided(batches, k: int, similarity: float):
         yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.binary()), pa.array(out_v, pa.binary()), pa.array(out_n, pa.int64())], names=["u", "v", "links"])
 
 
-def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, class_id (least id of the texts joined to it by links), n_links (other documents with a similarity
-    of at least `similarity`, copies included), copy_id (least id with an equal shingle set) and n_copies (such rows)."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"))
-    rows = reused(sketched(own.select("text", "doc"), k))
-    sets = written(rows.groupBy("sid").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("brief").alias("brief")), "sets")
+def joined(own: DataFrame, rows: DataFrame, k: int, similarity: float, *more: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the sets of sketched rows with the aggregates of `more`, the links found among them, the label of each linked set)."""
+    sets = written(rows.groupBy("sid").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("brief").alias("brief"), *more), "sets")
     links, held = candidates(sets, similarity)
     groups = connected_components(links)
     for table in held:
@@ -307,11 +308,36 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     dealt = blocks(texts, "group", "_n", "sid").select("group", "one", "two", "side", "sid", "copies", "text")
     found = written(dealt.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two").mapInArrow(lambda b: decided(b, k, similarity), "u binary, v binary, links long"), "decided")
     label = connected_components(found)
+    return sets, found, label
+
+
+def blank(own: DataFrame) -> DataFrame:
+    """The rows without a word, which are in no set."""
+    return own.where(F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
+
+
+def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id_col, class_id (least id of the texts joined to it by links), n_links (other documents with a similarity
+    of at least `similarity`, copies included), copy_id (least id with an equal shingle set) and n_copies (such rows)."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"))
+    rows = reused(sketched(own.select("text", "doc"), k))
+    sets, found, label = joined(own, rows, k, similarity)
     per_set = found.groupBy(F.col("u").alias("sid")).agg(F.sum("links").alias("links"))
     of_class = label.join(sets.select("sid", "rep"), F.col("node") == F.col("sid")).select("sid", "label", "rep")
     least = of_class.groupBy("label").agg(F.min("rep").alias("class_id"))
     named = salted_join(of_class, least, "label", "sid").join(per_set, "sid", "left").select("sid", "class_id", "links")
     facts = sets.select("sid", "rep", "copies").join(named, "sid", "left").select("sid", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("rep").alias("copy_id"), F.col("copies").alias("n_copies"))
     known = rows.select("doc", "sid").join(facts, "sid").drop("sid")
-    blank = own.where(F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))).select("doc", F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"))
-    return known.unionByName(blank).select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), "class_id", "n_links", "copy_id", "n_copies")
+    empty = blank(own).select("doc", F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"))
+    return known.unionByName(empty).select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), "class_id", "n_links", "copy_id", "n_copies")
+
+
+def representatives(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, mark) of one text of each class, once: the id, null only where the class has no other, and the xxhash64 of the
+    text; the least ones. Blank texts are of one class if text and id are equal."""
+    own = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"))
+    first = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark")
+    sets, _, label = joined(own, reused(sketched(own, k)), k, similarity, F.min(first).alias("first"))
+    linked = sets.select("sid", "first").join(label, F.col("node") == F.col("sid"), "left")
+    least = linked.groupBy(F.coalesce("label", "sid").alias("class")).agg(F.min("first").alias("first")).select("first.doc", "first.mark")
+    return least.unionByName(blank(own).select("doc", "mark").distinct())

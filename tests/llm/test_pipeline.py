@@ -9,6 +9,7 @@ import corpus_pipeline as pipeline
 from sparkvision.llm import queries
 from sparkvision.llm.scratch import written
 
+from .conftest import SCHEMA, prose
 from .test_joins import shingles
 from .test_repeats import brute_bytes
 
@@ -61,6 +62,23 @@ def test_no_learned_language(spark, sf_dir):
     assert not [i for i in got if i < 0] and {r.doc_id for r in clean} <= got
 
 
+def test_near_copies_without_or_with_shared_ids(spark, sf_dir):
+    rng = random.Random(9)
+
+    def near(text, at):
+        words = text.split(" ")
+        words[at] = "changed"
+        return " ".join(words)
+
+    nameless, mixed, shared, alone = (prose(rng, 200) for _ in range(4))
+    rows = [(None, nameless), (None, near(nameless, 50)), (None, near(nameless, 120)), (1, mixed), (None, near(mixed, 70)), (2, shared), (2, near(shared, 90)), (3, near(shared, 20)), (2, alone), (2, alone)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in pipeline.ngram_jaccard_join(spark, docs, sf_dir).collect()]
+    family = [nameless, mixed, shared, alone]
+    said = sorted(((next(k for k, t in enumerate(family) if len(shingles(t) & shingles(x)) > 100), i) for i, x in got), key=str)
+    assert said == [(0, None), (1, 1), (2, 2), (3, 2)]
+
+
 def test_run(spark, sf_dir):
     assert pipeline.run(spark, sf_dir).count() > 0
 
