@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.package import shared_dir
 
 
+#: What written() and reused() keep, until dropped() or freed().
+_kept: list[DataFrame] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -17,22 +21,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _kept.append(out)
     return out
 
 
 def reused(df: DataFrame) -> DataFrame:
     """Keep df on the executors' disks while several steps read it. What a lost executor held is computed anew; written()
-    is for what that would make expensive. spark.catalog.clearCache() frees it."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    is for what that would make expensive."""
+    out = df.persist(StorageLevel.DISK_ONLY)
+    out._scratch_path = None
+    _kept.append(out)
+    return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table of written() that nothing will read again."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of written() and reused() that nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        if context._jsc is None:  # its session has ended
+            pass
+        elif df._scratch_path is None:
+            df.unpersist()
+        else:
+            at = context._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        _kept[:] = [x for x in _kept if x is not df]
+
+
+def freed(*but: DataFrame) -> None:
+    """Delete all that is left of written() and reused() but these tables: for when results that are computed from it have
+    been written or are no longer wanted."""
+    dropped(*[x for x in _kept if not any(x is y for y in but)])
 
 
 def parts(spark: SparkSession) -> int:

@@ -6,10 +6,12 @@ by their first 7 symbols, and groups not yet settled are re-sorted by the rank o
 Kasai's rule gives the common prefixes of neighbours: where the neighbour of the next suffix is the next suffix of the
 neighbour, the prefix is one shorter; only the others are compared. A common prefix of 400 bytes means a repeat. Where
 one minimiser's bytes exceed a shard, its shards are merged: the windows still single in one are looked up in the suffix
-arrays of the others by binary search.
+arrays of the others by binary search. TILE suffix arrays are held at a time, and those of the shards before them are
+built anew to meet them, so memory does not grow with the minimiser.
 
 Every byte covered by a 400-byte string that also starts anywhere else is removed, in all its places. Null text is
-empty. Equal rows repeat each other. Matches never cross documents, and are judged on the input.
+empty. Equal rows repeat each other, whatever their ids; a null or repeated id joins no rows. Matches never cross
+documents, and are judged on the input.
 """
 
 from __future__ import annotations
@@ -24,20 +26,25 @@ from pyspark.sql import types as T
 from .superwindows import Received, Shape, found_spans, keyed, union, unpacked, with_spans
 from .text import U, spread
 
-#: Bytes of a shard.
-SHARD = 1 << 19
+#: Bytes of a shard, and shards held at once.
+SHARD, TILE = 1 << 19, 16
 SYMBOLS = 7
 
 
 class Shard:
-    """The stretches i:j: their bytes, the window starts, suffix order and common prefixes."""
+    """The stretches i:j: their bytes and window starts; with a window or once `built`, suffix order and common prefixes."""
 
-    def __init__(self, r: Received, i: int, j: int, window: int):
+    def __init__(self, r: Received, i: int, j: int, window: int = 0):
         size, self.windows, self.index = r.size[i:j], r.windows[i:j], np.arange(i, j)
         self.buf = np.frombuffer(b"".join(r.texts(i, j)), np.uint8)
-        n = len(self.buf)
         self.from_ = np.cumsum(size) - size
-        self.end = np.repeat(self.from_ + size, size)
+        self.size = size
+        if window:
+            self.built(window)
+
+    def built(self, window: int) -> Shard:
+        n = len(self.buf)
+        self.end = np.repeat(self.from_ + self.size, self.size)
         self.key = np.zeros(n, U)
         place = np.arange(n)
         for s in range(SYMBOLS):
@@ -47,6 +54,7 @@ class Shard:
             self.key = self.key << U(9) | symbol
         del place, symbol
         self.sort(window)
+        return self
 
     def sort(self, window: int) -> None:
         """Larsson-Sadakane: sa, and rank (equal for suffixes equal up to the window's length)."""
@@ -115,6 +123,12 @@ class Shard:
         out[self.sa[at - 1]] = True
         return out
 
+    def slim(self) -> Shard:
+        """Without what only `repeated` reads."""
+        del self.key, self.levels
+        self.sa, self.rank, self.end = (x.astype(np.int32) for x in (self.sa, self.rank, self.end))
+        return self
+
     def starts(self) -> np.ndarray:
         return spread(self.from_, self.windows)
 
@@ -171,23 +185,39 @@ def judged(r: Received, window: int):
             continue
         total = np.append(0, np.cumsum(r.size[i:j]))
         cut = [i, *(i + np.searchsorted(total, np.arange(SHARD, total[-1], SHARD))).tolist(), j]
-        shards = [Shard(r, a, b, window) for a, b in zip(cut, cut[1:], strict=False) if a < b]
-        repeated = [s.repeated(window) for s in shards]
-        for x in range(len(shards)):
+        bare = [Shard(r, a, b) for a, b in zip(cut, cut[1:], strict=False) if a < b]
+        marks: list[np.ndarray] = []
+        for x in range(0, len(bare), TILE):
+            tile = []
+            for s in bare[x : x + TILE]:
+                marks.append(s.built(window).repeated(window))
+                tile.append(s.slim())
+            for one in range(len(tile)):
+                for two in range(one):
+                    met(tile[one], marks[x + one], tile[two], marks[x + two], window)
             for y in range(x):
-                # one window for each group of equal ones is looked up; a hit marks all of both groups
-                for one, two in ((x, y), (y, x)):
-                    at = shards[one].starts()
-                    at = at[~repeated[one][at]]
-                    hit, where = shards[two].holds(shards[one], at, window)
-                    repeated[one][at[hit]] = True
-                    repeated[two] |= np.isin(shards[two].rank[:-1], shards[two].rank[where[hit]]) & (shards[two].end - np.arange(len(shards[two].buf)) >= window)
-        for s, marks in zip(shards, repeated, strict=True):
-            out = runs(r, s, marks, window)
+                before = Shard(r, int(bare[y].index[0]), int(bare[y].index[-1]) + 1, window).slim()
+                for one, s in enumerate(tile):
+                    met(s, marks[x + one], before, marks[y], window)
+            for s in tile:
+                del s.sa, s.rank, s.end
+        for s, own in zip(bare, marks, strict=True):
+            out = runs(r, s, own, window)
             if out:
                 yield out
 
 
+def met(a: Shard, of_a: np.ndarray, b: Shard, of_b: np.ndarray, window: int) -> None:
+    """Marks in both shards what one window of the other equals: one of each group of equal ones is looked up, and a hit
+    marks all of both groups."""
+    for one, mine, two, its in ((a, of_a, b, of_b), (b, of_b, a, of_a)):
+        at = one.starts()
+        at = at[~mine[at]]
+        hit, where = two.holds(one, at, window)
+        mine[at[hit]] = True
+        its |= np.isin(two.rank[:-1], two.rank[where[hit]]) & (two.end - np.arange(len(two.buf)) >= window)
+
+
 def every(doc, mark, start, units, some, first):
     """A chunk's equal stretches are removed in all their places."""
     return doc[some], mark[some], start[some], start[some] + units[some]

@@ -7,6 +7,9 @@ minimiser are one stretch of text, sent once, compressed, to the partition of th
 Runs of k units that make up more than 1/65536 of all such runs (frequent lines, passages of a large group of copies)
 count as greater than all others, so a window takes one of them only if it holds nothing else; all such stretches of a
 chunk are then equal, and equal stretches of a chunk are sent once. The table of those runs has at most 65536 entries.
+Stretches under such a minimiser (hot) take two steps: first they are dealt out by minimiser and chunk to about the root
+of all partitions, where equal ones become one; what is left of each partition then goes to the minimiser's own. A task
+that takes in more than CONDENSE compressed bytes makes equal stretches one as it reads, so it holds different ones only.
 """
 
 from __future__ import annotations
@@ -21,18 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import for_bytes, reused
+from .scratch import dropped, for_bytes, parts, reused
 from .text import U, WORD_BASE, Chunk, chunks, mix, powers, spread, window_minimum
 
 SHARE = 1 << 16
 #: Bytes of stretches that a task takes in.
 TASK_BYTES = 24 << 20
-SPANS = "p int, blob binary, doc long, mark long, lo long, hi long"
+#: Compressed bytes of stretches after which a task looks for equal ones before it takes in more.
+CONDENSE = 24 << 20
+SPANS = "p int, blob binary, doc long, mark long, lo long, hi long, hot boolean"
 #: Stands for a null document id; sorts before all others.
 NO_ID = -(1 << 63)
 #: Columns of a blob as they travel; ids as differences from row to row. 32 bits of the minimiser group the stretches of a
 #: partition: a chance meeting of two minimisers costs a comparison and changes no result.
-HEADER = (("minimum", np.uint32), ("doc", np.int64), ("mark", np.uint16), ("start", np.uint32), ("windows", np.uint32), ("size", np.uint32), ("recurs", np.bool_))
+HEADER = (("minimum", np.uint32), ("doc", np.int64), ("mark", np.int64), ("start", np.uint32), ("windows", np.uint32), ("size", np.uint32), ("recurs", np.bool_))
 _up: list[np.ndarray] = []
 
 
@@ -91,10 +96,9 @@ def frequent(docs: DataFrame, shape: Shape) -> tuple[np.ndarray, int]:
     counted = docs.select("text").mapInArrow(run, "gram long, n long, size long").groupBy("gram", (F.col("size") > 0).alias("all")).agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
     counted = reused(counted)
     total = counted.where("all").agg(F.sum("n"), F.sum("size")).first()
-    if not total[0]:
-        return np.zeros(0, U), total[1] or 0
-    rows = counted.where(~F.col("all") & (F.col("n") > max(16, total[0] // SHARE))).select("gram").collect()
-    return np.array([r[0] for r in rows], np.int64).view(U), total[1]
+    rows = counted.where(~F.col("all") & (F.col("n") > max(16, (total[0] or 0) // SHARE))).select("gram").collect()
+    dropped(counted)
+    return np.array([r[0] for r in rows], np.int64).view(U), total[1] or 0
 
 
 def stretches(c: Chunk, shape: Shape, hot: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -118,14 +122,36 @@ def stretches(c: Chunk, shape: Shape, hot: np.ndarray) -> tuple[np.ndarray, ...]
     return least[new], doc[new], at[new], windows, recurs
 
 
-def spans_batch(doc, mark, lo, hi, p) -> pa.RecordBatch:
-    n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.nulls(n, pa.binary()), *(pa.array(x, pa.int64()) for x in (doc, mark, lo, hi))], names=["p", "blob", "doc", "mark", "lo", "hi"])
+def batch_of(p, hot, blobs, spans=None) -> pa.RecordBatch:
+    """Rows of SPANS: blobs, or else spans."""
+    n = len(p)
+    own = [pa.nulls(n, pa.int64())] * 4 if spans is None else [pa.array(x, pa.int64()) for x in spans]
+    body = pa.nulls(n, pa.binary()) if blobs is None else pa.array(blobs, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), body, *own, pa.array(hot, pa.bool_())], names=["p", "blob", "doc", "mark", "lo", "hi", "hot"])
+
+
+def equal_ones(content: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the members of groups of equal content, sorted by group, document and place; the first of the group of each)."""
+    order = np.argsort(content)
+    same = content[order][1:] == content[order][:-1]
+    some = order[(np.append(False, same) | np.append(same, False))[: len(order)]]
+    some = some[np.lexsort((start[some], doc[some], content[some]))]
+    head = np.append(True, content[some][1:] != content[some][:-1])[: len(some)]
+    return some, some[np.flatnonzero(head)][np.cumsum(head) - 1] if len(some) else some
+
+
+def packed_blob(cols: dict[str, np.ndarray], bodies: list[bytes]) -> bytes:
+    """Stretches as they travel; ids as differences from row to row."""
+    pack = zstandard.ZstdCompressor(level=3)
+    own = cols | {"doc": np.diff(cols["doc"], prepend=0)}
+    head = b"".join(own[name].astype(kind).tobytes() for name, kind in HEADER)
+    head = pack.compress(len(bodies).to_bytes(8, "little") + head)
+    return len(head).to_bytes(8, "little") + head + pack.compress(b"".join(bodies))
 
 
 def send(batches, shape: Shape, hot: np.ndarray, partitions: int, local: Callable) -> Iterator[pa.RecordBatch]:
     """Blobs of different stretches by partition, and the spans that `local` finds among a chunk's equal stretches."""
-    pack = zstandard.ZstdCompressor(level=3)
+    salts = int(np.ceil(np.sqrt(partitions)))
     for rows, texts in chunks(batches, "text"):
         c = Chunk(texts)
         least, text, unit, windows, recurs = stretches(c, shape, hot)
@@ -134,45 +160,36 @@ def send(batches, shape: Shape, hot: np.ndarray, partitions: int, local: Callabl
         doc, mark = (np.asarray(rows.column(i)) for i in (1, 2))
         doc, mark, start = doc[text], mark[text], unit - c.from_[text]
         units = windows + shape.window - 1
-        content = shape.ranges(c, unit, units)
-        order = np.argsort(content)
-        same = content[order][1:] == content[order][:-1]
-        travels = np.ones(len(order), bool)
-        if same.any():
-            member = np.append(False, same) | np.append(same, False)
-            some = order[member]
-            some = some[np.lexsort((start[some], doc[some], content[some]))]
-            head = np.append(True, content[some][1:] != content[some][:-1])
-            travels[some[~head]] = False
-            first = some[np.flatnonzero(head)][np.cumsum(head) - 1]
+        travels = np.ones(len(least), bool)
+        some, first = equal_ones(shape.ranges(c, unit, units), doc, start)
+        if len(some):
+            travels[some[some != first]] = False
             span = local(doc, mark, start, units, some, first)
-            yield spans_batch(*span, (mix(span[0].view(U) + span[2].astype(U)) % U(partitions)).astype(np.int32))
+            yield batch_of((mix(span[0].view(U) + span[2].astype(U)) % U(partitions)).astype(np.int32), np.zeros(len(span[0]), bool), None, span)
         go = np.flatnonzero(travels)
-        part = (mix(least[go]) % U(partitions)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        go, part = go[order], part[order]
+        warm = least[go] >> U(63) > 0
+        salt = mix(least[go]) + (mix(doc[:1].view(U) ^ mark[:1].view(U)) % U(salts)) * warm
+        part = (mix(salt) % U(partitions)).astype(np.int64)
+        order = np.lexsort((warm, part))
+        go, part, warm = go[order], part[order], warm[order]
         if shape.words:
             a, b = c.start[unit[go]], c.stop[unit[go] + units[go] - 1]
         else:
             a, b = unit[go], unit[go] + units[go]
         cols = {"minimum": mix(least) & U(0xFFFFFFFF), "doc": doc, "mark": mark, "start": start, "windows": windows, "recurs": recurs}
-        edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+        edge = np.append(np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (warm[1:] != warm[:-1]))), len(part))
         blobs = []
         for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            body = b"".join([c.raw[x:y] for x, y in zip(a[i:j].tolist(), b[i:j].tolist(), strict=True)])
-            own = {name: b[i:j] - a[i:j] if name == "size" else cols[name][go[i:j]] for name, _ in HEADER}
-            own["doc"] = np.diff(own["doc"], prepend=0)
-            head = b"".join(own[name].astype(kind).tobytes() for name, kind in HEADER)
-            head = pack.compress((j - i).to_bytes(8, "little") + head)
-            blobs.append(len(head).to_bytes(8, "little") + head + pack.compress(body))
-        none = pa.nulls(len(blobs), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary()), none, none, none, none], names=["p", "blob", "doc", "mark", "lo", "hi"])
+            own = {name: v[go[i:j]] for name, v in cols.items()} | {"size": b[i:j] - a[i:j]}
+            blobs.append(packed_blob(own, [c.raw[x:y] for x, y in zip(a[i:j].tolist(), b[i:j].tolist(), strict=True)]))
+        yield batch_of(part[edge[:-1]], warm[edge[:-1]], blobs)
 
 
 class Received:
-    """The stretches of one partition whose minimiser occurs more than once, in its order."""
+    """The stretches of one partition whose minimiser occurs more than once (or all of them), in its order."""
 
-    def __init__(self, blobs: list[bytes], shape: Shape):
+    def __init__(self, blobs: list[bytes], shape: Shape, every: bool = False):
+        self.shape = shape
         cols: dict[str, list] = {name: [] for name, _ in HEADER}
         heads = [int.from_bytes(blob[:8], "little") + 8 for blob in blobs]
         for blob, end in zip(blobs, heads, strict=True):
@@ -189,8 +206,8 @@ class Received:
         number = np.bincount(np.cumsum(np.append(True, m[1:] != m[:-1])) - 1)
         often = np.zeros(len(order), bool)
         often[order] = np.repeat(number, number) > 1
-        often |= joined["recurs"] > 0
-        # only now the texts, and of each blob only those that can meet another
+        often |= (joined["recurs"] > 0) | every
+        # only now the texts, and of each blob only those that are asked for
         bodies, offset, base = [], np.zeros(len(order), np.int64), 0
         for k, (blob, end) in enumerate(zip(blobs, heads, strict=True)):
             own = slice(*np.searchsorted(source, [k, k + 1]))
@@ -214,6 +231,7 @@ class Received:
         number: dict[tuple[int, bytes], int] = {}
         key = np.fromiter((number.setdefault((m, t), len(number)) for m, t in zip(self.minimum.tolist(), self.texts(0, len(self.minimum)), strict=True)), np.int64, len(self.minimum))
         times = np.bincount(key, minlength=len(number))
+        del number
         some = np.flatnonzero(times[key] > 1)
         out = self.doc[some], self.mark[some], self.start[some], self.start[some] + self.windows[some] + window - 1
         _, first = np.unique(key, return_index=True)
@@ -226,6 +244,19 @@ class Received:
             setattr(self, name, getattr(self, name)[keep])
         return out
 
+    def condensed(self, local: Callable) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """(the spans that `local` finds among equal stretches, the rows of one stretch of each kind)."""
+        number: dict[tuple[int, bytes], int] = {}
+        key = np.fromiter((number.setdefault((m, t), len(number)) for m, t in zip(self.minimum.tolist(), self.texts(0, len(self.minimum)), strict=True)), np.int64, len(self.minimum))
+        some, first = equal_ones(key, self.doc, self.start)
+        stays = np.ones(len(key), bool)
+        stays[some[some != first]] = False
+        return local(self.doc, self.mark, self.start, self.windows + self.shape.window - 1, some, first), np.flatnonzero(stays)
+
+    def blob(self, rows: np.ndarray) -> bytes:
+        cols = {name: getattr(self, name)[rows] for name, _ in HEADER}
+        return packed_blob(cols, [self.body[a : a + n] for a, n in zip(self.offset[rows].tolist(), cols["size"].tolist(), strict=True)])
+
     def slices(self, limit: int) -> Iterator[tuple[int, int, bool]]:
         """Ranges of whole minimisers of about `limit` bytes; a minimiser beyond it comes alone (True)."""
         n = len(self.minimum)
@@ -238,30 +269,70 @@ class Received:
             i = j
 
 
+class Inbox:
+    """Blobs as a task reads them; beyond `most` bytes equal stretches become one, so it grows with different ones only."""
+
+    def __init__(self, shape: Shape, local: Callable, most: int):
+        self.shape, self.local, self.most = shape, local, most
+        self.blobs: list[bytes] = []
+        self.size, self.limit = 0, most
+
+    def add(self, blobs: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Takes the blobs in; yields the spans of what became one."""
+        for blob in blobs:
+            self.blobs.append(blob)
+            self.size += len(blob)
+            if self.size > self.limit:
+                r = Received(self.blobs, self.shape, every=True)
+                spans, rows = r.condensed(self.local)
+                self.blobs = [r.blob(rows)]
+                self.size = len(self.blobs[0])
+                self.limit = max(self.most, 2 * self.size)
+                yield spans
+
+
 def found_spans(docs: DataFrame, shape: Shape, local: Callable, judge: Callable) -> DataFrame:
     """(doc, mark, spans: array of (lo, hi)) of the documents with any; docs has text, doc and mark.
 
-    `local(doc, mark, start, units, some, first)` gives the spans of a chunk's equal stretches; `judge(received)` yields
+    `local(doc, mark, start, units, some, first)` gives the spans of equal stretches; `judge(received)` yields
     (doc, mark, lo, hi) arrays for a partition's stretches."""
     hot, size = frequent(docs, shape)
-    partitions = for_bytes(docs.sparkSession, size * 4, TASK_BYTES)
-    sent = docs.select("text", "doc", "mark").mapInArrow(lambda batches: send(batches, shape, hot, partitions, local), SPANS)
+    spark, most = docs.sparkSession, CONDENSE
+    partitions = for_bytes(spark, size * 4, TASK_BYTES)
+    table = spark.sparkContext.broadcast(hot)  # SHARE entries at most
+    sent = docs.select("text", "doc", "mark").mapInArrow(lambda batches: send(batches, shape, table.value, partitions, local), SPANS)
 
     def receive(batches):
-        blobs: list[bytes] = []
+        usual, hot_ones = Inbox(shape, local, most), Inbox(shape, local, most)
+        none = lambda spans: batch_of(np.zeros(len(spans[0]), np.int32), np.zeros(len(spans[0]), bool), None, spans)
         for b in batches:
-            col = b.column(1)
-            valid = np.asarray(col.is_valid())
-            blobs += [x for x in col.to_pylist() if x is not None]
-            if not valid.all():
-                yield b.filter(pa.array(~valid)).select(["doc", "mark", "lo", "hi"])
-        if blobs:
-            for doc, mark, lo, hi in judge(Received(blobs, shape)):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, mark, lo, hi)], names=["doc", "mark", "lo", "hi"])
-
-    dealt = sent.repartition(partitions, "p")
-    spans = dealt.mapInArrow(receive, "doc long, mark long, lo long, hi long")
-    return spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+            full, hot_row = (np.asarray(x) for x in (b.column(1).is_valid(), b.column(6)))
+            for box, rows in ((usual, full & ~hot_row), (hot_ones, full & hot_row)):
+                for spans in box.add(b.column(1).filter(pa.array(rows)).to_pylist()):
+                    yield none(spans)
+            if not full.all():
+                yield b.filter(pa.array(~full))
+        if usual.blobs:
+            for spans in judge(Received(usual.blobs, shape)):
+                yield none(spans)
+        if hot_ones.blobs:
+            r = Received(hot_ones.blobs, shape, every=True)
+            spans, rows = r.condensed(local)
+            yield none(spans)
+            edge = np.append(np.flatnonzero(np.append(True, r.minimum[rows][1:] != r.minimum[rows][:-1])), len(rows))
+            blobs = [r.blob(rows[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+            yield batch_of(r.minimum[rows][edge[:-1]].astype(np.uint32).view(np.int32), np.ones(len(blobs), bool), blobs)
+
+    def finish(batches):
+        for b in receive(b.set_column(6, "hot", pa.array(np.zeros(b.num_rows, bool))) for b in batches):
+            yield b.select(["doc", "mark", "lo", "hi"])
+
+    first = reused(sent.repartition(partitions, "p").mapInArrow(receive, SPANS))
+    span = "doc long, mark long, lo long, hi long"
+    rest = first.where("hot").repartition(parts(spark), "p").mapInArrow(finish, span)
+    spans = first.where("NOT hot").select("doc", "mark", "lo", "hi").unionByName(rest)
+    # rows that share id and text have equal spans, and a document has fewer different ones than units
+    return spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def union(spans: list[dict], n: int) -> list[tuple[int, int]]:
@@ -277,9 +348,9 @@ def union(spans: list[dict], n: int) -> list[tuple[int, int]]:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:
     """id (a struct of the id and the columns of `keep`), text, and (doc, mark): the id as a long with null as the least,
-    and 16 bits of a hash of the text, so that rows with one id but different texts stay apart."""
+    and a 64-bit hash of the text, so that rows with one id (or none) but different texts stay apart."""
     id_ = F.col(id_col)
-    mark = F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFF))
+    mark = F.xxhash64(text_col)
     rest = F.struct(id_.alias(id_col), *[F.col(c) for c in keep if c != id_col])
     return docs.select(rest.alias("id"), F.col(text_col).alias("text"), F.coalesce(id_.cast("long"), F.lit(NO_ID)).alias("doc"), mark.alias("mark"))
 

@@ -1,8 +1,10 @@
 """Operator 4: substring dedup by super-k-mers of words.
 
-A window is 20 consecutive words. Windows sharing a minimiser go as one packed string to its bucket, where sorting the
-windows' hashes brings equal ones together; the words of windows with equal hashes are then compared. Each word of a
-window whose words also start earlier (smaller id, or the same document and an earlier place) is removed.
+A window is 20 consecutive words. Windows sharing a minimiser go as one packed string to its bucket, where sorting
+brings equal windows together: a window is sorted by two 64-bit hashes of its words that have nothing in common, so it is
+known by 128 bits. A bucket beyond SLICE bytes is sorted in parts of the hash range, for each of which its stretches are
+read again, so memory does not grow with the bucket. Each word of a window whose words also start earlier (smaller id, or
+the same document and an earlier place) is removed.
 
 Null text has no words; an empty or short text loses none. Rows with the same id count as one document, so equal rows
 do not remove each other's words; a null id sorts before all others. Further columns are not read.
@@ -21,6 +23,7 @@ from .superwindows import Received, Shape, found_spans, keyed, union, unpacked,
 from .text import SPACE, U, Chunk, mix, spread
 
 SLICE = 4 << 20
+OTHER = U(0x8BB84B93962EACC9)
 
 
 def later(doc, mark, start, units, some, first):
@@ -29,39 +32,54 @@ def later(doc, mark, start, units, some, first):
     return doc[go], mark[go], start[go], start[go] + units[go]
 
 
+def hashes(r: Received, i: int, j: int, window: int) -> tuple[np.ndarray, ...]:
+    """(one hash, another hash, stretch, place in the document) of each window of the stretches i:j."""
+    c = Chunk(r.texts(i, j)).words()
+    owner = np.repeat(np.arange(i, j), r.windows[i:j])
+    at = spread(c.first[:-1], r.windows[i:j])
+    up, down = word_powers(len(c.hash) + 1)
+    out = []
+    for word in (c.hash, mix(c.hash ^ OTHER)):
+        sums = np.zeros(len(word) + 1, U)
+        np.cumsum(word * up[: len(word)], out=sums[1:])
+        out.append(mix((sums[at + window] - sums[at]) * down[at]))
+    return *out, owner, r.start[owner] + at - c.first[owner - i]
+
+
 def judged(r: Received, window: int):
-    for i, j, _ in r.slices(SLICE):
-        c = Chunk(r.texts(i, j)).words()
-        n = r.windows[i:j]
-        owner = np.repeat(np.arange(j - i), n)
-        at = spread(c.first[:-1], n)
-        up, down = word_powers(len(c.hash) + 1)
-        sums = np.zeros(len(c.hash) + 1, U)
-        np.cumsum(c.hash * up[: len(c.hash)], out=sums[1:])
-        h = mix((sums[at + window] - sums[at]) * down[at])
-        order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
-        if not same.any():
-            continue
-        some = order[np.append(False, same) | np.append(same, False)]
-        doc, place = r.doc[i:j][owner[some]], r.start[i:j][owner[some]] + at[some] - c.first[owner[some]]
-        by = np.lexsort((place, doc, h[some]))
-        some, doc, place = some[by], doc[by], place[by]
-        head = np.append(True, h[some][1:] != h[some][:-1])
-        first = np.flatnonzero(head)[np.cumsum(head) - 1]
-        gone = (doc != doc[first]) | (place != place[first])
-        for k in range(window):
-            gone &= c.hash[at[some] + k] == c.hash[at[some[first]] + k]
-        lost = np.sort(some[gone])
-        if not len(lost):
-            continue
-        o = owner[lost]
-        new = np.append(True, (lost[1:] != lost[:-1] + 1) | (o[1:] != o[:-1]))
-        a = np.flatnonzero(new)
-        b = np.append(a[1:], len(lost)) - 1
-        lo = r.start[i:j][o[a]] + at[lost[a]] - c.first[o[a]]
-        yield r.doc[i:j][o[a]], r.mark[i:j][o[a]], lo, lo + (lost[b] - lost[a]) + window
-        del c, sums, h, at, owner, order, same
+    for i, j, large in r.slices(SLICE):
+        total = np.append(0, np.cumsum(r.size[i:j]))
+        cut = [i, *(i + np.searchsorted(total, np.arange(SLICE, total[-1], SLICE))).tolist(), j] if large else [i, j]
+        parts_ = len(cut) - 1
+        for part in range(parts_):
+            found = []
+            for a, b in zip(cut, cut[1:], strict=False):
+                if a < b:
+                    own = hashes(r, a, b, window)
+                    mine = own[0] % U(parts_) == U(part)
+                    found.append(own if parts_ == 1 else tuple(x[mine] for x in own))
+            yield from later_windows(r, *map(np.concatenate, zip(*found, strict=True)), window)
+
+
+def later_windows(r: Received, h: np.ndarray, check: np.ndarray, owner: np.ndarray, place: np.ndarray, window: int):
+    """(doc, mark, lo, hi) of the runs of windows that are not the first of their kind."""
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    if not same.any():
+        return
+    some = order[np.append(False, same) | np.append(same, False)]
+    some = some[np.lexsort((place[some], r.doc[owner[some]], check[some], h[some]))]
+    doc, at = r.doc[owner[some]], place[some]
+    head = np.append(True, (h[some][1:] != h[some][:-1]) | (check[some][1:] != check[some][:-1]))
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    lost = some[(doc != doc[first]) | (at != at[first])]
+    if not len(lost):
+        return
+    lost = lost[np.lexsort((place[lost], owner[lost]))]
+    o, at = owner[lost], place[lost]
+    a = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (o[1:] != o[:-1])))
+    b = np.append(a[1:], len(lost)) - 1
+    yield r.doc[o[a]], r.mark[o[a]], at[a], at[b] + window
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -137,3 +138,98 @@ def test_kept_text_and_spans(odd):
     for r in suffix_dedup.remove_repeated_bytes(odd, 400, with_text=True, keep=["lang"]).collect():
         assert len(r.spans) == r.n_spans and sum(s.hi - s.lo for s in r.spans) == r.n_removed
         assert r.n_removed or sha(r.kept.encode()) == r.kept_sha256
+
+
+def test_shards_meet_across_tiles(spark, monkeypatch):
+    """More shards than are held at once, and buckets of words beyond a slice."""
+    monkeypatch.setattr(suffix_dedup, "SHARD", 400)
+    monkeypatch.setattr(suffix_dedup, "TILE", 3)
+    for shape, judge, module, brute in ((superwindows.Shape(False, 30, 6), suffix_dedup.judged, suffix_dedup.every, brute_bytes), (superwindows.Shape(True, 6, 2), window_dedup.judged, window_dedup.later, brute_windows)):
+        monkeypatch.setattr(window_dedup, "SLICE", 300)
+        rows = [(i, t, *rest) for i, (_, t, *rest) in enumerate(corpus(8, 30))]
+        own = superwindows.keyed(spark.createDataFrame(rows, SCHEMA), "doc_id", "text")
+        batch = own.toArrow().combine_chunks().to_batches()[0].select(["text", "doc", "mark"])
+        sent = [b for b in superwindows.send([batch], shape, np.zeros(0, np.uint64), 1, module)]
+        gone = defaultdict(set)
+        for b in sent:
+            for d, lo, hi, blob in zip(*(b.column(x).to_pylist() for x in ("doc", "lo", "hi", "blob")), strict=True):
+                if blob is None:
+                    gone[d] |= set(range(lo, hi))
+        r = superwindows.Received([x for b in sent for x in b.column("blob").to_pylist() if x], shape)
+        r.minimum = np.zeros_like(r.minimum)
+        for doc, _, lo, hi in judge(r, shape.window):
+            for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                gone[d] |= set(range(a, b))
+        assert {i: len(gone[i]) for i in range(len(rows))} == {row[0]: row[2] for row in brute(rows, shape.window)}
+
+
+def test_hot_minimisers_and_condensed_tasks(spark, monkeypatch):
+    """A passage in every document, its runs counted as frequent, and tasks that make equal stretches one as they read."""
+    rng = random.Random(4)
+    passage = prose(rng, 60)
+    rows = [(i, prose(rng, rng.randint(0, 25)) + " " + passage + " " + prose(rng, rng.randint(0, 25)), "en", "s", 0) for i in range(120)]
+    monkeypatch.setattr(superwindows, "CONDENSE", 500)
+    monkeypatch.setattr(superwindows, "SHARE", 1 << 12)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    hot, _ = superwindows.frequent(superwindows.keyed(df, "doc_id", "text"), superwindows.Shape(False, 100, 12))
+    assert len(hot)
+    assert as_set(suffix_dedup.remove_repeated_bytes(df, 100)) == sorted(map(str, brute_bytes(rows, 100)))
+    assert as_set(window_dedup.remove_repeated_windows(df, 20)) == sorted(map(str, brute_windows(rows, 20)))
+
+
+def test_inbox_keeps_different_stretches_only(spark):
+    shape = superwindows.Shape(False, 30, 6)
+    rows = corpus(9, 40)
+    own = superwindows.keyed(spark.createDataFrame(rows, SCHEMA), "doc_id", "text")
+    batch = own.toArrow().combine_chunks().to_batches()[0].select(["text", "doc", "mark"])
+    blobs = [x for b in superwindows.send([batch], shape, np.zeros(0, np.uint64), 1, suffix_dedup.every) for x in b.column("blob").to_pylist() if x]
+    box = superwindows.Inbox(shape, suffix_dedup.every, 2000)
+    spans = [s for _ in range(50) for s in box.add(list(blobs))]
+    assert spans and box.size < 4 * sum(map(len, blobs)) + 4000
+
+
+@pytest.mark.parametrize("same", [None, 5])
+def test_many_rows_without_or_with_one_id(spark, same):
+    """Unlike texts keep what is theirs alone, though all ids are null or equal."""
+    rng = random.Random(6)
+    passage = prose(rng, 80)
+    rows = [(same, prose(rng, rng.randint(20, 70)) + (" " + passage if i % 7 == 0 else ""), "en", "s", 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert as_set(suffix_dedup.remove_repeated_bytes(df, 100)) == sorted(map(str, brute_bytes(rows, 100)))
+    got = window_dedup.remove_repeated_windows(df, 20, with_text=True).collect()
+    ends = [r.kept.endswith(passage) for r in got]
+    # one document: the passage stays where it starts first, in one row or in all that it starts at that place in
+    want = {r[1] for r in rows if not r[1].endswith(passage)}
+    assert sum(r.n_removed == 0 for r in got) == len(want) + sum(ends)
+    assert sorted(r.n_words for r in got) == sorted(len(r[1].split()) for r in rows)
+    firsts = min(len(r[1].split()) for r in rows if r[1].endswith(passage))
+    assert {r.n_words for r, e in zip(got, ends, strict=True) if e} == {firsts}
+
+
+def test_bytes_of_the_whole_table(spark):
+    """Every row of sf0.1 against hashes of all its 400-byte windows."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not Path(path).exists():
+        pytest.skip("no test tables")
+    window, base = 400, 0x2545F4914F6CDD1D
+    docs = spark.read.parquet(path)
+    own = docs.select("doc_id", "text").toArrow().sort_by("doc_id")
+    texts = [(t or "").encode() for t in own["text"].to_pylist()]
+    buf, size = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    doc = np.repeat(np.arange(len(texts)), size)
+    value = np.random.default_rng(5).integers(1, 1 << 63, 256).astype(np.uint64)[buf]
+    up, down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(len(buf), x, np.uint64))) for x in (base, pow(base, -1, 1 << 64)))
+    sums = np.append(np.uint64(0), np.cumsum(value * up[:-1]))
+    at = np.flatnonzero(doc[: 1 - window] == doc[window - 1 :])
+    _, which, times = np.unique((sums[at + window] - sums[at]) * down[at], return_inverse=True, return_counts=True)
+    change = np.zeros(len(buf) + 1, np.int64)
+    np.add.at(change, at[times[which] > 1], 1)
+    np.add.at(change, at[times[which] > 1] + window, -1)
+    gone = np.cumsum(change)[:-1] > 0
+    edge = np.append(0, np.cumsum(size))
+    want = []
+    for i, (id_, t) in enumerate(zip(own["doc_id"].to_pylist(), texts, strict=True)):
+        g = gone[edge[i] : edge[i + 1]]
+        want.append((id_, len(t), int(g.sum()), int((np.diff(np.append(0, g.astype(int))) == 1).sum()), sha(np.frombuffer(t, np.uint8)[~g].tobytes())))
+    assert sum(w[2] for w in want) > 1_000_000
+    assert as_set(suffix_dedup.remove_repeated_bytes(docs)) == sorted(map(str, want))
