@@ -8,12 +8,15 @@ what is then still large is compared in blocks. Runs are repeated until a pair a
 of depth d survives a run with f(d) = 1 - exp(-f(d-1)), f(0) = 1, so ceil(log(1-RECALL) / log(1-f(DEPTH))) runs are made.
 
 Sets whose sketches may be similar (5 standard deviations of tolerance) form candidate groups, and within these every
-pair is decided exactly on the full shingle sets of the whole texts, in blocks whose size is bounded, by products of
-incidence matrices. Pairs are counted where they are found and never listed; links between groups of copies are kept as
-a spanning forest. So no task holds a whole hot group, and copies are not expanded.
+pair is decided exactly on the full shingle sets of the whole texts, as arrays of hashes, by products of incidence
+matrices in blocks whose size is bounded. A group's sets are dealt to blocks by size class, each 1/similarity times the
+one before: sets more than one class apart cannot be similar, and their blocks do not meet. Pairs are counted where they
+are found and never listed; links between groups of copies are kept as a spanning forest. So no task holds a whole hot
+group, and copies are not expanded.
 
 A text of one to four words has one shingle, all its words. Null, empty and blank texts have none and link to nothing.
-Rows with a null id take part and get their group's class. Equal rows are copies. Further columns are not read.
+Rows with a null id take part and get their group's class. Equal rows are copies. A set is represented by one row, known
+by id and text, so null and repeated ids meet nothing but their own. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import connected_components
-from .scratch import reused, written
+from .graph import connected_components, labelled
+from .scratch import dropped, reused, written
+from .skew import hot_keys, spread_join
 from .text import U, Chunk, chunks, components, mix, spread
 
 BINS = 64
@@ -35,11 +39,9 @@ LIMIT = 256
 DEPTH = 3
 #: Sets of a bucket that are compared at once below the first level, where splitting on has cost more than it saves.
 DEEP_LIMIT = 4096
-#: Parts of a key's rows in joins with facts about the key.
-SALTS = 8
 RECALL = 0.9999
-#: Texts and shingles of a block in the exact comparison.
-BLOCK_TEXTS, BLOCK_SHINGLES = 256, 400_000
+#: Sets and shingles of a block in the exact comparison.
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 500_000
 SEED = U(0xA0761D6478BD642F)
 
 
@@ -198,12 +200,15 @@ def blocks(rows: DataFrame, group: str, number: str, key: str) -> DataFrame:
     return each.select("*", F.least("_b", "_o").alias("one"), F.greatest("_b", "_o").alias("two"), F.col("_b").alias("side")).drop("_b", "_o")
 
 
-def salted_join(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
-    """rows with the facts of their key, of which there is one row: a key's rows are dealt out by `by` to SALTS tasks, so
-    that one with a third of all rows is not one task's."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    right = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [key, "_salt"]).drop("_salt")
+def class_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """The same for rows with a size class `_c` and the blocks of each class of their group, `_blocks`: blocks are numbered by
+    class, and only those of one class or of neighbours meet."""
+    near = F.filter("_blocks", lambda b: F.abs(b["c"] - F.col("_c")) <= 1)
+    own = rows.withColumn("_near", near).withColumn("_mine", F.filter("_near", lambda b: b["c"] == F.col("_c"))[0]["n"])
+    own = own.withColumn("side", F.col("_c") * F.lit(1 << 32) + F.pmod(F.xxhash64(key, F.lit(5)), F.col("_mine")))
+    others = F.flatten(F.transform("_near", lambda b: F.transform(F.sequence(F.lit(0).cast("long"), b["n"] - 1), lambda i: b["c"] * F.lit(1 << 32) + i)))
+    each = own.withColumn("_o", F.explode(others))
+    return each.select("*", F.least("side", "_o").alias("one"), F.greatest("side", "_o").alias("two")).drop("_near", "_mine", "_o", "_c", "_blocks")
 
 
 def candidates(sets: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
@@ -213,7 +218,7 @@ def candidates(sets: DataFrame, similarity: float) -> tuple[DataFrame, list[Data
     small, held = None, []
     for depth in range(1, DEPTH + 1):
         sizes = reused(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
-        rows = reused(salted_join(level, sizes, "path", "sid"))
+        rows = reused(spread_join(level, sizes, "path", "sid", hot_keys(sizes, "path", "n")))
         held += [sizes, rows]
         limit = LIMIT if depth == 1 else DEEP_LIMIT
         now = (rows if depth == DEPTH else rows.where(F.col("n") <= limit)).select("sid", "path", "n")
@@ -222,6 +227,7 @@ def candidates(sets: DataFrame, similarity: float) -> tuple[DataFrame, list[Data
             break
         hot = rows.where(F.col("n") > limit)
         hot = written((hot if depth > 1 else hot.join(sets.select("sid", "sketch"), "sid")).select("sid", "path", "sketch"), "hot")
+        held.append(hot)
         if not hot.limit(1).count():
             break
         level = reused(hot.mapInArrow(lambda b: deeper(b, similarity), "sid binary, path long, sketch binary"))
@@ -249,64 +255,79 @@ def intersections(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def decided(batches, k: int, similarity: float):
-    """(group, one, two, side, sid, copies, text) sorted by the first three: per set its linked documents in the block, and a
+def hashed(batches, k: int):
+    """(group, _c, _blocks, sid, copies, text) with the sorted hashes of the set's shingles in place of the text."""
+    for rows, texts in chunks(batches, "text", 1 << 20):
+        h, d = distinct_shingles(Chunk(texts), k)
+        n = np.bincount(d, minlength=len(texts))
+        first = np.cumsum(n) - n
+        # a row that is not the set which is meant, as two texts have one id and one hash, drops out
+        meant = pa.array([i for i, (x, y) in enumerate(zip(signatures(h, first, n), rows.column(3).to_pylist(), strict=True)) if x == y], pa.int64())
+        each = pa.array([h[a : a + m].tobytes() for a, m in zip(first.tolist(), n.tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*rows.columns[:5], each], names=["group", "_c", "_blocks", "sid", "copies", "hashes"]).take(meant)
+
+
+def decided(batches, similarity: float):
+    """(group, one, two, side, sid, copies, hashes) sorted by the first three: per set its linked documents in the block, and a
     set of the same class."""
     for t, first in grouped(batches, 3):
         edge = first if first[-1] == t.num_rows else np.append(first, t.num_rows)
-        sids, copies, side = t.column(4).to_pylist(), np.asarray(t.column(5)), np.asarray(t.column(3))
+        sids, copies, side = t.column(4).to_pylist(), np.asarray(t.column(5)).astype(np.float64), np.asarray(t.column(3))
         cross = np.asarray(t.column(1)) != np.asarray(t.column(2))
-        texts = [x or b"" for x in t.column(6).cast(pa.binary()).to_pylist()]
-        at = 0
+        hashes = t.column(6).to_pylist()
         out_u, out_v, out_n = [], [], []
-        while at < len(edge) - 1:
-            to = at + 1
-            while to < len(edge) - 1 and edge[to + 1] - edge[at] <= BLOCK_TEXTS and sum(map(len, texts[edge[at] : edge[to + 1]])) < 4 << 20:
-                to += 1
-            base = edge[at]
-            h, d = distinct_shingles(Chunk(texts[base : edge[to]]), k)
-            sizes = np.bincount(d, minlength=edge[to] - base)
-            start = np.append(0, np.cumsum(sizes))
-            name = signatures(h, start[:-1], sizes)
-            for g in range(at, to):
-                i, j = edge[g] - base, edge[g + 1] - base
-                seen: set = set()
-                # rows that an id shared with other texts brought in are not the set that is meant
-                keep = np.array([x for x in range(i, j) if name[x] == sids[base + x] and not (name[x] in seen or seen.add(name[x]))], np.int64)
-                n = len(keep)
-                if n < 2:
-                    continue
-                part = np.concatenate([h[start[x] : start[x + 1]] for x in keep])
-                owner = np.repeat(np.arange(n), sizes[keep])
-                both = intersections(part, owner, n).astype(np.float64)
-                s = sizes[keep].astype(np.float64)
-                linked = both * (1 + similarity) >= similarity * (s[:, None] + s[None, :]) - 1e-6
-                np.fill_diagonal(linked, False)
-                if cross[base + i]:
-                    linked &= side[base + keep][:, None] != side[base + keep][None, :]
-                count = linked @ copies[base + keep].astype(np.float64)
-                a, b = np.nonzero(linked)
-                label = components(n, a, b)
-                for x in np.flatnonzero(count):
-                    out_u.append(sids[base + keep[x]])
-                    out_v.append(sids[base + keep[label[x]]])
-                    out_n.append(int(count[x]))
-            at = to
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            n = j - i
+            if n < 2:
+                continue
+            own = [np.frombuffer(x, U) for x in hashes[i:j]]
+            sizes = np.array([len(x) for x in own])
+            both = intersections(np.concatenate(own), np.repeat(np.arange(n), sizes), n).astype(np.float64)
+            linked = both * (1 + similarity) >= similarity * (sizes[:, None] + sizes[None, :]) - 1e-6
+            np.fill_diagonal(linked, False)
+            if cross[i]:
+                linked &= side[i:j][:, None] != side[i:j][None, :]
+            count = linked @ copies[i:j]
+            label = components(n, *np.nonzero(linked))
+            for x in np.flatnonzero(count):
+                out_u.append(sids[i + x])
+                out_v.append(sids[i + label[x]])
+                out_n.append(int(count[x]))
         yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.binary()), pa.array(out_v, pa.binary()), pa.array(out_n, pa.int64())], names=["u", "v", "links"])
 
 
-def joined(own: DataFrame, rows: DataFrame, k: int, similarity: float, *more: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(the sets of sketched rows with the aggregates of `more`, the links found among them, the label of each linked set)."""
-    sets = written(rows.groupBy("sid").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("brief").alias("brief"), *more), "sets")
+#: Columns that are never null and tell rows apart by id and text.
+KEY = ["_id", "_none", "_mark"]
+
+
+def keys(doc: str, none: str, mark: str) -> list[Column]:
+    return [F.coalesce(doc, F.lit(0)).alias("_id"), F.col(none).alias("_none"), F.col(mark).alias("_mark")]
+
+
+def joined(own: DataFrame, rows: DataFrame, k: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the sets of sketched rows, the links found among them, the label of each linked set). A set's `first` is (none, doc,
+    mark) of the row with the least id, and of several the least hash of the text; null ids come last."""
+    first = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark")
+    sets = written(rows.groupBy("sid").agg(F.min("doc").alias("rep"), F.min(first).alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("brief").alias("brief")), "sets")
     links, held = candidates(sets, similarity)
-    groups = connected_components(links)
-    for table in held:
-        table.unpersist()
-    sizes = groups.join(sets.select("sid", "n"), groups.node == sets.sid).groupBy("label").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_TEXTS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.lit(1)).alias("_n"))
-    members = salted_join(groups, sizes, "label", "node").join(sets.select("sid", "rep", "copies"), F.col("node") == F.col("sid")).select("label", "_n", "sid", "rep", "copies")
-    texts = own.select("doc", "text").join(members, F.col("doc").eqNullSafe(F.col("rep"))).select(F.xxhash64("label").alias("group"), "_n", "sid", "copies", "text")
-    dealt = blocks(texts, "group", "_n", "sid").select("group", "one", "two", "side", "sid", "copies", "text")
-    found = written(dealt.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two").mapInArrow(lambda b: decided(b, k, similarity), "u binary, v binary, links long"), "decided")
+    groups, tables = labelled(links)
+    dropped(*held)
+    sized = groups.join(sets.select("sid", "n", "copies", "first"), groups.node == sets.sid).withColumn("_c", F.floor(F.log(F.col("n")) / math.log(1 / similarity)).cast("int"))
+    sized = reused(sized.select("label", "sid", "n", "copies", "first", "_c"))
+    number = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_TEXTS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("long")
+    per_class = sized.groupBy("label", "_c").agg(number.alias("_b"), F.count("*").alias("_rows"))
+    # a group has fewer classes than a text could have powers of 1/similarity
+    sizes = reused(per_class.groupBy("label").agg(F.collect_list(F.struct(F.col("_c").alias("c"), F.col("_b").alias("n"))).alias("_blocks"), F.sum("_rows").alias("_rows")))
+    hot = hot_keys(sizes, "label", "_rows")
+    members = spread_join(sized, sizes.drop("_rows"), "label", "sid", hot)
+    members = members.select(F.xxhash64("label").alias("group"), "_c", "_blocks", "sid", "copies", *keys("first.doc", "first.none", "first.mark"))
+    mine = own.withColumn("none", F.col("doc").isNull()).select("text", *keys("doc", "none", "mark"))
+    texts = mine.join(members, KEY).dropDuplicates(KEY)
+    texts = texts.select("group", "_c", "_blocks", "sid", "copies", "text")
+    schema = T.StructType([*texts.schema.fields[:5], T.StructField("hashes", T.BinaryType())])
+    dealt = class_blocks(texts.mapInArrow(lambda b: hashed(b, k), schema), "sid").select("group", "one", "two", "side", "sid", "copies", "hashes")
+    found = written(dealt.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two").mapInArrow(lambda b: decided(b, similarity), "u binary, v binary, links long"), "decided")
+    dropped(sized, sizes, *tables)
     label = connected_components(found)
     return sets, found, label
 
@@ -319,15 +340,15 @@ def blank(own: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, class_id (least id of the texts joined to it by links), n_links (other documents with a similarity
     of at least `similarity`, copies included), copy_id (least id with an equal shingle set) and n_copies (such rows)."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"))
-    rows = reused(sketched(own.select("text", "doc"), k))
+    own = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"))
+    rows = reused(sketched(own, k))
     sets, found, label = joined(own, rows, k, similarity)
     per_set = found.groupBy(F.col("u").alias("sid")).agg(F.sum("links").alias("links"))
-    of_class = label.join(sets.select("sid", "rep"), F.col("node") == F.col("sid")).select("sid", "label", "rep")
-    least = of_class.groupBy("label").agg(F.min("rep").alias("class_id"))
-    named = salted_join(of_class, least, "label", "sid").join(per_set, "sid", "left").select("sid", "class_id", "links")
+    of_class = reused(label.join(sets.select("sid", "rep"), F.col("node") == F.col("sid")).select("sid", "label", "rep"))
+    least = reused(of_class.groupBy("label").agg(F.min("rep").alias("class_id"), F.count("*").alias("_rows")))
+    named = spread_join(of_class, least.drop("_rows"), "label", "sid", hot_keys(least, "label", "_rows")).join(per_set, "sid", "left").select("sid", "class_id", "links")
     facts = sets.select("sid", "rep", "copies").join(named, "sid", "left").select("sid", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("rep").alias("copy_id"), F.col("copies").alias("n_copies"))
-    known = rows.select("doc", "sid").join(facts, "sid").drop("sid")
+    known = spread_join(rows.select("doc", "sid"), facts, "sid", None, hot_keys(sets, "sid", "copies")).drop("sid")
     empty = blank(own).select("doc", F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"))
     return known.unionByName(empty).select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), "class_id", "n_links", "copy_id", "n_copies")
 
@@ -336,8 +357,9 @@ def representatives(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col
     """(doc, mark) of one text of each class, once: the id, null only where the class has no other, and the xxhash64 of the
     text; the least ones. Blank texts are of one class if text and id are equal."""
     own = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"))
-    first = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark")
-    sets, _, label = joined(own, reused(sketched(own, k)), k, similarity, F.min(first).alias("first"))
+    rows = reused(sketched(own, k))
+    sets, _, label = joined(own, rows, k, similarity)
+    dropped(rows)
     linked = sets.select("sid", "first").join(label, F.col("node") == F.col("sid"), "left")
     least = linked.groupBy(F.coalesce("label", "sid").alias("class")).agg(F.min("first").alias("first")).select("first.doc", "first.mark")
     return least.unionByName(blank(own).select("doc", "mark").distinct())

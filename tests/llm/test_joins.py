@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +132,40 @@ def test_fingerprints_of_odd_rows(odd, odd_rows, none):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     plan = fingerprints.fingerprints(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("least", [5, 1000])
+def test_many_null_ids_and_hot_copies(spark, monkeypatch, least):
+    """A third of all rows has no id, a third is one text; small hot keys are dealt out as well."""
+    from sparkvision.llm import graph, skew
+
+    monkeypatch.setattr(skew, "LEAST", least)
+    monkeypatch.setattr(skew, "HOT", 20)
+    monkeypatch.setattr(graph, "FEW", least)
+    rng = random.Random(12)
+    base = prose(rng, 60)
+    rows = [(None if i % 3 else i, near(rng, base, 1) if i % 3 == 1 else base if i % 3 == 2 else prose(rng, 40), "en", "s", 0) for i in range(150)]
+    sets = [shingles(r[1]) for r in rows]
+    links = [sum(i != j and bool(a) and len(a & b) / len(a | b) >= 0.8 for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = ngram_join.classes(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert sorted((str(r.doc_id), r.n_links) for r in got) == sorted((str(r[0]), n) for r, n in zip(rows, links, strict=True))
+
+
+def test_recall_on_the_larger_table(spark):
+    """The links of 200 documents of sf0.1 with all its rows."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not Path(path).exists():
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(path)
+    sets = {r.doc_id: shingles(r.text or "") for r in docs.select("doc_id", "text").collect()}
+    holds = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holds[x].append(i)
+    want = {}
+    for i in [i for i in sets if i % 50 == 0]:
+        both = Counter(j for x in sets[i] for j in holds[x] if j != i)
+        want[i] = sum(n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) for j, n in both.items())
+    got = {r.doc_id: r.n_links for r in ngram_join.classes(docs).collect()}
+    assert len(got) == len(sets) and sum(want.values()) > 50
+    assert {i: got[i] for i in want} == want
