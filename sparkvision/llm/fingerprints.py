@@ -1,17 +1,17 @@
 """Operator 6 [native]: threshold-scaled sketches.
 
-A document's sketch is every hash of its five-word shingles below a fixed fraction of the hash range, so the sketch of a
-union is the union of the sketches, and the share of a sketch found in another estimates containment however unequal
-the two documents are. Short documents keep their LEAST_HASHES smallest hashes, even above the threshold; two sketches are
-compared up to the hash to which both are complete.
+A document's sketch is every hash of its five-word shingles below a fixed fraction of the hash range, the same for every
+document, so the sketch of a union is the union of the sketches, and the share of a sketch found in another estimates
+containment however unequal the two documents are. FRACTION is large because documents are short: it costs about eight
+bytes for every other shingle, and a text of n different shingles has an empty sketch with probability 2**-n.
 
 Only SQL functions are used. The next document of each is found without a global sort: ids are cut at their quantiles
 into ranges, the first document of each range also goes to the range before (of the first, to the last), and each range
 is ordered by itself.
 
 Words are `[^\x20\x09-\x0D]+`; a text of one to four words has one shingle, all its words; null counts as empty, and an
-empty or blank text has an empty sketch, alike (1.0) only to another empty one. A null id sorts first; rows with one id
-sort by text. Further columns are not read.
+empty or blank text has an empty sketch. An empty sketch is alike (1.0) to another empty one, and to no other (0.0). A
+null id sorts first; rows with one id sort by text. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 from .scratch import parts
 
 SHINGLE = 5
-FRACTION = 1 / 4
-LEAST_HASHES = 32
-LEAST, MOST = -(1 << 63), (1 << 63) - 1
+FRACTION = 1 / 2
+LEAST = -(1 << 63)
 
 
 def threshold(fraction: float) -> int:
@@ -50,9 +49,7 @@ def sketch(text: Column, fraction: float = FRACTION, k: int = SHINGLE) -> Column
 
 def scaled(h: Column, limit: int) -> Column:
     """Of an array of hashes those of the sketch."""
-    low = F.sort_array(F.array_distinct(F.filter(h, lambda x: x <= limit)))
-    least = F.slice(F.sort_array(F.array_distinct(h)), 1, LEAST_HASHES)
-    return F.transform(F.array(low), lambda x: F.when(F.size(x) >= LEAST_HASHES, x).otherwise(least))[0]
+    return F.sort_array(F.array_distinct(F.filter(h, lambda x: x <= limit)))
 
 
 def written_out(s: Column) -> Column:
@@ -60,20 +57,9 @@ def written_out(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def shared(a: Column, b: Column, fraction: float) -> Column:
-    """(both, one, two): how many hashes two sketches share, and have each, up to where both are complete."""
-    limit = threshold(fraction)
-
-    def complete(s: Column) -> Column:
-        return F.when(F.size(s) < LEAST_HASHES, MOST).otherwise(F.greatest(F.element_at(s, LEAST_HASHES), F.lit(limit)))
-
-    def cut(s: Column, t: Column) -> Column:
-        return F.filter(s, lambda x: x <= t)
-
-    def counts(t: Column) -> Column:
-        return F.struct(F.size(F.array_intersect(cut(a, t), cut(b, t))).alias("both"), F.size(cut(a, t)).alias("one"), F.size(cut(b, t)).alias("two"))
-
-    return F.transform(F.array(F.least(complete(a), complete(b))), counts)[0]
+def shared(a: Column, b: Column) -> Column:
+    """(both, one, two): how many hashes two sketches share, and have each."""
+    return F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(a).alias("one"), F.size(b).alias("two"))
 
 
 def containment(c: Column) -> Column:
@@ -91,13 +77,14 @@ def merged(sketches: Column, fraction: float = FRACTION) -> Column:
     return F.transform(F.array(F.flatten(F.collect_list(sketches))), lambda h: scaled(h, threshold(fraction)))[0]
 
 
-def with_next(docs: DataFrame, order: str, tie: str, carried: list[str]) -> DataFrame:
-    """Adds next_<column> of the row that follows by (order, tie), the first after the last. `order` is a long, not null."""
+def with_next(docs: DataFrame, order: str, tie: str, carried: list[str], **derived: Column) -> DataFrame:
+    """Adds the columns `derived` and next_<column> of the row that follows by (order, tie), the first after the last. `order`
+    is a long, not null. Derived columns are computed where the row has arrived, so they are not sent."""
     spark = docs.sparkSession
     ranges = min(4 * parts(spark), 10_000)
     cut = docs.agg(F.min(order).alias("least"), F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("cut")).first()
     if cut.least is None:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
+        return docs.withColumns(derived).select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
     bounds = sorted({cut.least, *cut.cut})
     step = max(1, int(len(bounds) ** 0.5))
     fine = [bounds[i : i + step] for i in range(0, len(bounds), step)]
@@ -112,6 +99,7 @@ def with_next(docs: DataFrame, order: str, tie: str, carried: list[str]) -> Data
     copies = F.when(F.col("_first"), F.array(F.struct(F.col("_range").alias("at"), F.lit(False).alias("guest")), F.struct(before.alias("at"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("_range").alias("at"), F.lit(False).alias("guest"))))
     dealt = rows.withColumn("_to", F.explode(copies)).drop("_coarse", "_fine", "_first", "_range")
     dealt = dealt.select("*", F.col("_to.at").alias("_at"), F.col("_to.guest").alias("_guest")).drop("_to")
+    dealt = dealt.repartition(parts(spark), "_at").withColumns(derived)
     w = Window.partitionBy("_at").orderBy("_guest", order, tie)
     return dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried]).where(~F.col("_guest")).drop("_at", "_guest")
 
@@ -121,12 +109,12 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, id_col: str = "doc
     smaller in the other), jaccard_edited, jaccard_next. The edited text is the text with its last quarter replaced by
     as many code points from the start of the next document."""
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = with_next(own.withColumn("own", sketch(F.col("text"), fraction)), "doc", "text", ["text", "own"])
+    own = with_next(own, "doc", "text", ["text", "own"], own=sketch(F.col("text"), fraction))
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
     own = own.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
     own = own.withColumn("changed", sketch(F.col("edited"), fraction))
-    own = own.withColumn("e", shared(F.col("own"), F.col("changed"), fraction)).withColumn("x", shared(F.col("own"), F.col("next_own"), fraction))
+    own = own.withColumn("e", shared(F.col("own"), F.col("changed"))).withColumn("x", shared(F.col("own"), F.col("next_own")))
     e, x = F.col("e"), F.col("x")
     return own.select(F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written_out(F.col("own")).alias("fingerprint"), written_out(F.col("changed")).alias("edited_fingerprint"), containment(e).alias("near_edited"), containment(x).alias("near_next"), resemblance(e).alias("jaccard_edited"), resemblance(x).alias("jaccard_next"))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sparkvision.llm import fingerprints, ngram_join
@@ -101,9 +102,32 @@ def test_components_of_random_links(spark, seed):
     assert len(got) == len(label) and {r.node: r.label for r in got} == label
 
 
+def sketch_of(text, fraction=fingerprints.FRACTION):
+    """The signed hashes below the fraction of the range, one after the other over the words of each shingle."""
+    out = set()
+    for words in shingles(text):
+        h = 42
+        for w in words:
+            h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+        h -= (h >> 63) << 64
+        if h < -(1 << 63) + fraction * (1 << 64):
+            out.add(h)
+    return out
+
+
+def likeness(a, b):
+    """(containment of the smaller, Jaccard similarity)."""
+    both = len(a & b)
+    if not a or not b:
+        return (1.0, 1.0) if not a and not b else (0.0, 0.0)
+    return both / min(len(a), len(b)), both / len(a | b)
+
+
 def test_fingerprints(spark):
+    """Against sketches, edited texts and likenesses made one by one, and against the true similarity."""
     rng = random.Random(4)
     rows = [(i * 7, prose(rng, rng.choice([0, 3, 20, 200, 900])), "en", "s", 0) for i in range(50)]
+    rows += [(400 + i, rows[i][1] + " and more", "en", "s", 0) for i in range(0, 50, 3)]
     texts = [r[1] for r in rows]
     got = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     for k, (i, text, *_) in enumerate(rows):
@@ -111,11 +135,14 @@ def test_fingerprints(spark):
         edited = text[: len(text) - q] + after[:q]
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        a, b, c = shingles(text), shingles(edited), shingles(after)
-        true = len(a & b) / len(a | b) if a | b else 1.0
-        assert abs(r.jaccard_edited - true) < (0.25 if len(a | b) > 32 else 1e-9)
-        assert abs(r.jaccard_next - (len(a & c) / len(a | c) if a | c else 1.0)) < 0.1
-    assert len({(r[1], got[r[0]].fingerprint) for r in rows}) == len(set(texts))
+        one, two, three = sketch_of(text), sketch_of(edited), sketch_of(after)
+        for s, said in ((one, r.fingerprint), (two, r.edited_fingerprint)):
+            assert said == "".join(f"{h & (1 << 64) - 1:016X}" for h in sorted(s))
+        assert (r.near_edited, r.jaccard_edited) == pytest.approx(likeness(one, two))
+        assert (r.near_next, r.jaccard_next) == pytest.approx(likeness(one, three))
+        a, b = shingles(text), shingles(edited)
+        assert len(a | b) <= 32 or abs(r.jaccard_edited - len(a & b) / len(a | b)) < 0.25
+    assert all(got[i].fingerprint == got[j].fingerprint for i, t, *_ in rows for j, u, *_ in rows if t == u)
 
 
 def test_sketches_merge(spark):
