@@ -10,7 +10,7 @@ learned. On request known_share tells them: the share of a text's distinct trigr
 stand in at least KNOWN_IN of the training texts of the language it was given. A language with fewer than KNOWN_FROM
 training texts cannot be judged so, and the share is 1.
 
-Learns from at most SAMPLE rows with a text and a language, chosen by a hash of the id. Null texts and texts without a
+Learns from at most SAMPLE ids with a text and a language, chosen by a hash of the id, and at most four times as many rows. Null texts and texts without a
 letter are `und` with score 0; so is every text if there is nothing to learn from. Rows are scored one by one: repeated
 rows and ids and further columns change nothing.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .samples import held_out
+from .samples import first_rows, held_out, in_order
 from .text import chunks
 
 SAMPLE = 4000
@@ -52,13 +52,15 @@ def presence(texts: list[bytes], fold: np.ndarray = FOLD) -> np.ndarray:
     b[1:][(buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E)] += 0x20
     size = np.fromiter((len(t) + 3 for t in texts), np.int64, len(texts))
     base = np.repeat(np.arange(len(texts)) * FROM[-1], size)[: len(b)]
+    left = np.repeat(np.cumsum(size), size)[: len(b)] - np.arange(len(b))
     flat = out.ravel()
     code = b.astype(np.uint32)
     for n, places in enumerate(PLACES):
         if n:
             code = code[:-1] | b[n:].astype(np.uint32) << np.uint32(8 * n)
         at = code if n == 0 else (code * np.uint32(0x9E3779B1)) >> np.uint32(33 - places.bit_length())
-        flat[base[: len(at)] + FROM[n] + at] = 1
+        own = left[: len(at)] > n  # a text's n-grams end with the blanks behind it
+        flat[base[: len(at)][own] + FROM[n] + at[own]] = 1
     return out
 
 
@@ -113,15 +115,16 @@ class Model:
 def fit(docs: DataFrame, folds: int, fold: int, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", spelling: bool = False) -> Model | None:
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     ids = own.where(~held_out("id", folds, fold)).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    some = own.join(F.broadcast(ids), "id").select("text", "lang")  # at most `sample` ids
+    some = own.join(F.broadcast(ids), "id").select("text", "lang", *in_order("id", "text", "lang"))  # at most `sample` ids
 
     def run(batches):
         for rows, texts in chunks(batches, "text", 1 << 18):
             packed = np.packbits(presence(texts).astype(bool), axis=1)
             spelt = np.packbits(trigrams(texts).astype(bool), axis=1) if spelling else np.zeros((len(texts), 0), np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in packed], pa.binary()), rows.column(1), pa.array([p.tobytes() for p in spelt], pa.binary())], names=["bits", "lang", "spelt"])
+            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in packed], pa.binary()), rows.column(1), pa.array([p.tobytes() for p in spelt], pa.binary()), rows.column(2), rows.column(3)], names=["bits", "lang", "spelt", "_h", "_m"])
 
-    rows = sorted(some.mapInArrow(run, "bits binary, lang string, spelt binary").limit(4 * sample).collect())
+    rows = first_rows(some.mapInArrow(run, "bits binary, lang string, spelt binary, _h long, _m long"), 4 * sample)
+    rows = sorted(rows.select("bits", "lang", "spelt").collect())
     if not rows:
         return None
     bits, spelt = (np.stack([np.frombuffer(r[c], np.uint8) for r in rows]) for c in ("bits", "spelt"))

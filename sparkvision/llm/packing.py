@@ -7,7 +7,8 @@ lengths last, which is what bin after bin would choose, so the plan stays small
 then numbers the pieces of each length and looks their places up in the plan.
 
 Null text counts as empty. A document that is empty has one piece: the closing id alone. Repeated rows are packed each
-for itself. Columns other than the two named are not read.
+for itself, with or without an id. Pieces of one length are numbered by salt, id (null first), piece and checksum; pieces
+equal in all of these may change places, which changes no sequence's lengths. Columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -93,9 +94,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_id
     """Per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset. Every sequence holds at most `capacity`
     tokens, gapless from 0. The numbering within a length is spread over salts, so no length meets in one task."""
     spark = docs.sparkSession
-    cut = reused(pieces(docs, path, capacity, id_col, text_col))
-    salts = parts(spark)
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    cut = pieces(docs, path, capacity, id_col, text_col)
+    # by place, as ids and texts may all be equal
+    salted = reused(cut.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts(spark))).cast("int")))
     counts = reused(salted.groupBy("length", "_salt").agg(F.count("*").alias("n")))
     # at most `capacity` lengths reach the driver
     table, _ = plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)

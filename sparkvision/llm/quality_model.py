@@ -5,7 +5,7 @@ the numbers in turn: a tree of at most four leaves on one number's bins is fitte
 shrunk, to that number's lookup table. The pairs whose quadrants explain most of what is left then get tables of their
 own in the same way. A score is the sigmoid of a sum of table entries, looked up for whole blocks of texts.
 
-Learns from at most SAMPLE labelled rows, chosen by a hash of the id; without labels every score is 0.5. Null text is
+Learns from at most SAMPLE labelled ids, chosen by a hash of the id, and at most twice as many rows; without labels every score is 0.5. Null text is
 empty, and an empty text has a score like any other. Rows are scored one by one: repeated rows and ids and further
 columns change nothing.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality_rules import SYMBOL, WINDOW, by_doc, covered, twice
-from .samples import held_out, label_sample
+from .samples import first_rows, held_out, in_order, label_sample
 from .superwindows import word_powers
 from .text import Chunk, U, chunks, mix, powers
 
@@ -160,13 +160,14 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, folds: int, fold: int, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Model:
     some = label_sample(labels, label, id_col, folds, fold, sample)
     # at most `sample` ids, so they may be sent to all tasks, and the joined rows to the driver
-    own = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("id")).join(F.broadcast(some), F.col("id") == F.col("sample_id")).select("_text", "label")
+    own = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("id")).join(F.broadcast(some), F.col("id") == F.col("sample_id")).select("_text", "label", *in_order("id", "_text"))
 
     def measure(batches):
         for rows, texts in chunks(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([rows.column(1), pa.array([v.tobytes() for v in features(texts)], pa.binary())], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([rows.column(1), pa.array([v.tobytes() for v in features(texts)], pa.binary()), rows.column(2), rows.column(3)], names=["label", "x", "_h", "_m"])
 
-    found = sorted((r.label, bytes(r.x)) for r in own.mapInArrow(measure, "label int, x binary").limit(2 * sample).collect())
+    rows = first_rows(own.mapInArrow(measure, "label int, x binary, _h long, _m long"), 2 * sample)
+    found = sorted((r.label, bytes(r.x)) for r in rows.collect())
     x = np.array([np.frombuffer(r[1]) for r in found]).reshape(-1, len(FEATURES))
     return Model(x, np.array([float(r[0] > 0) for r in found]))
 

@@ -4,7 +4,8 @@ The words of many documents form one array in which no suffix reaches past its d
 Larsson-Sadakane refinement until every group of equal ones is settled; Kasai's rule gives the common prefixes of
 neighbours. The deepest interval of common prefixes around a suffix is the longest repeat that starts there, so the
 repeats of at least MIN_REPEAT words, laid over each other, cover all maximal repeated substrings. A document is dropped
-if they cover more than MAX_COVERED of its words or if the longest has more than MAX_REPEAT words.
+if they cover more than MAX_COVERED of its words or if the longest has more than MAX_REPEAT words. Both are tighter than
+the base rule below, so that they decide: words in repeats of 8 lie in repeats of 5 as well.
 
 Base rules: fewer than 10 words, or over 20 % of the words in five-word windows that occur twice, fail.
 
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from .superwindows import word_powers
 from .text import U, Chunk, chunks, mix, powers
 
-MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 8, 0.2, 64
+MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 8, 0.1, 32
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -170,7 +171,7 @@ WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesc
 sized AS (SELECT doc_id, text, words, len(words) AS n FROM w),
 windows AS (
   SELECT doc_id, k, i, list_aggregate(words[i : i + k - 1], 'string_agg', ' ') AS win
-  FROM (SELECT doc_id, words, n, unnest([5, 8, 65]) AS k FROM sized) AS s, LATERAL (SELECT unnest(range(1, n - k + 2)) AS i)
+  FROM (SELECT doc_id, words, n, unnest([5, 8, 33]) AS k FROM sized) AS s, LATERAL (SELECT unnest(range(1, n - k + 2)) AS i)
 ),
 marked AS (SELECT doc_id, k, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k, win) AS c FROM windows) WHERE c > 1),
 cover AS (SELECT k, doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, k, unnest(range(i, i + k)) AS p FROM marked) GROUP BY k, doc_id),
@@ -179,15 +180,15 @@ dup AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, line, count(*) AS c
 counts AS (
   SELECT s.doc_id, s.n AS n_words, length(array_to_string(words, '')) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
-    coalesce(r.n, 0) AS n_repeat_words, coalesce(c8.n, 0) AS covered_words, c65.n IS NOT NULL AS too_long
+    coalesce(r.n, 0) AS n_repeat_words, coalesce(c8.n, 0) AS covered_words, c33.n IS NOT NULL AS too_long
   FROM sized s LEFT JOIN dup ON dup.doc_id = s.doc_id
   LEFT JOIN cover r ON r.doc_id = s.doc_id AND r.k = 5 LEFT JOIN cover c8 ON c8.doc_id = s.doc_id AND c8.k = 8
-  LEFT JOIN cover c65 ON c65.doc_id = s.doc_id AND c65.k = 65
+  LEFT JOIN cover c33 ON c33.doc_id = s.doc_id AND c33.k = 33
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND covered_words <= 0.2 * n_words AND NOT too_long AS kept,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND covered_words <= 0.1 * n_words AND NOT too_long AS kept,
   CAST(covered_words AS BIGINT) AS covered_words
 FROM counts
 """

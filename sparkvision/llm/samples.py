@@ -21,3 +21,13 @@ def label_sample(labels: DataFrame, label: str, id_col: str, folds: int, fold: i
     own = labels.select(F.col(id_col).alias("sample_id"), F.col(label).cast("int").alias("label")).where("sample_id IS NOT NULL AND label IS NOT NULL")
     own = own.where(~held_out("sample_id", folds, fold)).groupBy("sample_id").agg(F.max("label").alias("label"))
     return own.orderBy(F.xxhash64("sample_id"), "sample_id").limit(limit)
+
+
+def in_order(id_col: str, *content: str) -> list[Column]:
+    """Columns `_h`, `_m` that order sampled rows by what they hold, not by the task that they come from."""
+    return [F.xxhash64(id_col).alias("_h"), F.xxhash64(*content).alias("_m")]
+
+
+def first_rows(rows: DataFrame, limit: int) -> DataFrame:
+    """At most `limit` rows in that order: ids of a sample may stand on several rows."""
+    return rows.orderBy("_h", "_m").limit(limit)

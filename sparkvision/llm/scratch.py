@@ -48,10 +48,15 @@ def dropped(*tables: DataFrame) -> None:
         _kept[:] = [x for x in _kept if x is not df]
 
 
-def freed(*but: DataFrame) -> None:
-    """Delete all that is left of written() and reused() but these tables: for when results that are computed from it have
-    been written or are no longer wanted."""
-    dropped(*[x for x in _kept if not any(x is y for y in but)])
+def kept() -> list[DataFrame]:
+    """What written() and reused() have kept so far."""
+    return list(_kept)
+
+
+def freed(before: list[DataFrame], *but: DataFrame) -> None:
+    """Delete what written() and reused() have kept since `before`, but for these tables: for when the results that are
+    computed from it have been written or are no longer wanted."""
+    dropped(*[x for x in _kept if not any(x is y for y in (*before, *but))])
 
 
 def parts(spark: SparkSession) -> int:

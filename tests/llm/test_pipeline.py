@@ -37,7 +37,7 @@ def test_stages(spark, sf_dir):
         a = shingles(before[i])
         assert any(j != i and len(a & shingles(t)) / max(1, len(a | shingles(t))) >= 0.8 for j, t in before.items())
 
-    want = {r[0]: r[1] - r[2] for r in brute_bytes([(i, t) for i, t in kept.items()], 400)}
+    want = {r[0]: r[1] - r[2] for r in brute_bytes([(i, t) for i, t in kept.items()], pipeline.PASSAGE)}
     for r in seen[4].collect():
         assert 0 <= want[r.doc_id] - len(r.text.encode()) <= 8 and r.n_chars == len(r.text)
 
@@ -79,6 +79,20 @@ def test_near_copies_without_or_with_shared_ids(spark, sf_dir):
     assert said == [(0, None), (1, 1), (2, 2), (3, 2)]
 
 
+def test_passages_of_over_fifty_words_go(spark, sf_dir):
+    """Of 51 words and more, fewer than 400 bytes among them, each in three otherwise different documents."""
+    rng = random.Random(10)
+    passages = [prose(rng, rng.randint(51, 60)) for _ in range(20)]
+    rows = [(100 * k + i, f"{prose(rng, 80)} {p} {prose(rng, 60)}") for k, p in enumerate(passages) for i in range(3)]
+    clean = [(5000 + i, prose(rng, 150)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows + clean], SCHEMA)
+    got = {r.doc_id: r.text for r in pipeline.suffix_array_dedup(spark, docs, sf_dir).collect()}
+    assert min(len(p) for p in passages) < 400
+    assert not any(passages[i // 100] in got[i] for i, _ in rows)
+    assert all(len(t) - len(got[i]) <= len(passages[i // 100]) + 20 for i, t in rows)
+    assert all(got[i] == t for i, t in clean)
+
+
 def test_run(spark, sf_dir):
     assert pipeline.run(spark, sf_dir).count() > 0
 

@@ -8,11 +8,11 @@ from collections import defaultdict
 
 import public_tokenizers
 import pytest
+import tokenizers
 
 from sparkvision.llm import bpe, packing
 
 
-tokenizers = pytest.importorskip("tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
