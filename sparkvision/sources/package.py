@@ -27,9 +27,12 @@ def shipped(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; only where the setting is missing (tests) a local one of our own."""
+    """The folder that the cluster names for checkpoints; only in local mode, where driver and executors are one process, a
+    local one of our own if the setting is missing."""
     found = spark.conf.get(CHECKPOINTS, None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{CHECKPOINTS} must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="sparkvision-")
         spark.conf.set(CHECKPOINTS, found)
     return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
