@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import dropped, for_bytes, parts, reused
+from .scratch import dropped, for_bytes, parts, reused, written
 from .text import U, WORD_BASE, Chunk, chunks, mix, powers, spread, window_minimum
 
 SHARE = 1 << 16
@@ -327,7 +327,8 @@ def found_spans(docs: DataFrame, shape: Shape, local: Callable, judge: Callable)
         for b in receive(b.set_column(6, "hot", pa.array(np.zeros(b.num_rows, bool))) for b in batches):
             yield b.select(["doc", "mark", "lo", "hi"])
 
-    first = reused(sent.repartition(partitions, "p").mapInArrow(receive, SPANS))
+    # one partition for each p: a hash of p would bring several of them to one task. Written, as it is read twice
+    first = written(sent.repartitionById(partitions, F.col("p")).mapInArrow(receive, SPANS), "spans")
     span = "doc long, mark long, lo long, hi long"
     rest = first.where("hot").repartition(parts(spark), "p").mapInArrow(finish, span)
     spans = first.where("NOT hot").select("doc", "mark", "lo", "hi").unionByName(rest)
