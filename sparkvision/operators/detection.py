@@ -53,9 +53,14 @@ def decode_concatenated(rows: DataFrame, counts: DataFrame, conf: float | None =
     """One tensor of all images' rows (batch_id, pos, box, score, class_id) and counts (batch_id, image_id, n): an image's
     rows begin where those of the images before it end."""
     before = F.coalesce(F.sum("n").over(Window.partitionBy("batch_id").orderBy("image_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = counts.withColumn("_from", before).withColumnRenamed("batch_id", "_batch")
-    inside = (F.col("batch_id") == F.col("_batch")) & (F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_from") + F.col("n"))
-    return decode_transformer(rows.join(spans, inside).drop("_batch", "_from", "n"), conf)
+    spans = counts.withColumn("_from", before).where("n > 0")
+    more = [c for c in counts.columns if c not in ("batch_id", "n")]
+    marks = spans.select("batch_id", F.col("_from").alias("pos"), F.struct(*more, "n", "_from").alias("_span"))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    # each row takes the span that began last; two cannot begin at one place
+    last = F.last("_span", ignorenulls=True).over(Window.partitionBy("batch_id").orderBy("pos", F.col("_span").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    held = both.withColumn("_own", last).where("_span IS NULL AND pos < _own._from + _own.n")
+    return decode_transformer(held.select(*rows.columns, *[F.col(f"_own.{c}").alias(c) for c in more]), conf)
 
 
 def decode_query_logits(logits: DataFrame, boxes: DataFrame, n_classes: int, size: int = 640, conf: float | None = None) -> DataFrame:

@@ -105,7 +105,7 @@ def fused_layers(profile: DataFrame, network: DataFrame | None = None) -> DataFr
         at = network.select("net", F.col("idx").alias("_i"), F.col("name").alias("_layer"))
         ends = inner.where(F.size("_ends") > 1).select("net", "pos", F.col("name").alias("fused"), F.col("_ends")[0].alias("_a"), F.col("_ends")[1].alias("_b"))
         ends = ends.join(at.select("net", F.col("_layer").alias("_a"), F.col("_i").alias("_lo")), ["net", "_a"]).join(at.select("net", F.col("_layer").alias("_b"), F.col("_i").alias("_hi")), ["net", "_b"])
-        spans = ends.join(at, "net").where("_i BETWEEN _lo AND _hi")
+        spans = ends.where("_lo <= _hi").withColumn("_i", F.explode(F.sequence("_lo", "_hi"))).join(at, ["net", "_i"])
         out = out.unionByName(spans.select("net", "pos", F.col("_layer").alias("layer"), "fused", (F.col("_hi") - F.col("_lo") + 1).cast("int").alias("n")))
         plain = own.where("_kind = 'plain'").withColumn("layer", base_name(F.col("name")))
         plain = plain.join(network.select("net", F.col("name").alias("layer")), ["net", "layer"], "left_semi")
@@ -114,6 +114,27 @@ def fused_layers(profile: DataFrame, network: DataFrame | None = None) -> DataFr
     return out.withColumn("_n", last).where("_n = 1").select("net", "layer", "fused", "n")
 
 
+#: Characters of the runs by which names are looked up.
+RUN = 8
+
+
+def containing(layers: DataFrame, names: DataFrame) -> DataFrame:
+    """layers (net, layer) joined to the names (net, name, ...) that contain them: names are indexed by all their runs of RUN
+    characters, and a layer meets those that have its last one, where names differ most. A layer shorter than a run meets
+    all names of its network."""
+    n = F.char_length("name") - RUN + 1
+    runs = F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring("name", i, F.lit(RUN)))))
+    index = names.withColumn("_run", F.explode(F.array_append(F.coalesce(runs, F.array().cast("array<string>")), F.lit(""))))
+    asked = layers.distinct().withColumn("_run", F.when(F.char_length("layer") < RUN, F.lit("")).otherwise(F.right("layer", F.lit(RUN))))
+    return asked.join(index, ["net", "_run"]).where(F.expr("contains(name, layer)")).drop("_run")
+
+
+def profile_iterations(jetson: Column, iterations: Column | None = None) -> Column:
+    """Iterations of a profiling run: as asked for; else 10000 where power is sampled as well, and 100 elsewhere."""
+    default = F.when(F.coalesce(jetson, F.lit(False)), F.lit(10_000)).otherwise(F.lit(100))
+    return default if iterations is None else F.coalesce(iterations, default)
+
+
 def resolved(layers: DataFrame, values: DataFrame, fused: DataFrame) -> DataFrame:
     """Adds value to layers (net, layer): its own; else its share of the fused one's; else that of the first profiled name
     which contains its name; else null. values: net, pos, name, value."""
@@ -121,7 +142,7 @@ def resolved(layers: DataFrame, values: DataFrame, fused: DataFrame) -> DataFram
     share = fused.join(values.select("net", F.col("name").alias("fused"), "value"), ["net", "fused"]).select("net", "layer", (F.col("value") / F.col("n")).alias("_share"))
     own = layers.join(exact, ["net", "layer"], "left").join(share, ["net", "layer"], "left")
     rest = own.where("_exact IS NULL AND _share IS NULL").select("net", "layer")
-    holds = rest.join(values.select("net", "pos", "name", F.col("value").alias("_v")), "net").where(F.expr("contains(name, layer)"))
+    holds = containing(rest, values.select("net", "pos", "name", F.col("value").alias("_v")))
     holds = holds.groupBy("net", "layer").agg(F.min_by("_v", "pos").alias("_held"))
     return own.join(holds, ["net", "layer"], "left").withColumn("value", F.coalesce("_exact", "_share", "_held")).drop("_exact", "_share", "_held")
 

@@ -190,3 +190,29 @@ def consistent_flags(flags: DataFrame) -> DataFrame:
     """Of conflicting precision flags one goes: fp16 beside int8 or fp8, then int8 beside fp8."""
     fp16 = F.col("fp16") & ~F.col("int8") & ~F.col("fp8")
     return flags.withColumn("fp16", fp16).withColumn("int8", F.col("int8") & ~F.col("fp8"))
+
+
+#: The range of optimisation levels, and how the default device may be written.
+OPTIMISATION_LEVELS, DEVICES = (0, 5), ("gpu", "GPU", "dla", "DLA")
+
+
+def build_options(options: DataFrame) -> DataFrame:
+    """Adds what follows from build options, and the rules that they break, as `broken` (stop the build) and `doubtful`.
+    options: optimisation_level int, device string, fp16, fp8, int8, direct_io boolean, input_formats, output_formats
+    array<string> (tensors with a format; null for none), inputs, outputs array<string> (the network's), has_calibration
+    boolean. A null flag is off. fp16 is on with any lower precision, direct_io with any format."""
+    low, high = OPTIMISATION_LEVELS
+    none = F.array().cast("array<string>")
+    on = {c: F.coalesce(c, F.lit(False)) for c in ("fp16", "fp8", "int8", "direct_io", "has_calibration")}
+    unknown = lambda asked, there: F.size(F.array_except(F.coalesce(asked, none), there)) > 0
+    rules = {
+        "optimisation_level": ~F.col("optimisation_level").between(low, high),
+        "device": ~F.col("device").isin(*DEVICES),
+        "input_formats": unknown("input_formats", "inputs"),
+        "output_formats": unknown("output_formats", "outputs"),
+    }
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(True)), F.lit(k)) for k, v in rules.items()]))
+    doubtful = F.array_compact(F.array(F.when(on["int8"] & ~on["has_calibration"], F.lit("int8_without_calibration"))))
+    formats = F.col("input_formats").isNotNull() | F.col("output_formats").isNotNull()
+    flags = {"fp16": on["fp16"] | on["fp8"] | on["int8"], "fp8": on["fp8"], "int8": on["int8"], "direct_io": on["direct_io"] | formats}
+    return options.withColumns({"broken": broken, "doubtful": doubtful} | flags | {"device": F.lower("device")})

@@ -205,25 +205,25 @@ def detect_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.as_integers(found, 0.3)
 
 
-@query(f"""WITH {views.GRID}, t AS (SELECT image_id, (2 - c) * 16 + y * 4 + x AS idx, (value / 255.0::DOUBLE - [0.485, 0.456, 0.406][3 - c]) / [0.229, 0.224, 0.225][3 - c] AS v FROM grid),
+@query(f"""WITH {views.GRID}, t AS (SELECT image_id, (2 - c) * 24 + y * 4 + x AS idx, (value / 255.0::DOUBLE - [0.485, 0.456, 0.406][3 - c]) / [0.229, 0.224, 0.225][3 - c] AS v FROM grid),
 l AS (SELECT image_id, k AS class_idx, sum(v * ((idx * 7 + k * 13) % 11 - 5) / 50.0::DOUBLE) AS x FROM t, (SELECT unnest(range(6)) AS k) GROUP BY 1, 2),
 e AS (SELECT image_id, class_idx, exp(x - max(x) OVER (PARTITION BY image_id)) AS e FROM l), p AS (SELECT image_id, class_idx, e / sum(e) OVER (PARTITION BY image_id) AS prob FROM e)
 SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY prob DESC, class_idx DESC) AS INT) AS rank, CAST(class_idx AS INT) AS class_id, round(prob, 6) AS prob FROM p QUALIFY rank <= 3""")
 def classify_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised pixels, a linear stand-in for the network, softmax and the three best classes."""
-    own = image.normalised(views.grid(spark, sf_dir), 4, 4).withColumn("class_idx", F.explode(F.array(*[F.lit(k) for k in range(6)])))
+    own = image.normalised(views.grid(spark, sf_dir), 4, 6).withColumn("class_idx", F.explode(F.array(*[F.lit(k) for k in range(6)])))
     weight = ((F.col("idx") * 7 + F.col("class_idx") * 13) % 11 - 5) / F.lit(50.0)
     logits = own.groupBy("image_id", "class_idx").agg(F.sum(F.col("value") * weight).alias("x"))
     top = classification.top_k(classification.softmax(logits), 3)
     return rounded(top.select("image_id", "rank", F.col("class_idx").alias("class_id"), "prob"), "prob")
 
 
-@query(f"""WITH {views.GRID}, t AS (SELECT image_id, (2 - c) * 16 + y * 4 + x AS idx, (value / 255.0::DOUBLE - [0.485, 0.456, 0.406][3 - c]) / [0.229, 0.224, 0.225][3 - c] AS v FROM grid),
+@query(f"""WITH {views.GRID}, t AS (SELECT image_id, (2 - c) * 24 + y * 4 + x AS idx, (value / 255.0::DOUBLE - [0.485, 0.456, 0.406][3 - c]) / [0.229, 0.224, 0.225][3 - c] AS v FROM grid),
 o AS (SELECT image_id, idx, v * (idx % 5 - 2) + idx / 10.0::DOUBLE AS x FROM t)
 SELECT image_id, CAST(idx AS INT) AS idx, round((x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w + 1e-8), 6) AS depth FROM o WINDOW w AS (PARTITION BY image_id)""")
 def depth_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised pixels, a stand-in for the network with two outputs, and the first output's depth map."""
-    own = image.normalised(views.grid(spark, sf_dir), 4, 4)
+    own = image.normalised(views.grid(spark, sf_dir), 4, 6)
     outputs = F.array(F.col("value") * (F.col("idx") % 5 - 2) + F.col("idx") / F.lit(10.0), -F.col("value"))
     maps = classification.depth_normalised(own.withColumn("x", classification.first_output(outputs)))
     return rounded(maps.select("image_id", F.col("idx").cast("int").alias("idx"), "depth"), "depth")

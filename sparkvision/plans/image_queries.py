@@ -1,4 +1,4 @@
-"""Queries over image operators: 4 x 4 pixel images, and tiles and batches of the images table."""
+"""Queries over image operators: images of 4 x 6 pixels, and tiles and batches of the images table."""
 
 from __future__ import annotations
 
@@ -23,34 +23,34 @@ small AS (SELECT t.image_id, t.y, t.x, t.c, CAST(CASE WHEN inside THEN floor(rou
 
 
 def small_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(4).alias("w"), F.lit(4).alias("h"))
+    return views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(4).alias("w"), F.lit(6).alias("h"))
 
 
-@query(f"WITH {views.GRID}, {resample_sql(8, 6, 4, 4, 6, 6, 1, 0)} SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, c, value FROM small")
+@query(f"WITH {views.GRID}, {resample_sql(8, 8, 4, 6, 5, 8, 1, 0)} SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, c, value FROM small")
 def letterbox_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    geometry = image.letterbox_geometry(small_images(spark, sf_dir), 8, 6)
-    return image.resampled(views.grid(spark, sf_dir), geometry, 8, 6)
+    geometry = image.letterbox_geometry(small_images(spark, sf_dir), 8, 8)
+    return image.resampled(views.grid(spark, sf_dir), geometry, 8, 8)
 
 
-@query(f"WITH {views.GRID}, {resample_sql(6, 3, 4, 4, 6, 3, 0, 0)} SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, c, value FROM small")
+@query(f"WITH {views.GRID}, {resample_sql(6, 3, 4, 6, 6, 3, 0, 0)} SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, c, value FROM small")
 def linear_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     geometry = image.linear_geometry(small_images(spark, sf_dir), 6, 3)
     return image.resampled(views.grid(spark, sf_dir), geometry, 6, 3)
 
 
-@query(f"WITH {views.GRID} SELECT image_id, CAST((2 - c) * 16 + y * 4 + x AS INT) AS idx, round(value * (2.0::DOUBLE / 255) - 1, 6) AS value FROM grid")
+@query(f"WITH {views.GRID} SELECT image_id, CAST((2 - c) * 24 + y * 4 + x AS INT) AS idx, round(value * (2.0::DOUBLE / 255) - 1, 6) AS value FROM grid")
 def channels_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = image.channels_first(views.grid(spark, sf_dir), 4, 4, -1.0, 1.0)
+    own = image.channels_first(views.grid(spark, sf_dir), 4, 6, -1.0, 1.0)
     return own.select("image_id", F.col("idx").cast("int").alias("idx"), F.round("value", 6).alias("value"))
 
 
-@query(f"WITH {views.GRID} SELECT image_id, CAST((2 - c) * 16 + y * 4 + x AS INT) AS idx, round((value / 255.0::DOUBLE - [0.485, 0.456, 0.406][3 - c]) / [0.229, 0.224, 0.225][3 - c], 6) AS value FROM grid")
+@query(f"WITH {views.GRID} SELECT image_id, CAST((2 - c) * 24 + y * 4 + x AS INT) AS idx, round((value / 255.0::DOUBLE - [0.485, 0.456, 0.406][3 - c]) / [0.229, 0.224, 0.225][3 - c], 6) AS value FROM grid")
 def channel_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = image.normalised(views.grid(spark, sf_dir), 4, 4)
+    own = image.normalised(views.grid(spark, sf_dir), 4, 6)
     return own.select("image_id", F.col("idx").cast("int").alias("idx"), F.round("value", 6).alias("value"))
 
 
-@query(f"WITH {views.GRID}, {resample_sql(6, 6, 4, 4, 6, 6, 0, 0)} SELECT image_id, CAST(c * 36 + y * 6 + x AS INT) AS idx, round(value / 255.0::DOUBLE, 6) AS value FROM small")
+@query(f"WITH {views.GRID}, {resample_sql(6, 6, 4, 6, 4, 6, 1, 0)} SELECT image_id, CAST(c * 36 + y * 6 + x AS INT) AS idx, round(value / 255.0::DOUBLE, 6) AS value FROM small")
 def calibration_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preparation of calibration images, which keeps the channel order."""
     own = image.preprocessed(views.grid(spark, sf_dir), small_images(spark, sf_dir), 6, 6, swap_rb=False)

@@ -176,3 +176,25 @@ def engine_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
     port = F.struct("idx", "name")
     own = views.layers(spark, sf_dir).groupBy("net").agg(F.array_sort(F.collect_list(F.when(F.col("idx") % 3 != 2, port))).alias("i"), F.array_sort(F.collect_list(F.when(F.col("idx") % 3 == 2, port))).alias("o"))
     return own.select("net", F.array_join("i.name", ",").alias("inputs"), F.array_join("o.name", ",").alias("outputs"))
+
+
+@query("""WITH o AS (SELECT p_partkey AS engine, p_size % 8 - 1 AS level, ['gpu', 'DLA', 'cpu', 'GPU'][p_partkey % 4 + 1] AS device, p_size % 3 = 0 AS fp16, p_size % 5 = 0 AS int8, p_size % 7 = 0 AS calibrated, p_size % 11 = 0 AS format, p_size % 2 = 0 AS known FROM part)
+SELECT engine, concat_ws(',', CASE WHEN level NOT BETWEEN 0 AND 5 THEN 'optimisation_level' END, CASE WHEN device = 'cpu' THEN 'device' END, CASE WHEN format AND NOT known THEN 'input_formats' END) AS broken,
+CASE WHEN int8 AND NOT calibrated THEN 'int8_without_calibration' ELSE '' END AS doubtful, lower(device) AS device, fp16 OR int8 AS fp16, int8, format AS direct_io FROM o""")
+def build_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that build options break, and what follows from them."""
+    k, part = F.col("p_size"), views.table(spark, sf_dir, "part")
+    device = F.element_at(F.array(*map(F.lit, ("gpu", "DLA", "cpu", "GPU"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    own = part.select(
+        F.col("p_partkey").alias("engine"), (k % 8 - 1).alias("optimisation_level"), device.alias("device"), (k % 3 == 0).alias("fp16"), F.lit(None).cast("boolean").alias("fp8"),
+        (k % 5 == 0).alias("int8"), F.lit(None).cast("boolean").alias("direct_io"), F.when(k % 11 == 0, F.array(F.when(k % 2 == 0, "images").otherwise("pixels"))).alias("input_formats"),
+        F.lit(None).cast("array<string>").alias("output_formats"), F.array(F.lit("images")).alias("inputs"), F.array(F.lit("boxes")).alias("outputs"), (k % 7 == 0).alias("has_calibration"),
+    )
+    return scheduling.build_options(own).select("engine", F.array_join("broken", ",").alias("broken"), F.array_join("doubtful", ",").alias("doubtful"), "device", "fp16", "int8", "direct_io")
+
+
+@query("SELECT s_suppkey AS engine, CAST(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey WHEN s_suppkey % 2 = 0 THEN 10000 ELSE 100 END AS BIGINT) AS iterations FROM supplier")
+def profile_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Iterations of a profiling run: asked for, or the default of its kind of device."""
+    n = profiling.profile_iterations(F.col("s_suppkey") % 2 == 0, F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey")))
+    return views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("engine"), n.cast("long").alias("iterations"))

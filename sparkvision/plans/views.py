@@ -21,12 +21,13 @@ LOGITS = "logits AS (SELECT vec_id AS image_id, unnest(range(0, len(embedding)))
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, y, x, c, value): the first 48 elements as 4 x 4 pixels of 3 channels, 0 to 255."""
-    v = F.floor(F.abs(F.col("x")) * 1000).cast("int") % 256
-    return logits(spark, sf_dir).where("class_idx < 48").select("image_id", (F.col("class_idx") / 12).cast("int").alias("y"), (F.col("class_idx") / 3 % 4).cast("int").alias("x"), (F.col("class_idx") % 3).alias("c"), v.alias("value"))
+    """(image_id, y, x, c, value): all 64 elements, and eight of 0, as 6 rows of 4 pixels of 3 channels, 0 to 255."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(71))).alias("k"))
+    v = F.floor(F.abs(F.coalesce(F.try_element_at("embedding", F.col("k") + 1), F.lit(0.0)).cast("double")) * 1000).cast("int") % 256
+    return own.select("image_id", (F.col("k") / 12).cast("int").alias("y"), (F.col("k") / 3 % 4).cast("int").alias("x"), (F.col("k") % 3).alias("c"), v.alias("value"))
 
 
-GRID = LOGITS + ", grid AS (SELECT image_id, class_idx // 12 AS y, class_idx // 3 % 4 AS x, class_idx % 3 AS c, CAST(floor(abs(x) * 1000) AS INT) % 256 AS value FROM logits WHERE class_idx < 48)"
+GRID = "grid AS (SELECT vec_id AS image_id, k // 12 AS y, k // 3 % 4 AS x, k % 3 AS c, CAST(floor(abs(coalesce(CAST(embedding[k + 1] AS DOUBLE), 0)) * 1000) AS INT) % 256 AS value FROM embeddings, (SELECT unnest(range(72)) AS k))"
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:

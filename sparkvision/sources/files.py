@@ -21,8 +21,10 @@ def image_files(spark: SparkSession, folder: str, max_images: int | None = None)
     if max_images is not None and max_images <= 1:
         raise ValueError("max_images must be greater than 1")
     own = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "content")
-    own = own.where(F.substring_index("path", ".", -1).isin(*IMAGE_ENDINGS)).orderBy("path")
-    return own if max_images is None else own.limit(max_images)
+    own = own.where(F.substring_index("path", ".", -1).isin(*IMAGE_ENDINGS))
+    if max_images is not None:  # paths alone are sorted and limited; only then are contents read
+        own = own.join(own.select("path").orderBy("path").limit(max_images), "path", "left_semi")
+    return own.orderBy("path")
 
 
 def decoded_images(files: DataFrame, decode: Callable[[bytes], tuple[int, int, bytes]]) -> DataFrame:
