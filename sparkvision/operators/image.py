@@ -57,10 +57,17 @@ def channels_first(pixels: DataFrame, w: int, h: int, low: float = 0.0, high: fl
     return pixels.select("image_id", (c * w * h + F.col("y") * w + F.col("x")).alias("idx"), (F.col("value") * ((high - low) / 255) + low).alias("value"))
 
 
-def normalised(pixels: DataFrame, w: int, h: int, mean: tuple = MEAN, std: tuple = STD) -> DataFrame:
-    """As channels_first, with (value / 255 - mean) / std of each channel."""
+def checked(mean: tuple | None, std: tuple | None) -> None:
+    """Both or none, with a value for each channel."""
     if (mean is None) != (std is None):
         raise ValueError("mean and std must be given together")
+    if mean is not None and not len(mean) == len(std) == 3:
+        raise ValueError("mean and std need three values each")
+
+
+def normalised(pixels: DataFrame, w: int, h: int, mean: tuple = MEAN, std: tuple = STD) -> DataFrame:
+    """As channels_first, with (value / 255 - mean) / std of each channel."""
+    checked(mean, std)
     c = 2 - F.col("c")
     pick = lambda v: F.element_at(F.array(*[F.lit(float(x)) for x in v]), c + 1)
     return pixels.select("image_id", (c * w * h + F.col("y") * w + F.col("x")).alias("idx"), ((F.col("value") / 255 - pick(mean)) / pick(std)).alias("value"))
@@ -70,8 +77,7 @@ def preprocessed(pixels: DataFrame, images: DataFrame, out_w: int, out_h: int, m
     """Geometry, resampling and normalisation in one plan."""
     if method not in ("letterbox", "linear"):
         raise ValueError(f"unknown method {method}")
-    if (mean is None) != (std is None):
-        raise ValueError("mean and std must be given together")
+    checked(mean, std)
     geometry = (letterbox_geometry if method == "letterbox" else linear_geometry)(images, out_w, out_h)
     small = resampled(pixels, geometry, out_w, out_h)
     return normalised(small, out_w, out_h, mean, std) if mean else channels_first(small, out_w, out_h, low, high, swap_rb)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Fixed value of the format: what a compiler adds to the names of layers that it splits.
 SUFFIX = r"_myl\d+_\d+$"
 PROLOGUE = "__prologue__"
+#: The names of metric()'s columns.
+METRIC = ("mean", "median", "minimum", "maximum", "std", "ci95")
 
 
 def metric(x: str) -> list[Column]:
@@ -16,6 +18,28 @@ def metric(x: str) -> list[Column]:
     return [F.avg(x).alias("mean"), F.median(x).alias("median"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), std.alias("std"), (1.96 * std / F.sqrt(F.count(x))).alias("ci95")]
 
 
+def exact_medians(rows: DataFrame, keys: list[str], x: str, cuts: int = 64) -> DataFrame:
+    """(keys, median) for groups of any size: a sketch cuts each group's values into ranges, equal values are counted as one,
+    and only the ranges that hold the middle are sorted. The cuts decide how much is sorted, never the result. Null values
+    do not count; a group with no value, or with a null key, has no row."""
+    own = rows.select(*keys, F.col(x).cast("double").alias("_x")).where("_x IS NOT NULL")
+    counted = own.groupBy(*keys, "_x").agg(F.count("*").alias("_m"))
+    at = F.percentile_approx("_x", [i / cuts for i in range(1, cuts)], 10 * cuts)
+    sketch = own.groupBy(*keys).agg(at.alias("_cuts"), F.count("*").alias("_n"))
+    part = F.aggregate("_cuts", F.lit(0), lambda k, c: k + F.when(c < F.col("_x"), 1).otherwise(0))
+    counted = counted.join(sketch, keys).withColumn("_part", part).drop("_cuts")
+    before = lambda *order: F.sum("_m").over(Window.partitionBy(*keys).orderBy(*order)) - F.col("_m")
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    ranges = counted.groupBy(*keys, "_part").agg(F.sum("_m").alias("_m")).withColumn("_before", before("_part"))
+    near = counted.join(ranges.select(*keys, "_part", "_before", F.col("_m").alias("_size")), [*keys, "_part"])
+    near = near.where((F.col("_before") <= high) & (F.col("_before") + F.col("_size") > low))
+    # the ranges that are left follow each other, so what lies before them all is the least of their counts
+    first = F.min("_before").over(Window.partitionBy(*keys)) + before("_x")
+    near = near.withColumn("_first", first)
+    holds = lambda rank: F.max(F.when((F.col("_first") <= rank) & (F.col("_first") + F.col("_m") > rank), F.col("_x")))
+    return near.groupBy(*keys).agg(((holds(low) + holds(high)) / 2).alias("median"))
+
+
 def upper_median(x: str) -> Column:
     """Aggregate: of an even number of values the upper of the middle two."""
     return F.element_at(F.array_sort(F.collect_list(x)), (F.count(x) / 2).cast("int") + 1)

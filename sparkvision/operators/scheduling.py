@@ -99,27 +99,28 @@ def solved_one_change(layers: DataFrame, energy_share: float = 0.8) -> DataFrame
 
 
 def solved(layers: DataFrame, energy_share: float = 0.8, max_transitions: int = 1) -> DataFrame:
-    """As solved_one_change for any number of changes: per network a frontier of (time, energy) by processor and changes so
-    far, in one task a network. Gives net, procs (a letter a layer), time_ms, energy_mj, transitions."""
+    """As solved_one_change for any number of changes: per network a frontier of (time, energy, places of the changes) by
+    processor and number of changes so far, in one task a network. An entry is as long as its changes, not as the network.
+    Gives net, procs (a letter a layer), time_ms, energy_mj, transitions."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         budget = energy_share * pdf.gpu_mj.sum()
-        states: dict[tuple[str, int], list[tuple[float, float, str]]] = {}
+        states: dict[tuple[str, int], list[tuple[float, float, tuple[int, ...]]]] = {}
         before = 0.0
         for i, r in enumerate(pdf.itertuples()):
-            new: dict[tuple[str, int], list[tuple[float, float, str]]] = {}
+            new: dict[tuple[str, int], list[tuple[float, float, tuple[int, ...]]]] = {}
             for proc in "GD" if r.compat else "G":
                 t, e = (r.gpu_ms, r.gpu_mj) if proc == "G" else (r.dla_ms, r.dla_mj)
                 if not i:
-                    new[proc, 0] = [(t, e, proc)]
+                    new[proc, 0] = [(t, e, ())]
                     continue
                 for (last, k), front in states.items():
                     changed = last != proc
                     if k + changed > max_transitions:
                         continue
                     dt, de = (t + CHANGE_MS + before * CHANGE_MS_MB, e + CHANGE_MJ + before * CHANGE_MJ_MB) if changed else (t, e)
-                    new.setdefault((proc, k + changed), []).extend((a + dt, b + de, s + proc) for a, b, s in front if b + de <= budget + 1e-9)
+                    new.setdefault((proc, k + changed), []).extend((a + dt, b + de, cuts + (i,) * changed) for a, b, cuts in front if b + de <= budget + 1e-9)
             for key, front in new.items():
                 best, kept = float("inf"), []
                 for x in sorted(front):
@@ -128,8 +129,16 @@ def solved(layers: DataFrame, energy_share: float = 0.8, max_transitions: int =
                         best = x[1]
                 new[key] = kept
             states, before = new, r.size / MIB
-        ends = [(round(t, 9), round(e, 9), s, k) for (_, k), front in states.items() for t, e, s in front if e <= budget + 1e-9]
-        t, e, s, k = min(ends) if ends else (pdf.gpu_ms.sum(), pdf.gpu_mj.sum(), "G" * len(pdf), 0)
+
+        def letters(proc: str, cuts: tuple[int, ...]) -> str:
+            edges, swap = [0, *cuts, len(pdf)], len(cuts) % 2 == 1
+            first = "GD"[(proc == "D") != swap]
+            other = "DG"[first == "D"]
+            return "".join((first, other)[j % 2] * (b - a) for j, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+
+        ends = [(round(t, 9), round(e, 9), proc, cuts, k) for (proc, k), front in states.items() for t, e, cuts in front if e <= budget + 1e-9]
+        least = min((x[:2] for x in ends), default=None)
+        t, e, s, k = min((*x[:2], letters(x[2], x[3]), x[4]) for x in ends if x[:2] == least) if ends else (pdf.gpu_ms.sum(), pdf.gpu_mj.sum(), "G" * len(pdf), 0)
         return pd.DataFrame({"net": [pdf.net.iloc[0]], "procs": [s], "time_ms": [t], "energy_mj": [e], "transitions": [k]})
 
     return layers.select("net", "idx", "gpu_ms", "gpu_mj", "dla_ms", "dla_mj", "size", "compat").groupBy("net").applyInPandas(run, "net string, procs string, time_ms double, energy_mj double, transitions int")

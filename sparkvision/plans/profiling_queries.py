@@ -26,9 +26,9 @@ def latency_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT event_type AS series, {METRIC.format(x='value')} FROM events GROUP BY 1 UNION ALL SELECT 'all', {METRIC.format(x='value')} FROM events")
 def lockstep_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several engines one after another give a result each; side by side they give a single one."""
-    own = views.table(spark, sf_dir, "events")
-    each = own.groupBy(F.col("event_type").alias("series")).agg(*profiling.metric("value"))
-    return rounded(each.unionByName(own.groupBy(F.lit("all").alias("series")).agg(*profiling.metric("value"))), *SIX)
+    own = views.table(spark, sf_dir, "events").select(F.explode(F.array(F.col("event_type"), F.lit("all"))).alias("series"), "value")
+    plain = [m for m, name in zip(profiling.metric("value"), profiling.METRIC, strict=True) if name != "median"]
+    return rounded(own.groupBy("series").agg(*plain).join(profiling.exact_medians(own, ["series"], "value"), "series"), *SIX)
 
 
 @query("""WITH m AS (SELECT event_type AS engine, user_id % 8 AS batch_size, avg(value) AS mean_s FROM events GROUP BY 1, 2)

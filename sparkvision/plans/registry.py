@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-from . import benchmark_queries, detection_queries, image_queries, profiling_queries, scheduling_queries, stream_queries  # noqa: E402, F401
+from . import benchmark_queries, detection_queries, file_queries, image_queries, profiling_queries, scheduling_queries, stream_queries  # noqa: E402, F401

@@ -35,6 +35,14 @@ def stream_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ran(spark, frames.fanned_in([one, two]), "fan-in")
 
 
+@query("SELECT c_nationkey AS model_id, c_custkey AS stream_id, event_id AS frame_id, value FROM events JOIN customer ON c_custkey = user_id")
+def stream_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a stream to the models that want them."""
+    own = source(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("frame_id"), "value")
+    models = views.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("model_id"), F.col("c_custkey").alias("stream_id"))
+    return ran(spark, frames.by_model(own, models).select("model_id", "stream_id", "frame_id", "value"), "by-model")
+
+
 @query("""WITH w AS (SELECT event_type AS engine, time_bucket(INTERVAL 1 HOUR, ts) AS b, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2)
 SELECT engine, epoch_ms(b) // 1000 AS start, n, total FROM w WHERE b + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

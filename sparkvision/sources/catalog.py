@@ -45,9 +45,20 @@ def model_families(spark: SparkSession) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """(family, model, config): JSON files of model -> settings, one for each family, which is the file's name."""
-    own = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("family"), F.from_json("value", "map<string, map<string, string>>").alias("models"))
-    return own.select("family", F.explode("models").alias("model", "config"))
+    """(family, model, config): JSON files of model -> settings, one for each family, which is the file's name, or its folder's
+    as write_catalog has it."""
+    own = spark.read.text(path, wholetext=True)
+    if "family" in own.columns:  # named, as its values could look like numbers
+        own = spark.read.schema("value string, family string").text(path, wholetext=True)
+    else:
+        own = own.withColumn("family", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
+    return own.select("family", F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("model", "config"))
+
+
+def write_catalog(models: DataFrame, path: str) -> None:
+    """(family, model, config) as one JSON file in a folder for each family."""
+    own = models.groupBy("family").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("model", "config")))).alias("value"))
+    own.write.mode("overwrite").partitionBy("family").text(path)
 
 
 def supported_models(catalog: DataFrame) -> DataFrame:
@@ -79,3 +90,12 @@ def synthetic_batches(ids: DataFrame, shape: tuple[int, ...], low: float = 0.0,
     unit = lambda i: F.pmod(F.xxhash64(F.col(key), i, F.lit(seed)), F.lit(1 << 24)) / float(1 << 24)
     data = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (unit(i) * (high - low) + low).cast("float"))
     return ids.select(key, F.array(*map(F.lit, shape)).alias("shape"), data.alias("data"))
+
+
+def random_inputs(specs: DataFrame, seed: int = 0) -> DataFrame:
+    """Adds data to (id, shape, dtype): 0 for whole-number types, else uniform values from 0 to 1 by a hash of the id, the place
+    and the seed; so they are the same until another seed asks for new ones. The id is the first column."""
+    key, n = specs.columns[0], F.aggregate("shape", F.lit(1).cast("long"), lambda a, d: a * d)
+    unit = lambda i: F.pmod(F.xxhash64(F.col(key), i, F.lit(seed)), F.lit(1 << 24)) / float(1 << 24)
+    value = lambda i: F.when(F.col("dtype").rlike("^u?int"), F.lit(0.0)).otherwise(unit(i)).cast("float")
+    return specs.withColumn("data", F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), value)).otherwise(F.array().cast("array<float>")))

@@ -13,6 +13,8 @@ from ..operators.benchmarks import stored
 
 IMAGE_ENDINGS = ("jpg", "jpeg", "png")
 METRICS = "struct<mean: double, median: double, min: double, max: double>"
+#: What write_profile writes, but for raw values.
+PROFILE = "run_id long, layers array<struct<place: long, layer: string, mean: double, median: double, minimum: double, maximum: double>>, iterations long, total_time struct<mean: double, median: double>"
 
 
 def image_files(spark: SparkSession, folder: str, max_images: int | None = None) -> DataFrame:
@@ -74,14 +76,15 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def store_text(rows: DataFrame) -> DataFrame:
-    """The nested JSON of (framework, model, key, metrics), as one row of text."""
+    """(folder, value): of each framework the nested JSON of its (framework, model, key, metrics), as one row of text."""
     own = rows.groupBy("framework", "model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "metrics")))).alias("m"))
     own = own.groupBy("framework").agg(F.map_from_entries(F.collect_list(F.struct("model", "m"))).alias("m"))
-    return own.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("framework", "m")))).alias("value"))
+    return own.select(F.col("framework").alias("folder"), F.to_json(F.create_map("framework", "m")).alias("value"))
 
 
 def write_store(rows: DataFrame, path: str) -> None:
-    store_text(rows).write.mode("overwrite").text(path)
+    """A folder for each framework, with one JSON file."""
+    store_text(rows).write.mode("overwrite").partitionBy("folder").text(path)
 
 
 def write_batches(batches: DataFrame, path: str) -> int:

@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sparkvision.sources import catalog, files
+from sparkvision.operators import image
+from sparkvision.sources import batcher, catalog, files
 
 
 def test_image_files_are_sorted_and_filtered(spark, tmp_path):
@@ -88,3 +89,45 @@ def test_catalog(spark, tmp_path):
     rules = [("deim", "deimv2", "one"), ("deim", None, "two"), ("yolo", None, "three")]
     rows = spark.createDataFrame([("deim-s",), ("deimv2-s",), ("yolov8n",), ("x",)], "name string")
     assert [r[0] for r in rows.select(catalog.routed(F.col("name"), rules)).collect()] == ["one", "two", "three", None]
+
+
+def test_catalog_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("007", "m/n", {"url": "a b"}), ("007", "o", {}), ("x y#1", "p", {"k": "\u00e9"})], "family string, model string, config map<string,string>")
+    catalog.write_catalog(rows, str(tmp_path / "c"))
+    got = catalog.read_catalog(spark, str(tmp_path / "c"))
+    assert sorted((r.family, r.model, r.config) for r in got.collect()) == sorted((r.family, r.model, r.config) for r in rows.collect())
+
+
+def test_store_of_odd_names(spark, tmp_path):
+    m = (1.0, 1.0, None, 2.0)
+    rows = spark.createDataFrame([("a/b", "m", "1", m), ("a/b", "n", "1", m), ("2", "m", "x y", m)], f"framework string, model string, key string, metrics {files.METRICS}")
+    files.write_store(rows, str(tmp_path / "s"))
+    assert sorted(files.read_store(spark, str(tmp_path / "s")).collect()[0].asDict()) == ["framework", "key", "metrics", "model"]
+    assert {(r.framework, r.model, r.key) for r in files.read_store(spark, str(tmp_path / "s")).collect()} == {("a/b", "m", "1"), ("a/b", "n", "1"), ("2", "m", "x y")}
+    files.write_store(rows.limit(0), str(tmp_path / "none"))
+    assert files.read_store(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_batcher(spark):
+    rows = batcher.read(spark, 5, (2, 2), lambda i: [i, 0, 0, 0], partitions=3)
+    assert sorted((r.batch_id, r.shape, r.data[0]) for r in rows.collect()) == [(i, [2, 2], float(i)) for i in range(5)]
+    assert batcher.read(spark, 0, (1,), lambda i: [0]).count() == 0
+    with pytest.raises(Exception, match="has 1 values, not 2"):
+        batcher.read(spark, 1, (2,), lambda i: [0]).collect()
+
+
+def test_random_inputs(spark):
+    specs = spark.createDataFrame([(1, [2, 3], "float32"), (2, [4], "int64"), (3, [4], "uint8"), (4, [0, 2], "float16")], "input_id int, shape array<int>, dtype string")
+    got = {r.input_id: r.data for r in catalog.random_inputs(specs).collect()}
+    assert {k: len(v) for k, v in got.items()} == {1: 6, 2: 4, 3: 4, 4: 0}
+    assert set(got[2] + got[3]) == {0.0} and all(0 <= x < 1 for x in got[1]) and len(set(got[1])) > 1
+    assert got == {r.input_id: r.data for r in catalog.random_inputs(specs).collect()}
+    assert got[1] != {r.input_id: r.data for r in catalog.random_inputs(specs, 1).collect()}[1]
+
+
+def test_mean_and_std_need_three_values(spark):
+    pixels = spark.createDataFrame([(1, 0, 0, 0, 5)], "image_id int, y int, x int, c int, value int")
+    with pytest.raises(ValueError, match="three"):
+        image.normalised(pixels, 1, 1, (0.5, 0.5), (0.5, 0.5))
+    with pytest.raises(ValueError, match="together"):
+        image.normalised(pixels, 1, 1, (0.5, 0.5, 0.5), None)

@@ -1,6 +1,8 @@
 """Vectors worked by hand."""
 
 import itertools
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,14 +169,15 @@ def brute_schedule(layers, limit, share):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_solvers_against_all_schedules(spark, seed):
-    import random
-
     rng = random.Random(seed)
     layers = [(rng.uniform(1, 2), rng.uniform(5, 9), rng.uniform(1, 4), rng.uniform(1, 6), rng.randint(0, 1 << 21), rng.random() < 0.8) for _ in range(7)]
     df = spark.createDataFrame([("n", i, *x) for i, x in enumerate(layers)], "net string, idx int, gpu_ms double, gpu_mj double, dla_ms double, dla_mj double, size long, compat boolean")
     for limit in (1, 3):
         (r,) = scheduling.solved(df, 0.8, limit).collect()
         assert (r.time_ms, r.energy_mj) == pytest.approx(brute_schedule(layers, limit, 0.8), abs=1e-6)
+        named = df.withColumns({"schedule_id": F.lit(1), "proc": F.substring(F.lit(r.procs), F.col("idx") + 1, F.lit(1))})
+        (own,) = scheduling.schedule_cost(named).collect()
+        assert (own.time_ms, own.energy_mj, own.transitions) == pytest.approx((r.time_ms, r.energy_mj, r.transitions), abs=1e-6)
     (r,) = scheduling.solved_one_change(df, 0.8).collect()
     assert r.time_ms == pytest.approx(brute_schedule(layers, 1, 0.8)[0], abs=1e-6)
 
@@ -232,3 +235,14 @@ def test_image_sizes(spark):
 def test_small_rules(spark):
     row = spark.range(1).select(scalars.rounded_ms(F.lit(0.0123456)).alias("a"), scheduling.static_shape(F.array(F.lit(-1), F.lit(3))).alias("b"), profiling.tensor_bytes(F.array(F.lit(-1), F.lit(3)), F.lit("HALF")).alias("c"), scalars.override(F.lit(0.0), F.lit(0.1)).alias("d")).first()
     assert tuple(row) == (12.35, [1, 3], 6, 0.0)
+
+
+def test_exact_medians(spark):
+    rng = random.Random(3)
+    rows = [(g, v) for g, n in (("one", 1), ("two", 2), ("odd", 801), ("even", 800)) for v in (rng.choice([1.5, 2.5, rng.random() * 9]) for _ in range(n))]
+    rows += [("tie", 4.0)] * 50 + [("gap", float(i // 10 * 100)) for i in range(20)] + [("none", None), ("one", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r["median"] for r in profiling.exact_medians(df, ["g"], "v").collect()}
+    want = {g: statistics.median(v for k, v in rows if k == g and v is not None) for g in {k for k, v in rows if v is not None}}
+    assert got == want
+    assert {r.g: r["median"] for r in profiling.exact_medians(df, ["g"], "v", cuts=2).collect()} == want
