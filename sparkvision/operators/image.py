@@ -1,7 +1,7 @@
 """Image preparation: geometry, resampling, channel order, normalisation, tiling and batching.
 
-Pixels are long: (image_id, y, x, c, value), channel 0 to 2, value 0 to 255. Resampled pixels take the four nearest source
-pixels by equi-joins on their places, so an image of any size is spread over tasks.
+Pixels are long: (image_id, y, x, c, value), channel 0 to 2, value 0 to 255. Resampling works on rows of pixels: a row of the
+result meets the two rows of the source above and below it, so an image of any size is spread over tasks.
 """
 
 from __future__ import annotations
@@ -28,26 +28,44 @@ def linear_geometry(images: DataFrame, out_w: int = 640, out_h: int = 640) -> Da
     return own.withColumns({"new_w": F.lit(out_w), "new_h": F.lit(out_h), "pad_x": F.lit(0), "pad_y": F.lit(0)})
 
 
+def pixel_rows(pixels: DataFrame) -> DataFrame:
+    """(image_id, y, row): the values of each row of pixels, by x and channel."""
+    at = F.col("x") * 3 + F.col("c")
+    own = pixels.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "value"))).alias("row"))
+    return own.select("image_id", "y", F.transform("row", lambda s: s["value"]).alias("row"))
+
+
 def resampled(pixels: DataFrame, geometry: DataFrame, out_w: int, out_h: int, fill: int = FILL) -> DataFrame:
-    """(image_id, y, x, c, value): bilinear at pixel centres inside the padded region, cut to whole numbers; else fill.
+    """(image_id, y, x, c, value): bilinear at pixel centres inside the padded region, cut to whole numbers; else fill. What lies
+    on a row that is missing from the source, or has not w x 3 values, is null.
     geometry: image_id, w, h, new_w, new_h, pad_x, pad_y."""
-    place = geometry.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(out_h - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(out_w - 1)))).withColumn("c", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    inside = (F.col("x") >= F.col("pad_x")) & (F.col("x") < F.col("pad_x") + F.col("new_w")) & (F.col("y") >= F.col("pad_y")) & (F.col("y") < F.col("pad_y") + F.col("new_h"))
 
     def source(axis: str, n: str, new: str) -> Column:
         at = (F.col(axis) - F.col(f"pad_{axis}") + 0.5) * F.col(n) / F.col(new) - 0.5
         return F.greatest(F.lit(0.0), F.least(at, (F.col(n) - 1).cast("double")))
 
-    place = place.withColumn("inside", inside).withColumn("sx", source("x", "w", "new_w")).withColumn("sy", source("y", "h", "new_h"))
-    place = place.withColumns({"x0": F.floor("sx").cast("int"), "y0": F.floor("sy").cast("int")})
-    place = place.withColumns({"x9": F.least(F.col("x0") + 1, F.col("w") - 1), "y9": F.least(F.col("y0") + 1, F.col("h") - 1), "fx": F.col("sx") - F.col("x0"), "fy": F.col("sy") - F.col("y0")})
-    for name, yy, xx in (("v00", "y0", "x0"), ("v01", "y0", "x9"), ("v10", "y9", "x0"), ("v11", "y9", "x9")):
-        tap = pixels.select("image_id", F.col("y").alias(yy), F.col("x").alias(xx), "c", F.col("value").alias(name))
-        place = place.join(tap, ["image_id", yy, xx, "c"], "left")
-    top = F.col("v00") * (1 - F.col("fx")) + F.col("v01") * F.col("fx")
-    low = F.col("v10") * (1 - F.col("fx")) + F.col("v11") * F.col("fx")
-    value = F.when(F.col("inside"), F.floor(F.round(top * (1 - F.col("fy")) + low * F.col("fy"), 6))).otherwise(fill)
-    return place.select("image_id", "y", "x", "c", value.cast("int").alias("value"))
+    def within_pad(axis: str, new: str) -> Column:
+        return (F.col(axis) >= F.col(f"pad_{axis}")) & (F.col(axis) < F.col(f"pad_{axis}") + F.col(new))
+
+    def taps(df: DataFrame, axis: str, n: str, new: str) -> DataFrame:
+        """Adds the two nearest source places along an axis, and how far on from the first."""
+        own = df.withColumn("_s", source(axis, n, new)).withColumn(f"{axis}0", F.floor("_s").cast("int"))
+        return own.withColumns({f"{axis}9": F.least(F.col(f"{axis}0") + 1, F.col(n) - 1), f"f{axis}": F.col("_s") - F.col(f"{axis}0")}).drop("_s")
+
+    rows = pixel_rows(pixels)
+    line = geometry.select("image_id", "w", "h", "new_w", "new_h", "pad_x", "pad_y", F.explode(F.sequence(F.lit(0), F.lit(out_h - 1))).alias("y"))
+    line = taps(line, "y", "h", "new_h")
+    for name, y in (("_top", "y0"), ("_low", "y9")):
+        line = line.join(rows.select("image_id", F.col("y").alias(y), F.col("row").alias(name)), ["image_id", y], "left")
+    place = taps(line.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(out_w - 1)))), "x", "w", "new_w").withColumn("c", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+
+    def along(row: str) -> Column:
+        tap = lambda x: F.when(F.size(row) == F.col("w") * 3, F.get(row, F.col(x) * 3 + F.col("c")))
+        return tap("x0") * (1 - F.col("fx")) + tap("x9") * F.col("fx")
+
+    value = F.floor(F.round(along("_top") * (1 - F.col("fy")) + along("_low") * F.col("fy"), 6))
+    inside = within_pad("x", "new_w") & within_pad("y", "new_h")
+    return place.select("image_id", "y", "x", "c", F.when(inside, value).otherwise(fill).cast("int").alias("value"))
 
 
 def channels_first(pixels: DataFrame, w: int, h: int, low: float = 0.0, high: float = 1.0, swap_rb: bool = True) -> DataFrame:

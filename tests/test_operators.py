@@ -246,3 +246,14 @@ def test_exact_medians(spark):
     want = {g: statistics.median(v for k, v in rows if k == g and v is not None) for g in {k for k, v in rows if v is not None}}
     assert got == want
     assert {r.g: r["median"] for r in profiling.exact_medians(df, ["g"], "v", cuts=2).collect()} == want
+
+
+def test_resampling_of_broken_rows(spark):
+    rows = [(1, y, x, c, 10 * y + x) for y in range(2) for x in range(2) for c in range(3)] + [(2, 1, x, c, 7) for x in range(2) for c in range(3)] + [(3, 0, 0, 0, 5), (3, 1, 0, 0, 5)]
+    pixels = spark.createDataFrame(rows, "image_id int, y int, x int, c int, value int")
+    sizes = spark.createDataFrame([(i, 2, 2) for i in (1, 2, 3)], "image_id int, w int, h int")
+    got = {(r.image_id, r.y, r.x, r.c): r.value for r in image.resampled(pixels, image.linear_geometry(sizes, 2, 2), 2, 2).collect()}
+    assert len(got) == 36
+    assert {k: v for k, v in got.items() if k[0] == 1} == {(1, y, x, c): 10 * y + x for y in range(2) for x in range(2) for c in range(3)}
+    assert {v for k, v in got.items() if k[0] == 3} == {None}
+    assert {v for k, v in got.items() if k[:2] == (2, 0)} == {None}
