@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.package import shipped
-from . import bpe, fingerprints, language, ngram_join, packing, quality_model, quality_rules, suffix_dedup, toxicity, window_dedup
+from . import bpe, fingerprints, language, ngram_join, packing, quality_model, quality_rules, suffix_dedup, token_counts, toxicity, window_dedup
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +73,7 @@ QUERIES = {
         op8_bpe_forced_boundaries,
         op9_best_fit_packing,
         op10_suffix_array_dedup,
+        op13_token_counts,
     )
 }
 SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op4_super_k_mers": window_dedup.SQL}
