@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.package import shipped
-from . import bpe, fingerprints, language, ngram_join, packing, quality_model, quality_rules, suffix_dedup, token_counts, toxicity, window_dedup
+from . import bpe, fingerprints, language, negatives, ngram_join, packing, quality_model, quality_rules, suffix_dedup, token_counts, toxicity, whitening, window_dedup
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,6 +57,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def relabelled(embeddings: DataFrame) -> DataFrame:
+    """The labels that operator 11's query starts from: those of ids divisible by 7 move on by one."""
+    label = F.col("label")
+    return embeddings.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -73,7 +88,9 @@ QUERIES = {
         op8_bpe_forced_boundaries,
         op9_best_fit_packing,
         op10_suffix_array_dedup,
+        op11_hard_negatives,
+        op12_embedding_whitening,
         op13_token_counts,
     )
 }
-SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op4_super_k_mers": window_dedup.SQL}
+SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op4_super_k_mers": window_dedup.SQL, "op11_hard_negatives": negatives.SQL}
