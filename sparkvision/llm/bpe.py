@@ -2,7 +2,8 @@
 
 Two bytes that stand side by side in no token of the vocabulary can never be merged into one token, so each such place
 in a word is a certain cut. The fragments between cuts are encoded independently, each different one once a task, and
-the ids are concatenated. Words, fragments and merges are handled as numpy arrays over a few megabytes of text.
+the ids are concatenated. Words, fragments and merges are handled as numpy arrays over a few megabytes of text; words are
+told apart by a 64-bit hash of their code points.
 
 Supported: word-level vocabularies in the `tokenizers` JSON format whose normaliser is NFC, white space and lower case,
 whose pre-tokeniser keeps contractions, letters, single digits and other signs, and whose words end in `</w>`.
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .text import U, chunks, mix, powers, spread
+from .text import U, chunks, content_hash, spread
 
 #: Fixed values of the format: the contractions that are words of their own, and the mark at a word's end.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -222,12 +223,7 @@ class Vocabulary:
         stop = np.append(start[1:], len(point))
         keep = kind[start] != BLANK
         start, stop = start[keep], stop[keep]
-        value = mix((point.astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
-        up, down = powers(len(point) + 1)
-        h = np.zeros(len(point) + 1, U)
-        np.cumsum(value * up[: len(point)], out=h[1:])
-        word = mix((h[stop] - h[start]) * down[start] + (stop - start).astype(U))
-        del h, value
+        word = content_hash(point, 4 * start, 4 * stop)
         different, inverse = np.unique(word, return_inverse=True)
         first = np.zeros(len(different), np.int64)
         first[inverse] = np.arange(len(word))

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .quality_rules import SYMBOL, WINDOW, by_doc, covered, twice
 from .samples import first_rows, held_out, in_order, label_sample
 from .superwindows import word_powers
-from .text import Chunk, U, chunks, mix, powers
+from .text import Chunk, U, chunks, content_hash, mix
 
 SAMPLE = 20_000
 BINS, COARSE = 32, 8
@@ -53,8 +53,7 @@ def features(texts: list[bytes]) -> np.ndarray:
         out[name] = (total[c.end] - total[c.begin]) / size
     feed = np.flatnonzero(c.buf == 0x0A)
     start, stop = np.sort(np.concatenate([c.begin, feed + 1])), np.sort(np.concatenate([c.end, feed]))
-    h, (_, down) = c.prefix(), powers(len(c.buf) + 1)
-    line = mix((h[stop] - h[start]) * down[np.minimum(start, len(c.buf))] + (stop - start).astype(U))
+    line = content_hash(c.buf, start, stop)
     line_doc = np.searchsorted(c.begin, start, side="right") - 1
     full = stop > start
     line, line_doc = line[full], line_doc[full]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .superwindows import word_powers
-from .text import U, Chunk, chunks, mix, powers
+from .text import U, Chunk, chunks, content_hash, mix
 
 MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 8, 0.1, 32
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -29,8 +29,9 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def suffix_order(word: np.ndarray, doc: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The suffixes sorted by document, then by their words (in the order of their hashes)."""
+def suffix_order(word: np.ndarray, doc: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(the suffixes sorted by document, then by their words, in the order of their hashes; of each refinement the ranks,
+    which are equal for two places of a document if and only if the next 1, 2, 4, ... words are)."""
     n = len(word)
     sa = np.argsort(word, kind="stable")
     sa = sa[np.argsort(doc[sa], kind="stable")]
@@ -39,7 +40,7 @@ def suffix_order(word: np.ndarray, doc: np.ndarray, end: np.ndarray) -> np.ndarr
     rank[n] = 0
     rank[sa] = np.maximum.accumulate(np.where(edge, np.arange(n), 0)) + 1
     slots = np.flatnonzero(~edge | ~np.append(edge[1:], True))
-    h = 1
+    h, levels = 1, [rank.astype(np.int32)]
     while len(slots):
         at = sa[slots]
         next_ = np.where(at + h < end[at], rank[np.minimum(at + h, n)], 0)
@@ -51,7 +52,8 @@ def suffix_order(word: np.ndarray, doc: np.ndarray, end: np.ndarray) -> np.ndarr
         rank[at] = np.maximum.accumulate(np.where(edge, slots, 0)) + 1
         slots = slots[~edge | ~np.append(edge[1:], True)]
         h *= 2
-    return sa
+        levels.append(rank.astype(np.int32))
+    return sa, levels
 
 
 def longest_repeats(c: Chunk) -> np.ndarray:
@@ -60,26 +62,20 @@ def longest_repeats(c: Chunk) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     end = np.repeat(c.first[1:], c.counts)
-    sa = suffix_order(c.hash, c.doc, end)
+    sa, levels = suffix_order(c.hash, c.doc, end)
     before = np.full(n, -1)
     before[sa[1:]] = np.where(c.doc[sa[1:]] == c.doc[sa[:-1]], sa[:-1], -1)
     i = np.arange(1, n)
     b = np.maximum(before[:-1], 0)
     follows = np.zeros(n, bool)
     follows[1:] = (before[:-1] >= 0) & (before[1:] == b + 1) & (c.hash[i - 1] == c.hash[b]) & (c.doc[i] == c.doc[i - 1])
-    up, down = word_powers(n + 1)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(c.hash * up[:n], out=sums[1:])
     a = np.flatnonzero(~follows & (before >= 0))
     b, prefix = before[a], np.zeros(n, np.int64)
     most, length = end[a] - np.maximum(a, b), np.zeros(len(a), np.int64)
-    step = 1 << int(most.max(initial=1)).bit_length()
-    while step:
-        fits = np.flatnonzero(length + step <= most)
-        x, y = a[fits] + length[fits], b[fits] + length[fits]
-        same = (sums[x + step] - sums[x]) * down[x] == (sums[y + step] - sums[y]) * down[y]
-        length[fits[same]] += step
-        step //= 2
+    for k in reversed(range(len(levels))):
+        fits = np.flatnonzero(length + (1 << k) <= most)
+        same = levels[k][a[fits] + length[fits]] == levels[k][b[fits] + length[fits]]
+        length[fits[same]] += 1 << k
     prefix[a] = length
     anchor = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
     prefix = np.where(follows, prefix[anchor] - (np.arange(n) - anchor), prefix)
@@ -117,13 +113,11 @@ def measures(texts: list[bytes]) -> dict[str, np.ndarray]:
     c = Chunk(texts).words()
     n = c.n
     points = np.append(0, np.cumsum(c.buf & 0xC0 != 0x80))
-    size = len(c.buf)
     # lines: from each text's start or the byte after a line feed to the next line feed or the text's end
     feed = np.flatnonzero(c.buf == 0x0A)
     start = np.sort(np.concatenate([c.begin, feed + 1]))
     stop = np.sort(np.concatenate([c.end, feed]))
-    h, (_, down) = c.prefix(), powers(size + 1)
-    line = mix((h[stop] - h[start]) * down[np.minimum(start, size)] + (stop - start).astype(U))
+    line = content_hash(c.buf, start, stop)
     line_doc = np.searchsorted(c.begin, start, side="right") - 1
     with_word = np.searchsorted(c.start, stop) > np.searchsorted(c.start, start)
     line, line_doc = line[with_word], line_doc[with_word]

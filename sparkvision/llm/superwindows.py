@@ -6,7 +6,7 @@ minimiser are one stretch of text, sent once, compressed, to the partition of th
 
 Runs of k units that make up more than 1/65536 of all such runs (frequent lines, passages of a large group of copies)
 count as greater than all others, so a window takes one of them only if it holds nothing else; all such stretches of a
-chunk are then equal, and equal stretches of a chunk are sent once. The table of those runs has at most 65536 entries.
+chunk are then equal, and equal stretches of a chunk (by their contents, not a hash) are sent once. The table of those runs has at most 65536 entries.
 Stretches under such a minimiser (hot) take two steps: first they are dealt out by minimiser and chunk to about the root
 of all partitions, where equal ones become one; what is left of each partition then goes to the minimiser's own. A task
 that takes in more than CONDENSE compressed bytes makes equal stretches one as it reads, so it holds different ones only.
@@ -72,9 +72,13 @@ class Shape:
         return mix((c.sums[self.k :] - c.sums[:n]) * down[:n])
 
     def ranges(self, c: Chunk, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The hash of the units at:at+length."""
+        """A hash of the units at:at+length, to find those whose contents are worth comparing."""
         return mix((c.sums[at + length] - c.sums[at]) * c.down[at] + length.astype(U) * U(0x9E3779B97F4A7C15))
 
+    def content(self, c: Chunk, at: int, length: int) -> bytes:
+        """What the units at:at+length hold: their bytes, or their words with a space between them."""
+        return b" ".join(c.raw[c.start[at] : c.stop[at + length - 1]].split()) if self.words else c.raw[at : at + length]
+
     def inside(self, c: Chunk, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(place, text) of each run of `length` units inside a text."""
         n = np.maximum(c.units - length + 1, 0)
@@ -130,6 +134,17 @@ def batch_of(p, hot, blobs, spans=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), body, *own, pa.array(hot, pa.bool_())], names=["p", "blob", "doc", "mark", "lo", "hi", "hot"])
 
 
+def numbered(c: Chunk, shape: Shape, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A number for each stretch, the same for those with equal contents: where hashes agree, contents are compared."""
+    h = shape.ranges(c, at, length)
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    out, number = len(h) + np.arange(len(h)), {}
+    for i in order[np.append(False, same) | np.append(same, False)].tolist():
+        out[i] = number.setdefault(shape.content(c, at[i], length[i]), len(number))
+    return out
+
+
 def equal_ones(content: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the members of groups of equal content, sorted by group, document and place; the first of the group of each)."""
     order = np.argsort(content)
@@ -161,7 +176,7 @@ def send(batches, shape: Shape, hot: np.ndarray, partitions: int, local: Callabl
         doc, mark, start = doc[text], mark[text], unit - c.from_[text]
         units = windows + shape.window - 1
         travels = np.ones(len(least), bool)
-        some, first = equal_ones(shape.ranges(c, unit, units), doc, start)
+        some, first = equal_ones(numbered(c, shape, unit, units), doc, start)
         if len(some):
             travels[some[some != first]] = False
             span = local(doc, mark, start, units, some, first)

@@ -1,8 +1,8 @@
 """Operator 4: substring dedup by super-k-mers of words.
 
 A window is 20 consecutive words. Windows sharing a minimiser go as one packed string to its bucket, where sorting
-brings equal windows together: a window is sorted by two 64-bit hashes of its words that have nothing in common, so it is
-known by 128 bits. A bucket beyond SLICE bytes is sorted in parts of the hash range, for each of which its stretches are
+brings equal windows together: a window is sorted by two 64-bit hashes, each made of other hashes of its words' bytes, so it
+is known by 128 bits. A bucket beyond SLICE bytes is sorted in parts of the hash range, for each of which its stretches are
 read again, so memory does not grow with the bucket. Each word of a window whose words also start earlier (smaller id, or
 the same document and an earlier place) is removed.
 
@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .superwindows import Received, Shape, found_spans, keyed, union, unpacked, with_spans, word_powers
-from .text import SPACE, U, Chunk, mix, spread
+from .text import SPACE, U, Chunk, content_hash, mix, spread
 
 SLICE = 4 << 20
-OTHER = U(0x8BB84B93962EACC9)
+OTHER = 0x8BB84B93962EACC9
 
 
 def later(doc, mark, start, units, some, first):
@@ -39,7 +39,7 @@ def hashes(r: Received, i: int, j: int, window: int) -> tuple[np.ndarray, ...]:
     at = spread(c.first[:-1], r.windows[i:j])
     up, down = word_powers(len(c.hash) + 1)
     out = []
-    for word in (c.hash, mix(c.hash ^ OTHER)):
+    for word in (c.hash, content_hash(c.buf, c.start, c.stop, OTHER)):
         sums = np.zeros(len(word) + 1, U)
         np.cumsum(word * up[: len(word)], out=sums[1:])
         out.append(mix((sums[at + window] - sums[at]) * down[at]))
