@@ -10,8 +10,8 @@ into ranges, the first document of each range also goes to the range before (of
 is ordered by itself.
 
 Words are `[^\x20\x09-\x0D]+`; a text of one to four words has one shingle, all its words; null counts as empty, and an
-empty or blank text has an empty sketch. An empty sketch is alike (1.0) to another empty one, and to no other (0.0). A
-null id sorts first; rows with one id sort by text. Further columns are not read.
+empty or blank text has an empty sketch. Two texts with empty sketches are alike (1.0) if they hold
+the same words or none, else not (0.0): chance may have left a sketch empty. An empty sketch is alike to no other one. A null id sorts first; rows with one id sort by text. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from .scratch import parts
 
 SHINGLE = 5
 FRACTION = 1 / 2
+BLANK = " \t\n\x0b\x0c\r"
 LEAST = -(1 << 63)
 
 
@@ -35,8 +36,7 @@ def threshold(fraction: float) -> int:
 
 def sketch(text: Column, fraction: float = FRACTION, k: int = SHINGLE) -> Column:
     """Sorted distinct hashes below the threshold."""
-    blank = " \t\n\x0b\x0c\r"
-    words = F.split(F.btrim(text, F.lit(blank)), r"[\x20\x09-\x0D]+")
+    words = F.split(F.btrim(text, F.lit(BLANK)), r"[\x20\x09-\x0D]+")
     limit = threshold(fraction)
 
     def hashes(w: Column) -> Column:
@@ -57,19 +57,25 @@ def written_out(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def shared(a: Column, b: Column) -> Column:
-    """(both, one, two): how many hashes two sketches share, and have each."""
-    return F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(a).alias("one"), F.size(b).alias("two"))
+def shared(a: Column, b: Column, equal: Column) -> Column:
+    """(both, one, two, equal): how many hashes two sketches share, and have each; for two empty ones, whether their texts
+    hold the same words."""
+    return F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(a).alias("one"), F.size(b).alias("two"), equal.alias("equal"))
+
+
+def words_if_empty(s: Column, text: Column) -> Column:
+    """Of a text with an empty sketch, which is short, its words; else null."""
+    return F.when(F.size(s) == 0, F.regexp_replace(F.btrim(text, F.lit(BLANK)), r"[\x20\x09-\x0D]+", " "))
 
 
 def containment(c: Column) -> Column:
     """Of shared(): the share of the smaller document's shingles that the other has."""
-    return F.when((c.one == 0) & (c.two == 0), 1.0).when((c.one == 0) | (c.two == 0), 0.0).otherwise(c.both / F.least(c.one, c.two))
+    return F.when((c.one == 0) | (c.two == 0), F.when(c.equal, 1.0).otherwise(0.0)).otherwise(c.both / F.least(c.one, c.two))
 
 
 def resemblance(c: Column) -> Column:
     """Of shared(): the Jaccard similarity."""
-    return F.when((c.one == 0) & (c.two == 0), 1.0).otherwise(c.both / (c.one + c.two - c.both))
+    return F.when((c.one == 0) | (c.two == 0), F.when(c.equal, 1.0).otherwise(0.0)).otherwise(c.both / (c.one + c.two - c.both))
 
 
 def merged(sketches: Column, fraction: float = FRACTION) -> Column:
@@ -113,8 +119,9 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, id_col: str = "doc
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
-    own = own.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
+    own = own.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own", words_if_empty(F.col("own"), F.col("text")).alias("words"), words_if_empty(F.col("next_own"), F.col("next_text")).alias("next_words"))
     own = own.withColumn("changed", sketch(F.col("edited"), fraction))
-    own = own.withColumn("e", shared(F.col("own"), F.col("changed"))).withColumn("x", shared(F.col("own"), F.col("next_own")))
+    equal = lambda b: F.coalesce(F.col("words") == b, F.lit(False))
+    own = own.withColumn("e", shared(F.col("own"), F.col("changed"), equal(words_if_empty(F.col("changed"), F.col("edited"))))).withColumn("x", shared(F.col("own"), F.col("next_own"), equal(F.col("next_words"))))
     e, x = F.col("e"), F.col("x")
     return own.select(F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written_out(F.col("own")).alias("fingerprint"), written_out(F.col("changed")).alias("edited_fingerprint"), containment(e).alias("near_edited"), containment(x).alias("near_next"), resemblance(e).alias("jaccard_edited"), resemblance(x).alias("jaccard_next"))
