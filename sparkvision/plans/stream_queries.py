@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.package import shared_dir
-from ..streaming import frames
+from ..streaming import frames, retrieval
 from . import views
 from .registry import query
 
@@ -58,3 +58,35 @@ def last_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
     own = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("model_id"), t.alias("t0"), (t + F.col("value")).alias("t1"))
     return frames.last_timing(own).withColumn("seconds", F.round("seconds", 4))
+
+
+#: Frames by user; errors never arrive. What is missing is given up a day after a later frame, and frames may be an hour late.
+WAIT_MS, LATE = 86_400_000, "1 hour"
+FRAMES = f"""frames AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_id, event_type <> 'error' AS here, epoch_us(ts) // 1000 AS ms, value FROM events),
+mark AS (SELECT max(ms) - 3600000 AS mark FROM frames WHERE here),
+due AS (SELECT *, min(CASE WHEN here THEN ms END) OVER (PARTITION BY stream_id ORDER BY frame_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {WAIT_MS} AS deadline FROM frames),
+stops AS (SELECT stream_id, min(CASE WHEN NOT here AND (deadline IS NULL OR deadline > mark) THEN frame_id END) AS stop FROM due, mark GROUP BY 1)"""
+
+
+@query(f"WITH {FRAMES} SELECT stream_id, frame_id, here AS arrived, CASE WHEN here THEN value END AS value FROM due JOIN stops USING (stream_id) WHERE stop IS NULL OR frame_id < stop")
+def stream_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's frames in their order, with nulls for those that did not come in time."""
+    at = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    own = views.table(spark, sf_dir, "events").withColumns({"frame_id": number, "ts": F.col("ts").cast("timestamp")})
+    own.where("event_type <> 'error'").select(F.col("user_id").alias("stream_id"), "frame_id", "ts", "value").repartition(F.xxhash64("frame_id")).write.parquet(at)
+    stream = retrieval.in_order(spark.readStream.schema(spark.read.parquet(at).schema).parquet(at), WAIT_MS, LATE)
+    return ran(spark, stream.select("stream_id", "frame_id", "arrived", "value"), "in-order")
+
+
+@query("""SELECT a.event_id AS frame_id, a.value AS result_half, b.value * 2 AS result_whole, c.value + 1 AS result_int8 FROM events a JOIN events b ON b.event_id = a.event_id JOIN events c ON c.event_id = a.event_id
+WHERE b.event_type <> 'error' AND c.event_type <> 'click' AND epoch_us(a.ts) + a.user_id % 90 * 1000000 <= epoch_us(a.ts) + 60000000""")
+def stream_lockstep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three engines, of which two leave frames out and one is slow: a frame leaves when all have answered within a minute."""
+    own = source(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    slow = F.timestamp_micros(F.unix_micros("ts") + F.col("user_id") % 90 * 1_000_000)
+    answers = [own.select(F.col("event_id").alias("frame_id"), "ts", F.col("value").alias("result")),
+        own.where("event_type <> 'error'").select(F.col("event_id").alias("frame_id"), "ts", (F.col("value") * 2).alias("result")),
+        own.where("event_type <> 'click'").select(F.col("event_id").alias("frame_id"), slow.alias("ts"), (F.col("value") + 1).alias("result"))]
+    out = retrieval.in_lockstep(answers, ["half", "whole", "int8"], ["frame_id"], "1 minute", "1 hour")
+    return ran(spark, out.drop("ts"), "lockstep")

@@ -1,6 +1,10 @@
+import random
+from datetime import datetime, timedelta
+
+import pytest
 from pyspark.sql import functions as F
 
-from sparkvision.streaming import frames
+from sparkvision.streaming import frames, retrieval
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -24,3 +28,75 @@ def test_fan_in_and_models(spark):
 def test_last_timing(spark):
     rows = spark.createDataFrame([("m", 0.0, 1.0), ("m", 2.0, 2.5), ("n", 1.0, 1.0)], "model_id string, t0 double, t1 double")
     assert sorted((r.model_id, r.seconds) for r in frames.last_timing(rows).collect()) == [("m", 0.5), ("n", 0.0)]
+
+
+START = datetime(2024, 1, 1)
+FRAME = "stream_id string, frame_id long, ts timestamp, label string, n int"
+
+
+def put(spark, folder, rows, k):
+    """One file, which is one micro-batch."""
+    spark.createDataFrame(rows, FRAME).coalesce(1).write.parquet(f"{folder}/{k:02d}")
+
+
+def retrieved(spark, folder, check, batches, wait_s=60, late="0 seconds"):
+    """Runs what has arrived; appends (batch, stream, frame, arrived, label, n) in the order in which rows leave."""
+    stream = spark.readStream.schema(FRAME).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
+    own = retrieval.in_order(stream, wait_s * 1000, late)
+    query = own.writeStream.foreachBatch(lambda df, k: batches.extend((k, *r) for r in df.select("stream_id", "frame_id", "arrived", "label", "n").collect())).option("checkpointLocation", check).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def test_frames_come_in_order(spark, tmp_path):
+    folder, check, got = str(tmp_path / "in"), str(tmp_path / "check"), []
+    at = lambda s, i, sec: (s, i, START + timedelta(seconds=sec), f"{s}{i}", None if i % 2 else i)
+    put(spark, folder, [at("a", 1, 1), at("a", 2, 2), at("b", 0, 1), (None, 5, START, "x", 1), ("a", None, START, "x", 1)], 0)
+    retrieved(spark, folder, check, got)
+    assert [r[1:3] for r in got] == [("b", 0)]  # a0 is missing yet
+    put(spark, folder, [at("a", 0, 3), at("a", 5, 4), at("a", 1, 1), at("b", 2, 30)], 1)
+    retrieved(spark, folder, check, got)  # a restart
+    assert [r[1:3] for r in got if r[1] == "a"] == [("a", 0), ("a", 1), ("a", 2)]
+    put(spark, folder, [at("b", 3, 75)], 2)
+    retrieved(spark, folder, check, got)
+    # the watermark is at 75: a3 and a4 had until 64, b1 has until 90
+    assert [r[1:] for r in got if r[1] == "a"] == [("a", 0, True, "a0", 0), ("a", 1, True, "a1", None), ("a", 2, True, "a2", 2), ("a", 3, False, None, None), ("a", 4, False, None, None), ("a", 5, True, "a5", None)]
+    assert [r[1:3] for r in got if r[1] == "b"] == [("b", 0)]
+    put(spark, folder, [at("a", 4, 76), at("b", 1, 76), at("a", 6, 77)], 3)
+    retrieved(spark, folder, check, got)
+    assert [r[1:4] for r in got if r[1] == "b"] == [("b", i, True) for i in range(4)]
+    assert [r[1:4] for r in got if r[1] == "a"][-1] == ("a", 6, True) and len(got) == 11
+
+
+def test_shuffled_frames(spark, tmp_path):
+    """Whatever the micro-batches, each stream leaves in order, once and whole."""
+    rng, folder, got = random.Random(3), str(tmp_path / "in"), []
+    rows = [(s, i, START + timedelta(seconds=i), f"{s}{i}", i) for s in "abc" for i in range(40)]
+    rng.shuffle(rows)
+    for k in range(4):
+        put(spark, folder, rows[k::4], k)
+        if k % 2:
+            retrieved(spark, folder, str(tmp_path / "check"), got, wait_s=1000, late="1 minute")
+    for s in "abc":
+        assert [r[2:4] for r in got if r[1] == s] == [(i, True) for i in range(40)]
+    assert [r[0] for r in got] == sorted(r[0] for r in got)
+
+
+def test_lockstep(spark, tmp_path):
+    with pytest.raises(ValueError):
+        retrieval.in_lockstep([], ["a"], ["frame_id"], "1 minute")
+    folder, check = str(tmp_path / "in"), str(tmp_path / "check")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("engine string, " + FRAME).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
+    one = lambda e: stream.where(F.col("engine") == e).select("stream_id", "frame_id", "ts", F.col("n").alias("result"))
+    own = retrieval.in_lockstep([one("x"), one("y"), one("z")], ["x", "y", "z"], ["stream_id", "frame_id"], "1 minute")
+    answers = lambda engines, i, sec: [(e, "s", i, START + timedelta(seconds=sec), "", i * 10 + k) for k, e in enumerate(engines)]
+    batches = [answers("xyz", 0, 0) + answers("x", 1, 1), answers("y", 1, 20), answers("z", 1, 40) + answers("xy", 2, 41), answers("x", 9, 400) + answers("y", 9, 401), answers("x", 10, 800) + answers("yz", 10, 801), answers("x", 11, 1200) + answers("yz", 11, 1201)]
+    held = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "engine string, " + FRAME).coalesce(1).write.parquet(f"{folder}/{k}")
+        query = own.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", check).trigger(availableNow=True).start()
+        query.awaitTermination()
+        held.append(sum(s.numRowsTotal for s in query.lastProgress.stateOperators))
+    got = spark.read.schema(own.schema).parquet(str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in got.select("frame_id", "result_x", "result_y", "result_z").collect()) == [(0, 0, 1, 2), (1, 10, 10, 10), (10, 100, 100, 101), (11, 110, 110, 111)]
+    assert held[-1] <= held[2]  # frames 2 and 9, which z never answers, don't stay
