@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import cuts_of, running_sums
+
 #: Fixed value of the format: what a compiler adds to the names of layers that it splits.
 SUFFIX = r"_myl\d+_\d+$"
 PROLOGUE = "__prologue__"
@@ -69,19 +71,39 @@ def iteration_totals(samples: DataFrame) -> DataFrame:
     return own.groupBy("run_id", "pos").agg(F.sum("ms").alias("total"))
 
 
-def within(samples: DataFrame, slices: DataFrame, bucket_s: float = 600.0) -> DataFrame:
-    """Interval join, both ends included: samples (ts, ...) with slices (t0, t1, ...). Both sides are dealt out by buckets of
-    time, so no task compares all with all; a slice goes to each bucket that it touches."""
-    b = lambda t: F.floor(F.col(t) / bucket_s)
-    spread = slices.withColumn("_bucket", F.explode(F.sequence(b("t0"), b("t1"))))
-    own = samples.withColumn("_bucket", b("ts"))
-    hit = spread.join(own, "_bucket").where("ts >= t0 AND ts <= t1").drop("_bucket")
-    return hit
+#: Sums of samples are exact in this type, so that differences of running sums are.
+EXACT = "decimal(38,10)"
+
+
+def looked_up(samples: DataFrame, slices: DataFrame, x: str | None = None) -> DataFrame:
+    """Adds to slices (t0, t1, ...), both ends included: _first and _end, the places of the different sample times inside
+    (from _first + 1 to _end), _n, the number of samples (with `x`: of its values), and with `x` _sum. Running sums over the samples' different times
+    are looked up twice for a slice: before t0 and at t1; no sample meets a slice."""
+    value = F.sum(F.col(x).cast(EXACT)) if x else F.lit(0)
+    times = samples.where("ts IS NOT NULL").groupBy("ts").agg(F.count(x or "*").alias("n"), value.cast(EXACT).alias("s")).select(F.col("ts").alias("t"), F.lit(1).alias("kind"), F.lit(1).alias("k"), "n", "s")
+    # a look-up at t0 stands before the samples of that time, one at t1 behind them
+    asked = slices.select(F.explode(F.array(F.struct(F.col("t0").alias("t"), F.lit(0).alias("kind")), F.struct(F.col("t1").alias("t"), F.lit(2).alias("kind")))).alias("a")).select("a.*").where("t IS NOT NULL").distinct()
+    both = times.unionByName(asked.select("t", "kind", F.lit(0).alias("k"), F.lit(0).cast("long").alias("n"), F.lit(0).cast(EXACT).alias("s")))
+    sums = running_sums(both, ["t", "kind"], {"to_k": "k", "to_n": "n", "to_s": "s"}, cuts_of(both, "t")).where("kind <> 1")
+    at = lambda kind, t, name: sums.where(F.col("kind") == kind).select(F.col("t").alias(t), *[F.col(f"to_{c}").alias(f"_{name}_{c}") for c in "kns"])
+    own = slices.join(at(0, "t0", "a"), "t0").join(at(2, "t1", "b"), "t1").where("t0 <= t1")
+    return own.select(*slices.columns, F.col("_a_k").alias("_first"), F.col("_b_k").alias("_end"), (F.col("_b_n") - F.col("_a_n")).alias("_n"), (F.col("_b_s") - F.col("_a_s")).alias("_sum"))
+
+
+def within(samples: DataFrame, slices: DataFrame) -> DataFrame:
+    """Interval join, both ends included: samples (ts, ...) with slices (t0, t1, ...). Each slice knows the places of the
+    sample times that it holds, so rows meet by equal keys and only those that belong together do."""
+    times = samples.where("ts IS NOT NULL").select(F.col("ts").alias("t"), F.lit(1).alias("k")).distinct()
+    places = running_sums(times, ["t"], {"_place": "k"}, cuts_of(times, "t")).select("_place", F.col("t").alias("ts"))
+    own = looked_up(samples, slices).where("_end > _first").withColumn("_place", F.explode(F.sequence(F.col("_first") + 1, F.col("_end"))))
+    return own.drop("_first", "_end", "_n", "_sum").join(places, "_place").join(samples, "ts").drop("_place")
 
 
 def energy_per_slice(samples: DataFrame, slices: DataFrame) -> DataFrame:
     """Per slice with samples: mean power (mW), and energy = power x seconds."""
-    return within(samples, slices).groupBy("slice_id", "t0", "t1").agg(F.avg("mw").alias("power"), F.count("*").alias("n")).withColumn("energy", F.col("power") * (F.col("t1") - F.col("t0")))
+    own = looked_up(samples, slices, "mw").where("_n > 0")
+    power = F.col("_sum").cast("double") / F.col("_n")
+    return own.select("slice_id", "t0", "t1", power.alias("power"), F.col("_n").alias("n")).withColumn("energy", F.col("power") * (F.col("t1") - F.col("t0")))
 
 
 def layer_timeline(samples: DataFrame, start: str = "start") -> DataFrame:
@@ -94,7 +116,8 @@ def layer_timeline(samples: DataFrame, start: str = "start") -> DataFrame:
 def layer_power(samples: DataFrame, slices: DataFrame) -> DataFrame:
     """Per layer: mean power of the samples in its slices (0 without any) and energy = power x mean ms / 1000."""
     layers = slices.groupBy("layer").agg(F.avg("ms").alias("mean_ms"))
-    power = within(samples, slices).groupBy("layer").agg(F.avg("mw").alias("power"))
+    sums = looked_up(samples, slices, "mw").groupBy("layer").agg(F.sum("_sum").alias("s"), F.sum("_n").alias("n"))
+    power = sums.where("n > 0").select("layer", (F.col("s").cast("double") / F.col("n")).alias("power"))
     own = layers.join(power, "layer", "left").withColumn("power", F.coalesce("power", F.lit(0.0)))
     return own.withColumn("energy", F.col("power") * F.col("mean_ms") / 1000)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvision.functions import scalars
-from sparkvision.operators import benchmarks, classification, detection, image, profiling, scheduling
+from sparkvision.operators import benchmarks, classification, detection, image, profiling, scheduling, segments
 
 DET = "image_id int, det_id int, class_id int, score double, x1 double, y1 double, x2 double, y2 double"
 
@@ -182,6 +182,29 @@ def test_solvers_against_all_schedules(spark, seed):
     assert r.time_ms == pytest.approx(brute_schedule(layers, 1, 0.8)[0], abs=1e-6)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_solver_in_rounds(spark, seed):
+    """Against the walk over whole networks, and for small ones against all schedules."""
+    rng = random.Random(seed)
+    nets = {f"n{n}": [(rng.uniform(1, 2), rng.uniform(5, 9), rng.uniform(1, 4), rng.choice([1.0, rng.uniform(1, 6)]), rng.randint(0, 1 << 21), rng.random() < 0.9) for _ in range(n)] for n in (1, 2, 7, 9, 40)}
+    nets["whole"] = [(1.0, 1.0, 1.0, 5.0, 0, True)] * 9  # nothing fits the budget
+    nets["none"] = [(1.0, 1.0, 1.0, 0.1, 0, False)] * 9
+    rows = [(net, i, *x) for net, own in nets.items() for i, x in enumerate(own)]
+    df = spark.createDataFrame(rows, "net string, idx int, gpu_ms double, gpu_mj double, dla_ms double, dla_mj double, size long, compat boolean")
+    for limit in (0, 1, 3, 4):
+        got = {r.net: r for r in segments.solved_in_rounds(df, 0.8, limit, block=2, fan=2).collect()}
+        want = {r.net: r for r in scheduling.solved(df, 0.8, limit).collect()}
+        assert {n: (r.time_ms, r.energy_mj) for n, r in got.items()} == {n: pytest.approx((r.time_ms, r.energy_mj), abs=1e-6) for n, r in want.items()}
+        for net in ("n7", "n9"):
+            assert (got[net].time_ms, got[net].energy_mj) == pytest.approx(brute_schedule(nets[net], limit, 0.8), abs=1e-6)
+        for net, r in got.items():
+            edges = [0, *r.cuts, len(nets[net])]
+            procs = "".join("GD"[(j + (r.first_proc == "D")) % 2] * (b - a) for j, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+            assert r.transitions == len(r.cuts) <= limit
+            (own,) = scheduling.schedule_cost(df.where(F.col("net") == net).withColumns({"schedule_id": F.lit(1), "proc": F.substring(F.lit(procs), F.col("idx") + 1, F.lit(1))})).collect() if seed == 0 else (r,)
+            assert (own.time_ms, own.energy_mj) == pytest.approx((r.time_ms, r.energy_mj), abs=1e-6)
+
+
 def test_compared_schedules(spark):
     layers = spark.createDataFrame([("n", 0, 4.0, 8.0, 5.0, 4.0, 1 << 20, True), ("n", 1, 4.0, 8.0, 5.0, 4.0, 1 << 20, True)], "net string, idx int, gpu_ms double, gpu_mj double, dla_ms double, dla_mj double, size long, compat boolean")
     chosen = spark.createDataFrame([("n", 10.0, 8.0)], "net string, time_ms double, energy_mj double")
