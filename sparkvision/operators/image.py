@@ -1,7 +1,8 @@
 """Image preparation: geometry, resampling, channel order, normalisation, tiling and batching.
 
-Pixels are long: (image_id, y, x, c, value), channel 0 to 2, value 0 to 255. Resampling works on rows of pixels: a row of the
-result meets the two rows of the source above and below it, so an image of any size is spread over tasks.
+Pixels are long: (image_id, y, x, c, value), channel 0 to 2, value 0 to 255. Resampling and tiling
+work on rows of pixels as arrays (image_id, y, row): a row of the result meets the two rows of the source above and below
+it, so an image of any size is spread over tasks and no pixel is shuffled by itself.
 """
 
 from __future__ import annotations
@@ -35,37 +36,50 @@ def pixel_rows(pixels: DataFrame) -> DataFrame:
     return own.select("image_id", "y", F.transform("row", lambda s: s["value"]).alias("row"))
 
 
-def resampled(pixels: DataFrame, geometry: DataFrame, out_w: int, out_h: int, fill: int = FILL) -> DataFrame:
-    """(image_id, y, x, c, value): bilinear at pixel centres inside the padded region, cut to whole numbers; else fill. What lies
-    on a row that is missing from the source, or has not w x 3 values, is null.
-    geometry: image_id, w, h, new_w, new_h, pad_x, pad_y."""
+def resampled_rows(rows: DataFrame, geometry: DataFrame, fill: int = FILL) -> DataFrame:
+    """(image_id, y, row): each image resampled to its own size, bilinear at pixel centres inside the padded region, cut to
+    whole numbers; else fill. A row of the result is one array, made from the two of the source that it lies between. What
+    lies on a row that is missing from the source, or has not w x 3 values, is null.
+    rows: as of pixel_rows; geometry: image_id, w, h, new_w, new_h, pad_x, pad_y, out_w, out_h."""
 
-    def source(axis: str, n: str, new: str) -> Column:
-        at = (F.col(axis) - F.col(f"pad_{axis}") + 0.5) * F.col(n) / F.col(new) - 0.5
-        return F.greatest(F.lit(0.0), F.least(at, (F.col(n) - 1).cast("double")))
+    def source(at: Column, axis: str, n: str, new: str) -> Column:
+        place = (at - F.col(f"pad_{axis}") + 0.5) * F.col(n) / F.col(new) - 0.5
+        return F.greatest(F.lit(0.0), F.least(place, (F.col(n) - 1).cast("double")))
 
-    def within_pad(axis: str, new: str) -> Column:
-        return (F.col(axis) >= F.col(f"pad_{axis}")) & (F.col(axis) < F.col(f"pad_{axis}") + F.col(new))
+    def within_pad(at: Column, axis: str, new: str) -> Column:
+        return (at >= F.col(f"pad_{axis}")) & (at < F.col(f"pad_{axis}") + F.col(new))
 
-    def taps(df: DataFrame, axis: str, n: str, new: str) -> DataFrame:
-        """Adds the two nearest source places along an axis, and how far on from the first."""
-        own = df.withColumn("_s", source(axis, n, new)).withColumn(f"{axis}0", F.floor("_s").cast("int"))
-        return own.withColumns({f"{axis}9": F.least(F.col(f"{axis}0") + 1, F.col(n) - 1), f"f{axis}": F.col("_s") - F.col(f"{axis}0")}).drop("_s")
+    def along(row: str, at: Column, c: Column) -> Column:
+        s = source(at, "x", "w", "new_w")
+        first = F.floor(s).cast("int")
+        tap = lambda x: F.when(F.size(row) == F.col("w") * 3, F.get(row, x * 3 + c))
+        return tap(first) * (1 - (s - first)) + tap(F.least(first + 1, F.col("w") - 1)) * (s - first)
 
-    rows = pixel_rows(pixels)
-    line = geometry.select("image_id", "w", "h", "new_w", "new_h", "pad_x", "pad_y", F.explode(F.sequence(F.lit(0), F.lit(out_h - 1))).alias("y"))
-    line = taps(line, "y", "h", "new_h")
-    for name, y in (("_top", "y0"), ("_low", "y9")):
+    line = geometry.select("image_id", "w", "h", "new_w", "new_h", "pad_x", "pad_y", "out_w", F.explode(F.sequence(F.lit(0), F.col("out_h") - 1)).alias("y"))
+    line = line.withColumn("_s", source(F.col("y"), "y", "h", "new_h")).withColumn("_y0", F.floor("_s").cast("int"))
+    line = line.withColumns({"_y9": F.least(F.col("_y0") + 1, F.col("h") - 1), "_fy": F.col("_s") - F.col("_y0")})
+    for name, y in (("_top", "_y0"), ("_low", "_y9")):
         line = line.join(rows.select("image_id", F.col("y").alias(y), F.col("row").alias(name)), ["image_id", y], "left")
-    place = taps(line.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(out_w - 1)))), "x", "w", "new_w").withColumn("c", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
 
-    def along(row: str) -> Column:
-        tap = lambda x: F.when(F.size(row) == F.col("w") * 3, F.get(row, F.col(x) * 3 + F.col("c")))
-        return tap("x0") * (1 - F.col("fx")) + tap("x9") * F.col("fx")
+    def value(i: Column) -> Column:
+        at, c = F.floor(i / 3).cast("int"), i % 3
+        mixed = F.floor(F.round(along("_top", at, c) * (1 - F.col("_fy")) + along("_low", at, c) * F.col("_fy"), 6))
+        return F.when(within_pad(at, "x", "new_w") & within_pad(F.col("y"), "y", "new_h"), mixed).otherwise(fill).cast("int")
 
-    value = F.floor(F.round(along("_top") * (1 - F.col("fy")) + along("_low") * F.col("fy"), 6))
-    inside = within_pad("x", "new_w") & within_pad("y", "new_h")
-    return place.select("image_id", "y", "x", "c", F.when(inside, value).otherwise(fill).cast("int").alias("value"))
+    return line.select("image_id", "y", F.transform(F.sequence(F.lit(0), F.col("out_w") * 3 - 1), value).alias("row"))
+
+
+def pixels_of(rows: DataFrame, *also: str) -> DataFrame:
+    """(image_id, also, y, x, c, value) of rows of pixels."""
+    own = rows.select("image_id", *also, "y", F.posexplode("row").alias("_i", "value"))
+    return own.select("image_id", *also, "y", F.floor(F.col("_i") / 3).cast("int").alias("x"), (F.col("_i") % 3).alias("c"), "value")
+
+
+def resampled(pixels: DataFrame, geometry: DataFrame, out_w: int | str, out_h: int | str, fill: int = FILL) -> DataFrame:
+    """(image_id, y, x, c, value): as resampled_rows, from and to the long form. out_w and out_h hold for all images, or name
+    columns of geometry."""
+    size = {name: F.col(v) if isinstance(v, str) else F.lit(v) for name, v in (("out_w", out_w), ("out_h", out_h))}
+    return pixels_of(resampled_rows(pixel_rows(pixels), geometry.withColumns(size), fill))
 
 
 def channels_first(pixels: DataFrame, w: int, h: int, low: float = 0.0, high: float = 1.0, swap_rb: bool = True) -> DataFrame:
@@ -128,3 +142,35 @@ def tile_detections_moved(dets: DataFrame) -> DataFrame:
     scale = {"x": F.col("sx"), "y": F.col("sy")}
     moved = {b: ((F.col(b) + F.col(f"{b[0]}0")) * scale[b[0]]).cast("int").cast("double") for b in ("x1", "y1", "x2", "y2")}
     return dets.withColumns(moved)
+
+
+def patch_grid(images: DataFrame, size_w: int = 640, size_h: int = 640, overlap_x: float = 0.2, overlap_y: float = 0.2) -> DataFrame:
+    """(image_id, w, h, nw, nh, tile, x0, y0, tw, th): patches of one size that cover the image resized to (nw, nh), the least
+    size not below its own (or a patch's) that a whole number of steps fills. Tiles are numbered by rows."""
+    step = {"w": max(1, int(size_w * (1 - overlap_x))), "h": max(1, int(size_h * (1 - overlap_y)))}
+    steps = {a: F.ceil(F.greatest(F.col(a) - size, F.lit(0)) / step[a]).cast("int") for a, size in (("w", size_w), ("h", size_h))}
+    own = images.select("image_id", "w", "h", steps["w"].alias("_nx"), steps["h"].alias("_ny"))
+    own = own.withColumns({"nw": size_w + F.col("_nx") * step["w"], "nh": size_h + F.col("_ny") * step["h"]})
+    own = own.withColumn("_ty", F.explode(F.sequence(F.lit(0), F.col("_ny")))).withColumn("_tx", F.explode(F.sequence(F.lit(0), F.col("_nx"))))
+    return own.select("image_id", "w", "h", "nw", "nh", (F.col("_ty") * (F.col("_nx") + 1) + F.col("_tx")).alias("tile"), (F.col("_tx") * step["w"]).alias("x0"), (F.col("_ty") * step["h"]).alias("y0"), F.lit(size_w).alias("tw"), F.lit(size_h).alias("th"))
+
+
+#: Rows of pixels in a cell of the grid by which rows meet the tiles that hold them.
+CELL = 64
+
+
+def patches(rows: DataFrame, tiles_: DataFrame, cell: int = CELL) -> DataFrame:
+    """(image_id, tile, y, row): the pixels of each tile, as rows of it. Rows and tiles meet by image and cell of `cell` rows;
+    of a row, a tile takes a slice of the array. rows: as of pixel_rows; tiles_: image_id, tile, x0, y0, tw, th."""
+    cells = F.sequence(F.floor(F.col("y0") / cell), F.floor((F.col("y0") + F.col("th") - 1) / cell))
+    spread = tiles_.where("th > 0 AND tw > 0").select("image_id", "tile", "x0", "y0", "tw", "th", F.explode(cells).alias("_cell"))
+    own = rows.withColumn("_cell", F.floor(F.col("y") / cell)).join(spread, ["image_id", "_cell"]).where("y >= y0 AND y < y0 + th")
+    return own.select("image_id", "tile", (F.col("y") - F.col("y0")).alias("y"), F.slice("row", F.col("x0") * 3 + 1, F.col("tw") * 3).alias("row"))
+
+
+def image_patches(rows: DataFrame, images: DataFrame, size_w: int = 640, size_h: int = 640, overlap_x: float = 0.2, overlap_y: float = 0.2) -> DataFrame:
+    """(image_id, tile, y, row): images of any sizes resized to what patches of one size cover, and cut into these."""
+    grid = patch_grid(images, size_w, size_h, overlap_x, overlap_y)
+    sizes = grid.select("image_id", "w", "h", "nw", "nh").distinct()
+    geometry = sizes.select("image_id", "w", "h", F.col("nw").alias("new_w"), F.col("nh").alias("new_h"), F.lit(0).alias("pad_x"), F.lit(0).alias("pad_y"), F.col("nw").alias("out_w"), F.col("nh").alias("out_h"))
+    return patches(resampled_rows(rows, geometry), grid)

@@ -22,6 +22,48 @@ small AS (SELECT t.image_id, t.y, t.x, t.c, CAST(CASE WHEN inside THEN floor(rou
   JOIN grid d ON d.image_id = t.image_id AND d.c = t.c AND d.y = least(y0 + 1, {h - 1}) AND d.x = x0 JOIN grid e ON e.image_id = t.image_id AND e.c = t.c AND e.y = least(y0 + 1, {h - 1}) AND e.x = least(x0 + 1, {w - 1}))"""
 
 
+def unequal_sql(geometry: str) -> str:
+    """Images of unequal sizes resampled, each to its own size: `geometry` selects image_id, w, h, nw, nh, px, py, ow, oh."""
+    tap = lambda name, y, x: f"JOIN unequal {name} ON {name}.image_id = t.image_id AND {name}.c = t.c AND {name}.y = {y} AND {name}.x = {x}"
+    return f"""geometry AS ({geometry}),
+place AS (SELECT g.*, y, x, c, x >= px AND x < px + nw AND y >= py AND y < py + nh AS inside,
+  greatest(0.0::DOUBLE, least((x - px + 0.5::DOUBLE) * w / nw - 0.5::DOUBLE, w - 1)) AS sx, greatest(0.0::DOUBLE, least((y - py + 0.5::DOUBLE) * h / nh - 0.5::DOUBLE, h - 1)) AS sy
+  FROM (SELECT *, unnest(range(oh)) AS y FROM geometry) g, LATERAL (SELECT unnest(range(ow)) AS x), (SELECT unnest([0, 1, 2]) AS c)),
+taps AS (SELECT *, CAST(floor(sx) AS INT) AS x0, CAST(floor(sy) AS INT) AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM place),
+resized AS (SELECT t.image_id, t.y, t.x, t.c, CAST(CASE WHEN inside THEN floor(round((a.value * (1 - fx) + b.value * fx) * (1 - fy) + (d.value * (1 - fx) + e.value * fx) * fy, 6)) ELSE 114 END AS INT) AS value
+  FROM taps t {tap("a", "y0", "x0")} {tap("b", "y0", "least(x0 + 1, w - 1)")} {tap("d", "least(y0 + 1, h - 1)", "x0")} {tap("e", "least(y0 + 1, h - 1)", "least(x0 + 1, w - 1)")})"""
+
+
+LETTERBOXED = """SELECT *, (8 - nw) // 2 AS px, (8 - nh) // 2 AS py, 8 AS ow, 8 AS oh FROM (SELECT image_id, w, h, CAST(floor(w * least(8.0::DOUBLE / w, 8.0::DOUBLE / h)) AS INT) AS nw, CAST(floor(h * least(8.0::DOUBLE / w, 8.0::DOUBLE / h)) AS INT) AS nh FROM sizes)"""
+
+
+@query(f"WITH {views.UNEQUAL}, {unequal_sql(LETTERBOXED)} SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(c AS INT) AS c, value FROM resized")
+def letterbox_unequal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of four sizes in one batch, letterboxed."""
+    rows, sizes = views.unequal(spark, sf_dir)
+    geometry = image.letterbox_geometry(sizes, 8, 8).withColumns({"out_w": F.lit(8), "out_h": F.lit(8)})
+    return image.pixels_of(image.resampled_rows(rows, geometry))
+
+
+@query(f"WITH {views.UNEQUAL}, {unequal_sql('SELECT image_id, w, h, 7 AS nw, 5 AS nh, 0 AS px, 0 AS py, 7 AS ow, 5 AS oh FROM sizes')} SELECT image_id, CAST((2 - c) * 35 + y * 7 + x AS INT) AS idx, round(value / 255.0::DOUBLE, 6) AS value FROM resized")
+def linear_unequal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of four sizes in one batch, stretched and as planes."""
+    rows, sizes = views.unequal(spark, sf_dir)
+    own = image.preprocessed(image.pixels_of(rows), sizes, 7, 5, "linear")
+    return own.select("image_id", F.col("idx").cast("int").alias("idx"), F.round("value", 6).alias("value"))
+
+
+PATCHES = f"""{views.UNEQUAL}, {unequal_sql("SELECT *, nw AS ow, nh AS oh FROM (SELECT image_id, w, h, 4 + 3 * CAST(ceil(greatest(w - 4, 0) / 3) AS INT) AS nw, 4 + 3 * CAST(ceil(greatest(h - 4, 0) / 3) AS INT) AS nh, 0 AS px, 0 AS py FROM sizes)")},
+tiles AS (SELECT image_id, ty * ((nw - 4) // 3 + 1) + tx AS tile, tx * 3 AS x0, ty * 3 AS y0 FROM (SELECT *, unnest(range((nh - 4) // 3 + 1)) AS ty FROM geometry) g, LATERAL (SELECT unnest(range((nw - 4) // 3 + 1)) AS tx))"""
+
+
+@query(f"WITH {PATCHES} SELECT t.image_id, CAST(tile AS INT) AS tile, CAST(y - y0 AS INT) AS y, CAST(x - x0 AS INT) AS x, CAST(c AS INT) AS c, value FROM tiles t JOIN resized r ON r.image_id = t.image_id AND y >= y0 AND y < y0 + 4 AND x >= x0 AND x < x0 + 4")
+def image_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels of all patches of images of four sizes, each resized to what whole steps cover."""
+    own = image.pixels_of(image.image_patches(*views.unequal(spark, sf_dir), 4, 4, 0.25, 0.25), "tile")
+    return own.withColumn("y", F.col("y").cast("int"))
+
+
 def small_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(4).alias("w"), F.lit(6).alias("h"))
 
@@ -86,3 +128,16 @@ def tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = image.tiles(views.images(spark, sf_dir)).withColumns({"sx": F.lit(1.0), "sy": F.lit(1.0)})
     own = views.raw_det(spark, sf_dir).where("score >= 0.6").join(tiles, "image_id").withColumn("det_id", (F.col("tile") * 10000 + F.col("det_id")).cast("int"))
     return detection.nms(image.tile_detections_moved(own), 0.5)
+
+
+@query(f"""WITH RECURSIVE {views.RAW_DET}, {views.IMAGES},
+grid AS (SELECT image_id, w, h, CAST(ceil(greatest(w - 640, 0) / 512) AS INT) AS nx, CAST(ceil(greatest(h - 480, 0) / 360) AS INT) AS ny FROM images),
+tiled AS (SELECT r.*, nx, ny, w * 1.0::DOUBLE / (640 + nx * 512) AS sx, h * 1.0::DOUBLE / (480 + ny * 360) AS sy, det_id % ((nx + 1) * (ny + 1)) AS tile FROM raw_det r JOIN grid g ON g.image_id = r.image_id),
+found AS (SELECT image_id, det_id, trunc((x1 + tile % (nx + 1) * 512) * sx) AS x1, trunc((y1 + tile // (nx + 1) * 360) * sy) AS y1, trunc((x2 + tile % (nx + 1) * 512) * sx) AS x2, trunc((y2 + tile // (nx + 1) * 360) * sy) AS y2, score, class_id FROM tiled), {nms_sql("image_id, class_id", "found")}
+SELECT image_id, det_id, class_id, score, x1, y1, x2, y2 FROM nms""")
+def patch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes found in one patch each, moved and scaled from the resized image back to the image, and suppressed together."""
+    grid = image.patch_grid(views.images(spark, sf_dir), 640, 480, 0.2, 0.25).withColumns({"sx": F.col("w") / F.col("nw"), "sy": F.col("h") / F.col("nh")})
+    number = grid.groupBy("image_id").agg(F.count("*").cast("int").alias("n_tiles"))
+    own = views.raw_det(spark, sf_dir).join(number, "image_id").withColumn("tile", (F.col("det_id") % F.col("n_tiles")).cast("int")).join(grid, ["image_id", "tile"])
+    return detection.nms(image.tile_detections_moved(own), 0.5)

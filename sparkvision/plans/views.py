@@ -30,6 +30,20 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID = "grid AS (SELECT vec_id AS image_id, k // 12 AS y, k // 3 % 4 AS x, k % 3 AS c, CAST(floor(abs(coalesce(CAST(embedding[k + 1] AS DOUBLE), 0)) * 1000) AS INT) % 256 AS value FROM embeddings, (SELECT unnest(range(72)) AS k))"
 
 
+def unequal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(image_id, y, row) and (image_id, w, h): each tensor as an image of 2 to 5 pixels a row, as many rows as its elements
+    fill, the last one with zeros."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding", (F.col("vec_id") % 4 + 2).cast("int").alias("w"))
+    own = own.withColumn("h", F.ceil(F.size("embedding") / (F.col("w") * 3)).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
+    at = F.sequence(F.col("y") * F.col("w") * 3, (F.col("y") + 1) * F.col("w") * 3 - 1)
+    value = lambda k: F.floor(F.abs(F.coalesce(F.get("embedding", k), F.lit(0.0)).cast("double")) * 1000).cast("int") % 256
+    return own.select("image_id", "y", F.transform(at, value).alias("row")), own.select("image_id", "w", "h").distinct()
+
+
+UNEQUAL = """sizes AS (SELECT vec_id AS image_id, CAST(vec_id % 4 + 2 AS INT) AS w, CAST(ceil(len(embedding) / ((vec_id % 4 + 2) * 3)) AS INT) AS h, embedding AS e FROM embeddings),
+unequal AS (SELECT image_id, k // (3 * w) AS y, k // 3 % w AS x, k % 3 AS c, CAST(floor(abs(coalesce(CAST(e[k + 1] AS DOUBLE), 0)) * 1000) AS INT) % 256 AS value FROM (SELECT *, unnest(range(3 * w * h)) AS k FROM sizes))"""
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, w, h)."""
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS image_id", "CAST(320 + o_custkey * 37 % 1600 AS INT) AS w", "CAST(240 + o_custkey * 53 % 900 AS INT) AS h")

@@ -280,3 +280,24 @@ def test_resampling_of_broken_rows(spark):
     assert {k: v for k, v in got.items() if k[0] == 1} == {(1, y, x, c): 10 * y + x for y in range(2) for x in range(2) for c in range(3)}
     assert {v for k, v in got.items() if k[0] == 3} == {None}
     assert {v for k, v in got.items() if k[:2] == (2, 0)} == {None}
+
+
+def test_patches_of_unequal_images(spark):
+    """Every pixel of every patch, against the resized image by itself."""
+    rng = random.Random(1)
+    sizes = {1: (5, 3), 2: (4, 4), 3: (11, 130), 4: (1, 1)}
+    data = {i: [[rng.randrange(256) for _ in range(3 * w)] for _ in range(h)] for i, (w, h) in sizes.items()}
+    rows = spark.createDataFrame([(i, y, r) for i, own in data.items() for y, r in enumerate(own)], "image_id int, y int, row array<int>")
+    images = spark.createDataFrame([(i, *s) for i, s in sizes.items()], "image_id int, w int, h int")
+    grid = {(r.image_id, r.tile): r for r in image.patch_grid(images, 4, 4, 0.25, 0.25).collect()}
+    assert {i: (r.nw, r.nh) for (i, _), r in grid.items()} == {1: (7, 4), 2: (4, 4), 3: (13, 130), 4: (4, 4)}
+    got = {(r.image_id, r.tile, r.y): r.row for r in image.image_patches(rows, images, 4, 4, 0.25, 0.25).collect()}
+    assert len(got) == 4 * len(grid)
+    for (i, tile, y), row in got.items():
+        g, (w, h) = grid[i, tile], sizes[i]
+        for k, v in enumerate(row):
+            sx, sy = (max(0.0, min((at + 0.5) * n / new - 0.5, n - 1)) for at, n, new in ((g.x0 + k // 3, w, g.nw), (g.y0 + y, h, g.nh)))
+            a, b = int(sx), int(sy)
+            tap = lambda yy, xx: data[i][min(yy, h - 1)][3 * min(xx, w - 1) + k % 3]  # noqa: E731, B023
+            top, low = (tap(yy, a) * (1 - (sx - a)) + tap(yy, a + 1) * (sx - a) for yy in (b, b + 1))
+            assert v == int(round(top * (1 - (sy - b)) + low * (sy - b), 6) // 1)
