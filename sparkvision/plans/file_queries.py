@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import image, profiling
-from ..sources import batcher, catalog, files
+from ..sources import batcher, catalog, files, parts
 from ..sources.package import shared_dir
 from . import views
 from .image_queries import resample_sql, small_images
@@ -123,3 +123,32 @@ def synthetic_batch_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of every synthetic batch, whatever its values."""
     own = catalog.synthetic_batches(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id")), (1, 3, 4, 4), -1.0, 1.0, seed=42)
     return own.select("batch_id", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.size("data").alias("n"), F.forall("data", lambda v: (v >= -1) & (v < 1)).alias("in_range"))
+
+
+@query("SELECT p_brand AS framework, p_type AS model, CAST(p_size AS VARCHAR) AS key, round(avg(p_retailprice), 6) AS mean, min(p_retailprice) AS min, max(p_retailprice) AS max FROM part WHERE p_size > 10 GROUP BY 1, 2, 3")
+def parts_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark results as a store in parts, replaced by fewer ones."""
+    at, x = place(spark, "parts"), "p_retailprice"
+    metrics = F.struct(F.avg(x).alias("mean"), F.median(x).alias("median"), F.min(x).alias("min"), F.max(x).alias("max"))
+    own = views.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("framework"), F.col("p_type").alias("model"), F.col("p_size").alias("size"), F.col("p_size").cast("string").alias("key")).agg(metrics.alias("metrics"))
+    parts.write_parts(own.where("size % 2 = 0"), at)
+    parts.write_parts(own.where("size > 10"), at)
+    return parts.read_parts(spark, at).select("framework", "model", "key", F.round("metrics.mean", 6).alias("mean"), F.col("metrics.min").alias("min"), F.col("metrics.max").alias("max"))
+
+
+def halved(batches):
+    """A model that cannot take errors."""
+    for b in batches:
+        if (b.event_type == "error").any():
+            raise ValueError(f"no {b.event_type[b.event_type == 'error'].iloc[0]}s, please")
+        yield b.assign(score=b.value / 2)[["event_id", "score"]]
+
+
+@query("SELECT event_id, CASE WHEN event_type <> 'error' THEN value / 2 END AS score, CASE WHEN event_type = 'error' THEN 'ValueError: no errors, please' END AS error, CASE WHEN event_type = 'error' THEN CAST(user_id AS VARCHAR) END AS user FROM events")
+def failures_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that fails on some rows loses only these."""
+    own = views.table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")
+    results, dead, counts = files.survived(own, halved, "event_id long, score double", place(spark, "survived"))
+    if counts["results"] + counts["failures"] != own.count():
+        raise ValueError(f"rows are missing: {counts}")
+    return results.select("event_id", "score", F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("user")).unionByName(dead.select("event_id", F.lit(None).cast("double").alias("score"), "error", F.col("user_id").cast("string").alias("user")))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import video
 from ..sources.package import shared_dir
 from ..streaming import frames, retrieval
 from . import views
@@ -90,3 +91,14 @@ def stream_lockstep(spark: SparkSession, sf_dir: str) -> DataFrame:
         own.where("event_type <> 'click'").select(F.col("event_id").alias("frame_id"), slow.alias("ts"), (F.col("value") + 1).alias("result"))]
     out = retrieval.in_lockstep(answers, ["half", "whole", "int8"], ["frame_id"], "1 minute", "1 hour")
     return ran(spark, out.drop("ts"), "lockstep")
+
+
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS stream_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS frame_id, c_custkey AS customer, lower(hex(encode(CAST(c_nationkey AS VARCHAR) || ':' || CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS VARCHAR)))) AS data FROM customer")
+def stream_of_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A camera for each nation with a frame for each of its customers, read as a stream and joined to them."""
+    own = views.table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("stream_id"), F.col("c_custkey").alias("customer"))
+    own = own.withColumn("frame_id", (F.row_number().over(Window.partitionBy("stream_id").orderBy("customer")) - 1).cast("long"))
+    lengths = {r.stream_id: r["count"] for r in own.groupBy("stream_id").count().collect()}  # a number a nation
+    frames_ = video.read_frames(spark, lambda: lengths, lambda stream, i: f"{stream}:{i}".encode())
+    out = frames_.join(own, ["stream_id", "frame_id"])
+    return ran(spark, out.select("stream_id", "frame_id", "customer", F.lower(F.hex("data")).alias("data")), "camera")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,15 +18,15 @@ PROFILE = "run_id long, layers array<struct<place: long, layer: string, mean: do
 
 
 def image_files(spark: SparkSession, folder: str, max_images: int | None = None) -> DataFrame:
-    """(path, content) of the folder's own images by path; endings count as they are written. max_images, if given, must be
-    over 1 and keeps the first ones."""
+    """(path, content) of the folder's own images, in no order: contents are never sorted. Endings count as they are written.
+    max_images, if given, must be over 1 and keeps the first ones by path."""
     if max_images is not None and max_images <= 1:
         raise ValueError("max_images must be greater than 1")
     own = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "content")
     own = own.where(F.substring_index("path", ".", -1).isin(*IMAGE_ENDINGS))
     if max_images is not None:  # paths alone are sorted and limited; only then are contents read
         own = own.join(own.select("path").orderBy("path").limit(max_images), "path", "left_semi")
-    return own.orderBy("path")
+    return own
 
 
 def decoded_images(files: DataFrame, decode: Callable[[bytes], tuple[int, int, bytes]]) -> DataFrame:
@@ -60,6 +60,53 @@ def scored(rows: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[p
     return rows.mapInPandas(model, schema)
 
 
+#: Names of what scored_or_failed adds to the model's columns.
+ERROR, INPUT = "error", "input"
+
+
+def scored_or_failed(rows: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """As scored, but a row on which the model raises costs nothing else: its result is null, `error` holds the exception and
+    `input` the row. A batch that fails is halved until the failing rows stand alone. The model must give each row's result
+    from that row, as it may see a row more than once."""
+    kind = T.StructType.fromDDL(schema)
+    names = [f.name for f in kind]
+    out = T.StructType([*kind, T.StructField(ERROR, T.StringType()), T.StructField(INPUT, rows.schema)])
+
+    def tried(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            found = list(model(iter([batch])))
+        except Exception as e:  # noqa: BLE001  whatever the model raises
+            if len(batch) > 1:
+                half = len(batch) // 2
+                yield from tried(batch.iloc[:half])
+                yield from tried(batch.iloc[half:])
+                return
+            lost = pd.DataFrame({n: [None] for n in names})
+            lost[ERROR] = f"{type(e).__name__}: {e}"
+            lost[INPUT] = [batch.iloc[0].to_dict()]
+            yield lost
+            return
+        for good in found:
+            yield good[names].assign(**{ERROR: None, INPUT: None})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield from tried(batch)
+
+    return rows.mapInPandas(run, out)
+
+
+def survived(rows: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(results, dead letters, counts): runs the model once over all rows into a table at path, which holds both. The dead
+    letters are rows with their error; counts has the numbers of `results` and of `failures`."""
+    seen = Observation("survived")
+    own = scored_or_failed(rows, model, schema)
+    bad = F.col(ERROR).isNotNull()
+    own.observe(seen, F.count(F.when(~bad, 1)).alias("results"), F.count(F.when(bad, 1)).alias("failures")).write.mode("overwrite").parquet(path)
+    both = rows.sparkSession.read.schema(own.schema).parquet(path)
+    return both.where(~bad).drop(ERROR, INPUT), both.where(bad).select(f"{INPUT}.*", ERROR), seen.get
+
+
 def write_profile(profile: DataFrame, totals: DataFrame, path: str, save_raw: bool = False) -> None:
     """One JSON line a run: iterations, total time and its layers in order, with their raw values only if asked for."""
     names = ["place", "layer", "mean", "median", "minimum", "maximum", *(["raw"] if save_raw else [])]

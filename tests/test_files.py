@@ -4,15 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvision.operators import image
-from sparkvision.sources import batcher, catalog, files
+from sparkvision.sources import batcher, catalog, files, parts
 
 
-def test_image_files_are_sorted_and_filtered(spark, tmp_path):
+def test_image_files_are_filtered(spark, tmp_path):
     for name in ("b.jpg", "a.png", "c.JPG", "d.txt", "e.jpeg"):
         (tmp_path / name).write_bytes(bytes([2, 1, 0] * 2))
-    found = [r.path.rsplit("/", 1)[1] for r in files.image_files(spark, str(tmp_path)).collect()]
-    assert found == ["a.png", "b.jpg", "e.jpeg"]
-    assert files.image_files(spark, str(tmp_path), 2).count() == 2
+    found = lambda *n: sorted(r.path.rsplit("/", 1)[1] for r in files.image_files(spark, str(tmp_path), *n).collect())
+    assert found() == ["a.png", "b.jpg", "e.jpeg"] and found(2) == ["a.png", "b.jpg"]
     with pytest.raises(ValueError):
         files.image_files(spark, str(tmp_path), 1)
 
@@ -131,3 +130,41 @@ def test_mean_and_std_need_three_values(spark):
         image.normalised(pixels, 1, 1, (0.5, 0.5), (0.5, 0.5))
     with pytest.raises(ValueError, match="together"):
         image.normalised(pixels, 1, 1, (0.5, 0.5, 0.5), None)
+
+
+def results(spark, names, bad=()):
+    metrics = F.struct(*[F.lit(1.5).alias(c) for c in ("mean", "median", "min", "max")])
+    own = spark.createDataFrame([(f, m, str(k)) for f, m in names for k in range(3)], "framework string, model string, key string").repartition(4)
+    key = F.when(F.col("model").isin(*bad), F.raise_error(F.lit("broken"))).otherwise(F.col("key")) if bad else F.col("key")
+    return own.select("framework", "model", key.alias("key"), metrics.alias("metrics"))
+
+
+def test_store_in_parts_commits_or_stays(spark, tmp_path):
+    at = str(tmp_path / "store")
+    assert parts.read_parts(spark, at).count() == 0
+    parts.write_parts(results(spark, [("a", "m"), ("a", "n"), ("b", "m")]), at)
+    first = sorted(map(tuple, parts.read_parts(spark, at).collect()))
+    assert len(first) == 9 and len(parts.listed(at)) == 3
+    with pytest.raises(Exception, match="broken"):
+        parts.write_parts(results(spark, [("a", "x"), ("b", "y"), ("c", "z"), ("d", "w")], bad=["z"]), at)
+    assert sorted(map(tuple, parts.read_parts(spark, at).collect())) == first
+    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == sorted([*parts.listed(at), "_parts.json"])  # nothing is left of it
+    parts.write_parts(results(spark, [("c", "z")]), at)
+    assert {(r.framework, r.model) for r in parts.read_parts(spark, at).collect()} == {("c", "z")}
+    assert len(list((tmp_path / "store").iterdir())) == 2
+    parts.write_parts(results(spark, [("c", "z")]).limit(0), at)
+    assert parts.read_parts(spark, at).count() == 0
+
+
+def test_a_failing_model_loses_only_its_rows(spark, tmp_path):
+    def model(batches):
+        for b in batches:
+            if (b.x % 7 == 0).any():
+                raise ValueError("seven")
+            yield b.assign(y=b.x * 2)[["x", "y"]]
+
+    rows = spark.range(100).select(F.col("id").alias("x"), F.col("id").cast("string").alias("name"), F.array("id").alias("more"))
+    good, dead, counts = files.survived(rows, model, "x long, y long", str(tmp_path / "out"))
+    assert sorted(map(tuple, good.collect())) == [(i, 2 * i) for i in range(100) if i % 7]
+    assert sorted((r.x, r.name, r.more, r.error) for r in dead.collect()) == [(i, str(i), [i], "ValueError: seven") for i in range(0, 100, 7)]
+    assert counts == {"results": 85, "failures": 15}

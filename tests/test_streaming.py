@@ -1,9 +1,11 @@
+import json
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparkvision.sources import video
 from sparkvision.streaming import frames, retrieval
 
 
@@ -100,3 +102,14 @@ def test_lockstep(spark, tmp_path):
     got = spark.read.schema(own.schema).parquet(str(tmp_path / "out"))
     assert sorted(tuple(r) for r in got.select("frame_id", "result_x", "result_y", "result_z").collect()) == [(0, 0, 1, 2), (1, 10, 10, 10), (10, 100, 100, 101), (11, 110, 110, 111)]
     assert held[-1] <= held[2]  # frames 2 and 9, which z never answers, don't stay
+
+
+def test_frames_of_cameras(spark, tmp_path):
+    """More frames and streams come between runs; a restart loses and repeats none."""
+    lengths, out = tmp_path / "lengths", str(tmp_path / "out")
+    own = video.read_frames(spark, lambda: json.loads(lengths.read_text()), lambda s, i: None if i == 3 else f"{s}{i}".encode(), per_task=2)
+    for n in ({"a": 5}, {"a": 5, "b": 1}, {"a": 5, "b": 1}, {"a": 8, "b": 4, "c": 0}):
+        lengths.write_text(json.dumps(n))
+        own.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        got = sorted((r.stream_id, r.frame_id, r.data and bytes(r.data).decode()) for r in spark.read.parquet(out).collect())
+        assert got == [(s, i, None if i == 3 else f"{s}{i}") for s, k in sorted(n.items()) for i in range(k)]
