@@ -4,45 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .hulls import frontier
 
 SLACK = 1e-9
 
 
 def pareto(points: DataFrame, group: str = "family") -> DataFrame:
     """Adds frontier: of each group's points, by cost then from the best accuracy, those better than all cheaper ones and not
-    under a chord between two others on the frontier. points: group, point_id, cost, acc."""
-    w = Window.partitionBy(group).orderBy("cost", F.desc("acc"), "point_id")
-    before = F.max("acc").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    steps = points.withColumn("_step", before.isNull() | (F.col("acc") > before + SLACK))
-    front = steps.where("_step").select(group, "point_id", "cost", "acc")
-
-    points_ = F.array_sort(F.collect_list(F.struct("cost", "acc", "point_id")))
-    hull = front.groupBy(group).agg(points_.alias("_front")).select(group, F.explode(concave(F.col("_front"), points.schema)).alias("_p"))
-    kept = hull.select(group, F.col("_p.point_id").alias("point_id"), F.lit(True).alias("frontier"))
+    under a chord between two others on the frontier. points: group, point_id, cost, acc. Points without cost or accuracy
+    are on no frontier."""
+    kept = frontier(points, group, SLACK).select(group, "point_id", F.lit(True).alias("frontier"))
     return points.join(kept, [group, "point_id"], "left").withColumn("frontier", F.coalesce("frontier", F.lit(False)))
 
 
-def concave(front: Column, schema: T.StructType) -> Column:
-    """Of points (cost, acc, point_id) with rising cost and accuracy those under no chord between two others: a fold that
-    keeps a chain, from whose end a point goes as soon as the next one leaves it under a chord."""
-    kind = T.ArrayType(T.StructType([T.StructField(c, schema[c].dataType) for c in ("cost", "acc", "point_id")]))
-    none = F.array().cast(kind)
-
-    def ended(chain: Column, p: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            a, q = F.try_element_at(state["chain"], F.lit(-2)), F.try_element_at(state["chain"], F.lit(-1))
-            # cross-multiplied: the slope to the last point is less than the slope on from it
-            under = (q["acc"] - a["acc"]) * (p["cost"] - q["cost"]) + SLACK < (p["acc"] - q["acc"]) * (q["cost"] - a["cost"])
-            go = ~state["done"] & (F.size(state["chain"]) > 1) & F.coalesce(under, F.lit(False))
-            short = F.slice(state["chain"], F.lit(1), F.greatest(F.size(state["chain"]) - 1, F.lit(0)))
-            return F.struct(F.when(go, short).otherwise(state["chain"]).alias("chain"), (~go).alias("done"))
-
-        return F.aggregate(chain, F.struct(chain.alias("chain"), F.lit(False).alias("done")), step)["chain"]
-
-    return F.aggregate(front, none, lambda chain, p: F.concat(ended(chain, p), F.array(p)))
-
-
 def first_prefix(name: Column, prefixes: list[str]) -> Column:
     """The first of the prefixes that the name starts with, else unknown."""
     return F.coalesce(*[F.when(name.startswith(p), F.lit(p)) for p in prefixes], F.lit("unknown"))

@@ -3,12 +3,14 @@
 import itertools
 import random
 import statistics
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkvision.functions import scalars
-from sparkvision.operators import benchmarks, classification, detection, image, profiling, scheduling, segments
+from sparkvision.operators import benchmarks, classification, detection, hulls, image, profiling, scheduling, segments
 
 DET = "image_id int, det_id int, class_id int, score double, x1 double, y1 double, x2 double, y2 double"
 
@@ -227,6 +229,32 @@ def test_pareto(spark):
     assert got == [True, False, True, False, False, True]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_hulls_of_parts(spark, seed):
+    """Thinned parts lead to the same frontier as one walk; ties, lines and copies too."""
+    rng = random.Random(seed)
+    number = [lambda: rng.random(), lambda: float(rng.randrange(12)), lambda: rng.choice([0.1, 0.2, 0.3, 0.7]), lambda: rng.gauss(0, 1e6)][seed]
+    for _ in range(200):
+        points = [(number(), number()) for _ in range(rng.randrange(1, 60))] + [(float(i), 2.0 * i) for i in range(rng.randrange(4))]
+        if rng.random() < 0.3:
+            points = [(c, (abs(c) % 50) ** 0.5) for c, _ in points]
+        ordered = sorted(points, key=lambda p: (p[0], -p[1]))
+        whole = [ordered[i] for i in hulls.walked(*map(list, zip(*ordered, strict=True)), 1e-9)]
+        parts = [points[k::3] for k in range(3)]
+        left = sorted((own[i] for own in parts if own for i in hulls.thinned(np.array([p[0] for p in own]), np.array([p[1] for p in own]), 1e-9)), key=lambda p: (p[0], -p[1]))
+        assert [left[i] for i in hulls.walked(*map(list, zip(*left, strict=True)), 1e-9)] == whole
+
+
+def test_a_large_family(spark):
+    """100,000 points of one family, all of them on an arc, and as many below it."""
+    n = 100_000
+    arc = spark.range(n).select(F.lit("f").alias("family"), F.col("id").alias("point_id"), (F.col("id") * 1.0).alias("cost"), (F.sqrt("id") * 1e4).alias("acc"))
+    below = arc.select("family", (F.col("point_id") + n).alias("point_id"), (F.col("cost") + 1).alias("cost"), (F.col("acc") - 50).alias("acc"))
+    began = time.monotonic()
+    got = benchmarks.pareto(arc.unionByName(below).repartition(4)).where("frontier").agg(F.count("*").alias("n"), F.max("point_id").alias("last")).first()
+    assert got.last < n and got.n > 0.9 * n and time.monotonic() - began < 60
+
+
 def test_speedups_and_scaling(spark):
     configs = spark.createDataFrame([(1, "base"), (1, "fast"), (1, "none")], "device int, config string")
     results = spark.createDataFrame([(1, "base", 4.0, None), (1, "fast", None, 1.0)], "device int, config string, mean double, mean_ms double")
