@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import first_containing
 from .running import cuts_of, running_sums
 
 #: Fixed value of the format: what a compiler adds to the names of layers that it splits.
@@ -161,21 +162,6 @@ def fused_layers(profile: DataFrame, network: DataFrame | None = None) -> DataFr
     return out.withColumn("_n", last).where("_n = 1").select("net", "layer", "fused", "n")
 
 
-#: Characters of the runs by which names are looked up.
-RUN = 8
-
-
-def containing(layers: DataFrame, names: DataFrame) -> DataFrame:
-    """layers (net, layer) joined to the names (net, name, ...) that contain them: names are indexed by all their runs of RUN
-    characters, and a layer meets those that have its last one, where names differ most. A layer shorter than a run meets
-    all names of its network."""
-    n = F.char_length("name") - RUN + 1
-    runs = F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring("name", i, F.lit(RUN)))))
-    index = names.withColumn("_run", F.explode(F.array_append(F.coalesce(runs, F.array().cast("array<string>")), F.lit(""))))
-    asked = layers.distinct().withColumn("_run", F.when(F.char_length("layer") < RUN, F.lit("")).otherwise(F.right("layer", F.lit(RUN))))
-    return asked.join(index, ["net", "_run"]).where(F.expr("contains(name, layer)")).drop("_run")
-
-
 def profile_iterations(jetson: Column, iterations: Column | None = None) -> Column:
     """Iterations of a profiling run: as asked for; else 10000 where power is sampled as well, and 100 elsewhere."""
     default = F.when(F.coalesce(jetson, F.lit(False)), F.lit(10_000)).otherwise(F.lit(100))
@@ -189,8 +175,9 @@ def resolved(layers: DataFrame, values: DataFrame, fused: DataFrame) -> DataFram
     share = fused.join(values.select("net", F.col("name").alias("fused"), "value"), ["net", "fused"]).select("net", "layer", (F.col("value") / F.col("n")).alias("_share"))
     own = layers.join(exact, ["net", "layer"], "left").join(share, ["net", "layer"], "left")
     rest = own.where("_exact IS NULL AND _share IS NULL").select("net", "layer")
-    holds = containing(rest, values.select("net", "pos", "name", F.col("value").alias("_v")))
-    holds = holds.groupBy("net", "layer").agg(F.min_by("_v", "pos").alias("_held"))
+    holds = first_containing(rest, values.select("net", "name", "pos"))
+    held = values.groupBy("net", "pos", "name").agg(F.min("value").alias("_held"))
+    holds = holds.join(held, ["net", "pos", "name"]).drop("pos", "name")
     return own.join(holds, ["net", "layer"], "left").withColumn("value", F.coalesce("_exact", "_share", "_held")).drop("_exact", "_share", "_held")
 
 

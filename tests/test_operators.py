@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkvision.functions import scalars
 from sparkvision.operators import benchmarks, classification, detection, hulls, image, profiling, scheduling, segments
+from sparkvision.operators.names import first_containing
 
 DET = "image_id int, det_id int, class_id int, score double, x1 double, y1 double, x2 double, y2 double"
 
@@ -310,6 +311,22 @@ def test_resampling_of_broken_rows(spark):
     assert {v for k, v in got.items() if k[:2] == (2, 0)} == {None}
 
 
+@pytest.mark.parametrize("each, patterns", [(1000, 1000), (7, 5)])
+def test_names_that_contain_layers(spark, each, patterns):
+    """Names of 0 to 7 characters and long ones, over every pair."""
+    rng = random.Random(each)
+    word = lambda n: "".join(rng.choice("abü") for _ in range(n))
+    layers = [(net, word(rng.randrange(8))) for net in "xyz" for _ in range(30)] + [("x", None), (None, "a"), ("w", "a"), ("x", "ab" * 9)]
+    names = [(net, word(rng.randrange(25)), rng.randrange(40)) for net in "xyz" for _ in range(40)] + [("x", "c" + "ab" * 9, 99), ("x", None, 1), ("v", "a", 1)]
+    got = {(r.net, r.layer): (r.pos, r.name) for r in first_containing(spark.createDataFrame(layers, "net string, layer string"), spark.createDataFrame(names, "net string, name string, pos int"), each, patterns).collect()}
+    want = {}
+    for net, layer in layers:
+        own = [(pos, name) for other, name, pos in names if other == net and name is not None and layer is not None and layer in name]
+        if own:
+            want[net, layer] = min(own)
+    assert got == want
+
+
 def test_patches_of_unequal_images(spark):
     """Every pixel of every patch, against the resized image by itself."""
     rng = random.Random(1)
