@@ -15,12 +15,17 @@ MISSING_GPU_MS, MISSING_GPU_MJ, DLA_TIME, DLA_ENERGY = 0.01, 0.001, 1.5, 0.5
 CHANGE_MS, CHANGE_MS_MB, CHANGE_MJ, CHANGE_MJ_MB = 0.1, 0.05, 0.01, 0.005
 
 
-def islands(layers: DataFrame) -> DataFrame:
-    """(net, chunk, first, last, n, compat): runs of layers with equal compatibility."""
+def islands(layers: DataFrame, networks: DataFrame | None = None) -> DataFrame:
+    """(net, chunk, first, last, n, compat): runs of layers with equal compatibility. Of the networks (net) those without any
+    layer have one empty run, from 0 to -1, which isn't compatible."""
     w = Window.partitionBy("net").orderBy("idx")
     change = F.coalesce((F.col("compat") != F.lag("compat").over(w)).cast("int"), F.lit(0))
     own = layers.withColumn("_change", change).withColumn("chunk", F.sum("_change").over(w))
-    return own.groupBy("net", "chunk").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n"), F.first("compat").alias("compat"))
+    out = own.groupBy("net", "chunk").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n"), F.first("compat").alias("compat"))
+    if networks is None:
+        return out
+    empty = {"chunk": F.lit(0).cast("long"), "first": F.lit(0), "last": F.lit(-1), "n": F.lit(0).cast("long"), "compat": F.lit(False)}
+    return networks.select("net").distinct().join(out, "net", "left").select("net", *[F.coalesce(c, v).alias(c) for c, v in empty.items()])
 
 
 def selected(chunks: DataFrame, max_chunks: int = 1, min_layers: int = 20) -> DataFrame:
@@ -175,6 +180,19 @@ def subgraph_ports(io: DataFrame, start: int, end: int) -> DataFrame:
     return ins.unionByName(outs)
 
 
+def split_ports(io: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(net, part, tensor, port): as subgraph_ports for all parts of all networks at once. ranges: net, part, first, last (as
+    split_ranges gives them). Each tensor knows the last part that consumes it, so no part is compared with another."""
+    nodes = ranges.select("net", "part", F.explode(F.sequence("first", "last")).alias("node"))
+    at = io.join(nodes, ["net", "node"]).groupBy("net", "tensor", "part").agg(F.bool_or(F.col("dir") == "in").alias("_used"), F.bool_or(F.col("dir") == "out").alias("_made"))
+    last = F.max(F.when(F.col("_used"), F.col("part"))).over(Window.partitionBy("net", "tensor"))
+    at = at.withColumn("_later", F.col("_made") & F.coalesce(last > F.col("part"), F.lit(False)))
+    at = at.withColumn("_any", F.bool_or("_later").over(Window.partitionBy("net", "part")))
+    output = F.col("_made") & (F.col("_later") | ~F.col("_any"))
+    ports = F.array_compact(F.array(F.when(F.col("_used") & ~F.col("_made"), "input"), F.when(output, "output")))
+    return at.select("net", "part", "tensor", F.explode(ports).alias("port"))
+
+
 def split_ranges(cuts: DataFrame, sizes: DataFrame) -> DataFrame:
     """(net, part, first, last): the nodes up to and including each cut, and the rest. cuts: net, idx; sizes: net, n. A cut at
     the last node leaves an empty rest, which is an error."""

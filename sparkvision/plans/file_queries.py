@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import image, profiling
-from ..sources import batcher, catalog, files, parts
+from ..sources import batcher, catalog, files, parts, scan
 from ..sources.package import shared_dir
 from . import views
 from .image_queries import resample_sql, small_images
@@ -152,3 +152,40 @@ def failures_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     if counts["results"] + counts["failures"] != own.count():
         raise ValueError(f"rows are missing: {counts}")
     return results.select("event_id", "score", F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("user")).unionByName(dead.select("event_id", F.lit(None).cast("double").alias("score"), "error", F.col("user_id").cast("string").alias("user")))
+
+
+@query("SELECT p_partkey || CASE WHEN p_size % 2 = 0 THEN '.png' ELSE '.txt' END AS name, length(p_name) AS size, p_name AS content FROM part WHERE p_size % 2 = 0 AND length(p_name) > 12")
+def scanned_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each part, of which the larger images are read."""
+    at = place(spark, "images")
+    fs, folder = parts.opened(at)
+    fs.create_dir(folder, recursive=True)
+
+    def put(batches):
+        own, to = parts.opened(at)
+        for b in batches:
+            for name, text in zip(b.name, b.text, strict=True):
+                with own.open_output_stream(f"{to}/{name}") as f:
+                    f.write(text.encode())
+            yield b[["name"]]
+
+    ending = F.when(F.col("p_size") % 2 == 0, ".png").otherwise(".txt")
+    own = views.table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), ending).alias("name"), F.col("p_name").alias("text"))
+    own.mapInPandas(put, "name string").count()
+    found = scan.scan(spark, at).where(F.col("name").endswith(".png") & (F.col("size") > 12))
+    return found.select("name", "size", F.decode("content", "UTF-8").alias("content"))
+
+
+@query(f"""{CACHE}, a AS (SELECT name, CAST(NULL AS VARCHAR) AS missing FROM c UNION SELECT DISTINCT p_brand, 'x' FROM part)
+SELECT a.name, arg_min(ext, list_position(['cache', 'onnx', 'engine'], ext)) AS ext, arg_min(payload, list_position(['cache', 'onnx', 'engine'], ext)) AS payload FROM a LEFT JOIN (SELECT * FROM c ANTI JOIN e USING (name, ext) UNION ALL SELECT * FROM e) k USING (name) GROUP BY 1""")
+def cache_looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each name, some of which aren't there, the entry with the preferred ending."""
+    old, new = cache_parts(spark, sf_dir)
+    asked = old.select("name").union(views.table(spark, sf_dir, "part").select("p_brand")).distinct()
+    return files.first_in_cache(files.put_in_cache(old, new, overwrite=True), asked, ("cache", "onnx", "engine"))
+
+
+@query(f"{CACHE} SELECT * FROM c ANTI JOIN (SELECT name, ext FROM e WHERE ext = 'onnx') USING (name, ext)")
+def cache_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = cache_parts(spark, sf_dir)
+    return files.entries_removed(old, new.where("ext = 'onnx'").select("name", "ext"))

@@ -159,6 +159,27 @@ def split_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduling.split_ranges(cuts, sizes).select("net", "part", "first", F.col("last").cast("int").alias("last"))
 
 
+@query(f"""WITH {IO}, ends AS (SELECT net, idx FROM layers WHERE size = 50 AND idx < (SELECT max(idx) FROM layers l2 WHERE l2.net = layers.net) UNION SELECT net, max(idx) FROM layers GROUP BY 1),
+parts AS (SELECT net, CAST(row_number() OVER w - 1 AS INT) AS part, coalesce(lag(idx) OVER w, -1) + 1 AS first, idx AS last FROM ends WINDOW w AS (PARTITION BY net ORDER BY idx)),
+placed AS (SELECT io.*, part, last FROM io JOIN parts p ON p.net = io.net AND node BETWEEN first AND last),
+used AS (SELECT DISTINCT net, part, tensor FROM placed WHERE dir = 'in'), made AS (SELECT DISTINCT net, part, last, tensor FROM placed WHERE dir = 'out'),
+later AS (SELECT m.*, EXISTS (SELECT 1 FROM io i WHERE i.net = m.net AND i.tensor = m.tensor AND i.node > m.last AND i.dir = 'in') AS l FROM made m)
+SELECT net, part, tensor, 'input' AS port FROM used ANTI JOIN made USING (net, part, tensor) UNION ALL SELECT net, part, tensor, 'output' FROM (SELECT *, bool_or(l) OVER (PARTITION BY net, part) AS any_ FROM later) WHERE l OR NOT any_""")
+def split_subgraph_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ports of every part of every split network."""
+    return scheduling.split_ports(io(spark, sf_dir), split_ranges(spark, sf_dir))
+
+
+@query(f"""WITH {ISLANDS.replace("FROM part)", "FROM part WHERE p_size > 48)")}, nets AS (SELECT DISTINCT p_brand AS net FROM part)
+SELECT net, coalesce(chunk, 0) AS chunk, coalesce(first, 0) AS first, coalesce(last, -1) AS last, coalesce(n, 0) AS n, coalesce(compat, FALSE) AS compat FROM nets LEFT JOIN islands USING (net)""")
+def compatible_chunks_of_large_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks of their large layers only; some have none."""
+    own = views.layers(spark, sf_dir)
+    w = Window.partitionBy("net").orderBy("key")
+    large = own.where("size > 48").withColumn("idx", F.row_number().over(w) - 1)
+    return scheduling.islands(large, own)
+
+
 @query("SELECT p_partkey AS engine, [CASE WHEN p_size % 3 - 1 > 0 THEN p_size % 3 - 1 ELSE 1 END, 3, CASE WHEN p_size - 10 > 0 THEN p_size - 10 ELSE 1 END][3] AS width, CASE WHEN p_size % 3 - 1 > 0 THEN p_size % 3 - 1 ELSE 1 END AS batch FROM part")
 def static_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = scheduling.static_shape(F.array((F.col("p_size") % 3 - 1).cast("int"), F.lit(3), (F.col("p_size") - 10).cast("int")))

@@ -175,3 +175,18 @@ def removed_from_cache(cache: DataFrame, name: str, ext: str) -> DataFrame:
     found = cache.where(hit).agg((F.count("*") > 0).alias("_found"))
     checked = F.when(F.col("_found"), hit).otherwise(F.raise_error(F.lit(f"not in the cache: {name}.{ext}")).cast("boolean"))
     return cache.crossJoin(F.broadcast(found)).where(~checked).drop("_found")
+
+
+def first_in_cache(cache: DataFrame, asked: DataFrame, endings: tuple[str, ...] = ("engine", "onnx", "cache")) -> DataFrame:
+    """(name, ext, payload) of each asked name: the entry whose ending comes first; nulls where there is none."""
+    place = F.array_position(F.array(*map(F.lit, endings)), F.col("ext"))
+    best = cache.withColumn("_p", place).where("_p > 0").groupBy("name").agg(F.min_by(F.struct("ext", "payload"), "_p").alias("_e"))
+    return asked.select("name").distinct().join(best, "name", "left").select("name", "_e.ext", "_e.payload")
+
+
+def entries_removed(cache: DataFrame, entries: DataFrame) -> DataFrame:
+    """Without the entries (name, ext); that one is missing is an error when the result is computed."""
+    missing = entries.select("name", "ext").join(cache, ["name", "ext"], "left_anti")
+    error = F.raise_error(F.concat(F.lit("not in the cache: "), "name", F.lit("."), "ext"))
+    raised = missing.select(*[error.cast(f.dataType).alias(f.name) for f in cache.schema])
+    return cache.join(entries.select("name", "ext").distinct(), ["name", "ext"], "left_anti").select(*cache.columns).unionByName(raised)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvision.operators import image
-from sparkvision.sources import batcher, catalog, files, parts
+from sparkvision.sources import batcher, catalog, files, parts, scan
 
 
 def test_image_files_are_filtered(spark, tmp_path):
@@ -168,3 +168,37 @@ def test_a_failing_model_loses_only_its_rows(spark, tmp_path):
     assert sorted(map(tuple, good.collect())) == [(i, 2 * i) for i in range(100) if i % 7]
     assert sorted((r.x, r.name, r.more, r.error) for r in dead.collect()) == [(i, str(i), [i], "ValueError: seven") for i in range(0, 100, 7)]
     assert counts == {"results": 85, "failures": 15}
+
+
+def test_scan_decides_before_it_reads(spark, tmp_path):
+    sizes = {f"{i:03d}.{'png' if i % 3 else 'txt'}": i * 10 for i in range(50)}
+    for name, n in sizes.items():
+        (tmp_path / name).write_bytes(bytes([n % 256]) * n)
+    (tmp_path / "folder.png").mkdir()
+    own = scan.scan(spark, str(tmp_path), most_bytes=1000)
+    assert {r.name: (r.size, bytes(r.content)) for r in own.collect()} == {k: (n, bytes([n % 256]) * n) for k, n in sizes.items()}
+    some = own.where(F.col("name").endswith(".png") & (F.col("size") >= 300) & ~F.col("name").startswith("04") & (F.length("content") > 0))
+    assert sorted(r.name for r in some.collect()) == [k for k, n in sizes.items() if k.endswith("png") and n >= 300 and not k.startswith("04")]
+    reader = scan.Reader(str(tmp_path), ["name"], 1000)
+    left = list(reader.pushFilters([scan.StringEndsWith(("name",), ".png"), scan.Not(scan.EqualTo(("size",), 10)), scan.EqualTo(("content",), b"")]))
+    assert [f.attribute for f in left] == [("content",)]
+    assert sorted(x for p in reader.partitions() for x, _ in p.files) == [k for k, n in sizes.items() if k.endswith("png") and n != 10]
+    assert scan.scan(spark, str(tmp_path), contents=False).columns == ["name", "size"]
+
+
+def test_tasks_of_equal_bytes():
+    files_ = [(str(i), size) for i, size in enumerate([100, 90, 80, 5, 5, 5, 5, 5, 5])]
+    tasks = scan.balanced(files_, 100, 4)
+    assert sorted(f for t in tasks for f in t) == sorted(files_) and len(tasks) == 3 and max(map(len, tasks)) <= 4
+    assert max(sum(n for _, n in t) for t in tasks) <= 110 and scan.balanced([], 1, 1) == []
+    assert len(scan.balanced([("a", 0)] * 9, 100, 2)) == 5
+
+
+def test_missing_entries_are_errors(spark):
+    cache = spark.createDataFrame([("a", "onnx", "1"), ("a", "engine", "2"), ("b", "cache", "3")], "name string, ext string, payload string")
+    left = files.entries_removed(cache, cache.where("ext = 'engine'"))
+    assert sorted(map(tuple, left.collect())) == [("a", "onnx", "1"), ("b", "cache", "3")]
+    with pytest.raises(Exception, match="not in the cache: a.cache"):
+        files.entries_removed(cache, cache.selectExpr("'a' AS name", "'cache' AS ext")).collect()
+    found = files.first_in_cache(cache, spark.createDataFrame([("a",), ("c",)], "name string"))
+    assert sorted(map(tuple, found.collect())) == [("a", "engine", "2"), ("c", None, None)]

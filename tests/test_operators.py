@@ -346,3 +346,20 @@ def test_patches_of_unequal_images(spark):
             tap = lambda yy, xx: data[i][min(yy, h - 1)][3 * min(xx, w - 1) + k % 3]  # noqa: E731, B023
             top, low = (tap(yy, a) * (1 - (sx - a)) + tap(yy, a + 1) * (sx - a) for yy in (b, b + 1))
             assert v == int(round(top * (1 - (sy - b)) + low * (sy - b), 6) // 1)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ports_of_all_parts(spark, seed):
+    rng = random.Random(seed)
+    rows = [("n", node, f"t{rng.randrange(20)}", rng.choice(["in", "out"])) for node in range(12) for _ in range(3)]
+    io = spark.createDataFrame(rows, "net string, node int, tensor string, dir string")
+    bounds = [(0, 0), (1, 4), (5, 5), (6, 11)]
+    ranges = spark.createDataFrame([("n", k, a, b) for k, (a, b) in enumerate(bounds)], "net string, part int, first int, last int")
+    got = {(r.part, r.tensor, r.port) for r in scheduling.split_ports(io, ranges).collect()}
+    assert got == {(k, r.tensor, r.port) for k, (a, b) in enumerate(bounds) for r in scheduling.subgraph_ports(io, a, b).collect()}
+
+
+def test_networks_without_layers(spark):
+    rows = spark.createDataFrame([("a", 0, True)], "net string, idx int, compat boolean")
+    got = scheduling.islands(rows, spark.createDataFrame([("a",), ("b",)], "net string"))
+    assert sorted(map(tuple, got.collect())) == [("a", 0, 0, 0, 1, True), ("b", 0, 0, -1, 0, False)]
