@@ -105,6 +105,24 @@ def normalised(pixels: DataFrame, w: int, h: int, mean: tuple = MEAN, std: tuple
     return pixels.select("image_id", (c * w * h + F.col("y") * w + F.col("x")).alias("idx"), ((F.col("value") / 255 - pick(mean)) / pick(std)).alias("value"))
 
 
+def current_settings(settings: DataFrame) -> DataFrame:
+    """Of each model's settings (model, version, low, high, mean, std) the last version, by which its images are prepared from
+    then on. Both or none of mean and std, with three values each; else an error."""
+    last = settings.groupBy("model").agg(F.max_by(F.struct("low", "high", "mean", "std"), "version").alias("s")).select("model", "s.*")
+    bad = (F.col("mean").isNull() != F.col("std").isNull()) | F.coalesce((F.size("mean") != 3) | (F.size("std") != 3), F.lit(False))
+    return last.withColumn("mean", F.when(bad, F.raise_error(F.concat(F.lit("mean and std need three values each: "), F.col("model").cast("string"))).cast("array<double>")).otherwise(F.col("mean")))
+
+
+def prepared(pixels: DataFrame, settings: DataFrame, w: int, h: int) -> DataFrame:
+    """(image_id, idx, value): as channels_first or normalised, by the settings of each image's model. pixels: with model;
+    settings: as current_settings gives them, a row a model."""
+    c = 2 - F.col("c")
+    own = pixels.join(settings, "model")
+    ranged = F.col("value") * ((F.col("high") - F.col("low")) / 255) + F.col("low")
+    value = F.when(F.col("mean").isNull(), ranged).otherwise((F.col("value") / 255 - F.get("mean", c)) / F.get("std", c))
+    return own.select("image_id", (c * w * h + F.col("y") * w + F.col("x")).alias("idx"), value.alias("value"))
+
+
 def preprocessed(pixels: DataFrame, images: DataFrame, out_w: int, out_h: int, method: str = "letterbox", mean: tuple | None = None, std: tuple | None = None, low: float = 0.0, high: float = 1.0, swap_rb: bool = True) -> DataFrame:
     """Geometry, resampling and normalisation in one plan."""
     if method not in ("letterbox", "linear"):

@@ -62,17 +62,17 @@ def store_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID = "(SELECT a.v AS preproc, b.v AS graph, c.v AS pagelocked, d.v AS unified FROM (SELECT unnest(['cpu', 'cuda', 'trt']) AS v) a, (SELECT unnest([FALSE, TRUE]) AS v) b, (SELECT unnest([FALSE, TRUE]) AS v) c, (SELECT unnest([FALSE, TRUE]) AS v) d WHERE NOT (c.v AND d.v))"
 
 
-def grid(spark: SparkSession) -> DataFrame:
-    """The 18 settings that can be combined."""
+def grid(devices: DataFrame) -> DataFrame:
+    """The 18 settings that can be combined, for each device."""
     both = F.array(F.lit(False), F.lit(True))
-    own = spark.range(1).select(F.explode(F.array(F.lit("cpu"), F.lit("cuda"), F.lit("trt"))).alias("preproc"))
+    own = devices.select("*", F.explode(F.array(F.lit("cpu"), F.lit("cuda"), F.lit("trt"))).alias("preproc"))
     own = own.withColumn("graph", F.explode(both)).withColumn("pagelocked", F.explode(both)).withColumn("unified", F.explode(both))
     return own.where("NOT (pagelocked AND unified)")
 
 
-@query(f"SELECT preproc, graph, pagelocked, unified FROM {GRID}")
+@query(f"SELECT s_name AS device, preproc, graph, pagelocked, unified FROM supplier, {GRID}")
 def optimisation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid(spark)
+    return grid(views.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("device")))
 
 
 @query("""WITH m AS (SELECT c_nationkey AS device, c_mktsegment AS config, avg(c_acctbal + 2000) AS mean FROM customer GROUP BY 1, 2)
@@ -158,7 +158,7 @@ def engine_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("engine"), scalars.override(own, F.lit(0.1)).alias("conf"), scalars.override(F.when(F.col("s_suppkey") % 5 == 0, "trt"), F.lit("cuda")).alias("preproc"))
 
 
-@query("""SELECT * FROM (VALUES
+@query("""SELECT p_partkey AS model, family, imgsz, input_range, resize, normalised, input_layout, output_layout, built_in_nms FROM part JOIN (SELECT *, row_number() OVER () - 1 AS n FROM (VALUES
 ('yolox', 640, '0:255', 'letterbox', FALSE, 'YOLO', 'EFFICIENT_NMS', TRUE),
 ('yolov3', 640, '0:1', 'letterbox', FALSE, 'YOLO', 'EFFICIENT_NMS', TRUE),
 ('yolov5', 640, '0:1', 'letterbox', FALSE, 'YOLO', 'EFFICIENT_NMS', TRUE),
@@ -177,17 +177,23 @@ def engine_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 ('rtdetrv3', 640, '0:255', 'linear', FALSE, 'RT_DETR_V3', 'RT_DETR_V3', FALSE),
 ('dfine', 640, '0:1', 'linear', TRUE, 'RT_DETR', 'DETR_LBS', FALSE),
 ('rfdetr', 576, '0:1', 'letterbox', TRUE, 'RF_DETR', 'RF_DETR', FALSE)
-) AS t(family, imgsz, input_range, resize, normalised, input_layout, output_layout, built_in_nms)""")
+) AS t(family, imgsz, input_range, resize, normalised, input_layout, output_layout, built_in_nms)) f ON f.n = p_partkey % 18""")
 def model_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.model_families(spark)
+    """The presets of models, each of which is of one family."""
+    names = [r[0] for r in catalog.FAMILIES]
+    models = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("model"), F.get(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names)).cast("int")).alias("family"))
+    return models.join(F.broadcast(catalog.model_families(spark)), "family")  # a row a family
 
 
-@query("""SELECT family, 'classification' AS task, CASE family WHEN 'inception' THEN 299 ELSE 224 END AS imgsz FROM (SELECT unnest([
+@query("""SELECT p_partkey AS model, family, task, imgsz FROM part JOIN (SELECT *, row_number() OVER () - 1 AS n FROM (SELECT family, 'classification' AS task, CASE family WHEN 'inception' THEN 299 ELSE 224 END AS imgsz FROM (SELECT unnest([
 'alexnet', 'convnext', 'densenet', 'efficientnet', 'efficientnetv2', 'googlenet', 'inception', 'maxvit', 'mnasnet', 'mobilenetv2', 'mobilenetv3',
 'regnet', 'resnet', 'resnext', 'wideresnet', 'shufflenetv2', 'squeezenet', 'swintransformer', 'swintransformerv2', 'vgg', 'vit']) AS family)
-UNION ALL SELECT 'depth_anything_v2', 'depth', 518""")
+UNION ALL SELECT 'depth_anything_v2', 'depth', 518)) f ON f.n = p_partkey % 22""")
 def other_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.other_models(spark)
+    """The presets of classifiers and depth estimators."""
+    names = [*catalog.CLASSIFIERS, "depth_anything_v2"]
+    models = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("model"), F.get(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names)).cast("int")).alias("family"))
+    return models.join(F.broadcast(catalog.other_models(spark)), "family")  # a row a family
 
 
 @query("""SELECT s_suppkey AS engine, 'conf=' || CASE WHEN s_suppkey % 2 = 0 THEN '0.3' ELSE '0.1' END || ',nms=0.5' || CASE WHEN s_suppkey % 3 = 0 THEN ',warmup=1' ELSE '' END AS settings,
@@ -211,7 +217,8 @@ def model_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("model_id"), F.col("p_name").alias("model"), catalog.routed(F.col("p_name"), rules).alias("route"))
 
 
-@query()
+@query(f"SELECT o_orderkey AS batch_id, CAST(k AS INT) AS place, round(CAST({catalog.uniform_sql('o_orderkey', 'k', 42)} AS FLOAT)::DOUBLE, 6) AS value FROM (SELECT o_orderkey, unnest(range(48)) AS k FROM orders)")
 def synthetic_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uniform random tensors from a seed, one for each order; random, so there is no SQL for it."""
-    return catalog.synthetic_batches(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id")), (1, 3, 4, 4), seed=42)
+    """Uniform random tensors from a seed, one for each order."""
+    own = catalog.synthetic_batches(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id")), (1, 3, 4, 4), seed=42)
+    return own.select("batch_id", F.posexplode("data").alias("place", "v")).select("batch_id", "place", F.round(F.col("v").cast("double"), 6).alias("value"))

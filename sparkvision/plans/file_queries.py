@@ -110,12 +110,12 @@ def batcher_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("batch_id", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.posexplode("data").alias("place", "value")).withColumn("value", F.col("value").cast("double"))
 
 
-@query("SELECT p_partkey AS input_id, 3 * p_size AS n, p_size % 2 = 0 AS zeros, TRUE AS in_range FROM part")
+@query(f"SELECT p_partkey AS input_id, CAST(k AS INT) AS place, round(CAST(CASE WHEN p_size % 2 = 0 THEN 0 ELSE {catalog.uniform_sql('p_partkey', 'k', 7)} END AS FLOAT)::DOUBLE, 6) AS value FROM (SELECT *, unnest(range(3 * p_size)) AS k FROM part)")
 def random_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each random input the number of values, whether all are 0 (as whole-number types have it), and whether all lie in 0 to 1."""
+    """The values of each random input, all 0 for whole-number types."""
     specs = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("input_id"), F.array(F.lit(3), F.col("p_size")).alias("shape"), F.when(F.col("p_size") % 2 == 0, "int32").otherwise("float32").alias("dtype"))
     own = catalog.random_inputs(specs, seed=7)
-    return own.select("input_id", F.size("data").alias("n"), F.forall("data", lambda v: v == 0).alias("zeros"), F.forall("data", lambda v: (v >= 0) & (v < 1)).alias("in_range"))
+    return own.select("input_id", F.posexplode("data").alias("place", "v")).select("input_id", "place", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
 @query("SELECT o_orderkey AS batch_id, '1,3,4,4' AS shape, 48 AS n, TRUE AS in_range FROM orders")

@@ -141,3 +141,17 @@ def patch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = grid.groupBy("image_id").agg(F.count("*").cast("int").alias("n_tiles"))
     own = views.raw_det(spark, sf_dir).join(number, "image_id").withColumn("tile", (F.col("det_id") % F.col("n_tiles")).cast("int")).join(grid, ["image_id", "tile"])
     return detection.nms(image.tile_detections_moved(own), 0.5)
+
+
+@query(f"""WITH {views.GRID}, settings AS (SELECT s_suppkey % 8 AS model, s_suppkey AS version, CAST(-(s_suppkey % 2) AS DOUBLE) AS low, 1.0::DOUBLE AS high, CASE WHEN s_suppkey % 3 = 0 THEN [0.4, 0.5, s_suppkey / 2000.0::DOUBLE] END AS mean FROM supplier),
+last_ AS (SELECT * FROM settings QUALIFY row_number() OVER (PARTITION BY model ORDER BY version DESC) = 1)
+SELECT image_id, CAST((2 - c) * 24 + y * 4 + x AS INT) AS idx, round(CASE WHEN mean IS NULL THEN value * ((high - low) / 255) + low ELSE (value / 255.0::DOUBLE - mean[3 - c]) / 0.25::DOUBLE END, 6) AS value
+FROM grid JOIN last_ ON model = image_id % 8""")
+def reconfigured_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images prepared by their models' last settings: a range, or mean and deviation of each channel."""
+    third = F.col("s_suppkey") % 3 == 0
+    settings = views.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 8).alias("model"), F.col("s_suppkey").alias("version"), (-(F.col("s_suppkey") % 2)).cast("double").alias("low"), F.lit(1.0).alias("high"),
+        F.when(third, F.array(F.lit(0.4), F.lit(0.5), F.col("s_suppkey") / 2000)).alias("mean"), F.when(third, F.array(F.lit(0.25), F.lit(0.25), F.lit(0.25))).alias("std"))
+    own = views.grid(spark, sf_dir).withColumn("model", F.col("image_id") % 8)
+    out = image.prepared(own, image.current_settings(settings), 4, 6)
+    return out.select("image_id", F.col("idx").cast("int").alias("idx"), F.round("value", 6).alias("value"))

@@ -81,21 +81,38 @@ def routed(name: Column, rules: list[tuple[str, str | None, str]]) -> Column:
     return F.coalesce(*out, F.lit(None).cast("string"))
 
 
+def uniform(ids: DataFrame, key: str, place: Column, seed: int) -> Column:
+    """A number from 0 to below 1 for each id and place, the same one each time: 24 bits of a 32-bit mixing of both with the
+    seed, in whole numbers that any engine can follow."""
+    mask = F.lit((1 << 32) - 1)
+    whole = F.col(key).cast("long") if ids.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(key)
+    x = (F.pmod(whole, F.lit(1 << 31)) * 1103515245 + place.cast("long") * 12345 + (seed % (1 << 31)) * 69069 + 1).bitwiseAND(mask)
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * 73244475).bitwiseAND(mask)
+    return F.shiftright(x.bitwiseXOR(F.shiftright(x, 16)), 8) / float(1 << 24)
+
+
+def uniform_sql(key: str, place: str, seed: int) -> str:
+    """uniform() for DuckDB; key is an integer."""
+    x = f"(({key} % 2147483648 + 2147483648) % 2147483648 * 1103515245 + {place} * 12345 + {seed % (1 << 31) * 69069 + 1} & 4294967295)"
+    for _ in range(2):
+        x = f"(xor({x}, {x} >> 16) * 73244475 & 4294967295)"
+    return f"((xor({x}, {x} >> 16) >> 8) / 16777216.0::DOUBLE)"
+
+
 def synthetic_batches(ids: DataFrame, shape: tuple[int, ...], low: float = 0.0, high: float = 1.0, seed: int = 0) -> DataFrame:
-    """Adds shape and data: uniform values from a hash of the id, the place and the seed, the same ones each time."""
+    """Adds shape and data: uniform values from the id, the place and the seed, the same ones each time."""
     n = prod(shape)
     if n < 1:
         raise ValueError("a batch needs at least one element")
     key = ids.columns[0]
-    unit = lambda i: F.pmod(F.xxhash64(F.col(key), i, F.lit(seed)), F.lit(1 << 24)) / float(1 << 24)
-    data = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (unit(i) * (high - low) + low).cast("float"))
+    data = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (uniform(ids, key, i, seed) * (high - low) + low).cast("float"))
     return ids.select(key, F.array(*map(F.lit, shape)).alias("shape"), data.alias("data"))
 
 
 def random_inputs(specs: DataFrame, seed: int = 0) -> DataFrame:
-    """Adds data to (id, shape, dtype): 0 for whole-number types, else uniform values from 0 to 1 by a hash of the id, the place
-    and the seed; so they are the same until another seed asks for new ones. The id is the first column."""
+    """Adds data to (id, shape, dtype): 0 for whole-number types, else uniform values from 0 to 1 by the id, the place and the
+    seed; so they are the same until another seed asks for new ones. The id is the first column."""
     key, n = specs.columns[0], F.aggregate("shape", F.lit(1).cast("long"), lambda a, d: a * d)
-    unit = lambda i: F.pmod(F.xxhash64(F.col(key), i, F.lit(seed)), F.lit(1 << 24)) / float(1 << 24)
-    value = lambda i: F.when(F.col("dtype").rlike("^u?int"), F.lit(0.0)).otherwise(unit(i)).cast("float")
+    value = lambda i: F.when(F.col("dtype").rlike("^u?int"), F.lit(0.0)).otherwise(uniform(specs, key, i, seed)).cast("float")
     return specs.withColumn("data", F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), value)).otherwise(F.array().cast("array<float>")))

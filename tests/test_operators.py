@@ -363,3 +363,14 @@ def test_networks_without_layers(spark):
     rows = spark.createDataFrame([("a", 0, True)], "net string, idx int, compat boolean")
     got = scheduling.islands(rows, spark.createDataFrame([("a",), ("b",)], "net string"))
     assert sorted(map(tuple, got.collect())) == [("a", 0, 0, 0, 1, True), ("b", 0, 0, -1, 0, False)]
+
+
+def test_settings_of_models(spark):
+    kind = "model int, version int, low double, high double, mean array<double>, std array<double>"
+    rows = [(1, 1, 0.0, 1.0, None, None), (1, 2, -1.0, 1.0, None, None), (2, 1, 0.0, 1.0, [0.5, 0.5, 0.5], [1.0, 1.0, 2.0])]
+    pixels = spark.createDataFrame([(7, 1, 0, 0, 0, 255), (8, 2, 0, 0, 0, 255), (9, 3, 0, 0, 0, 1)], "image_id int, model int, y int, x int, c int, value int")
+    got = image.prepared(pixels, image.current_settings(spark.createDataFrame(rows, kind)), 1, 1)
+    assert sorted(map(tuple, got.collect())) == [(7, 2, 1.0), (8, 2, 0.25)]
+    for mean, std in (([0.5], [1.0]), ([0.5] * 3, None), (None, [1.0] * 3), ([0.5] * 3, [1.0] * 2)):
+        with pytest.raises(Exception, match="three values each: 4"):
+            image.current_settings(spark.createDataFrame([(4, 1, 0.0, 1.0, mean, std)], kind)).collect()
