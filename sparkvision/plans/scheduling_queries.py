@@ -101,12 +101,12 @@ def solved_schedules_one_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Sums over a network's first i layers, and what a change before layer i costs (nothing behind the last).
 FIRST_LAYERS = COSTED + """, s AS (SELECT net, idx + 1 AS i, sum(gpu_ms) OVER w AS gt, sum(gpu_mj) OVER w AS ge, sum(dla_ms) OVER w AS dt, sum(dla_mj) OVER w AS de, sum(CAST(NOT compat AS INT)) OVER w AS bad, size / 1048576.0 AS mb, count(*) OVER (PARTITION BY net) AS n FROM costs WINDOW w AS (PARTITION BY net ORDER BY idx)),
-at AS (SELECT net, i, n, gt, ge, dt, de, bad, CASE WHEN i < n THEN 0.1 + mb * 0.05 ELSE 0 END AS ct, CASE WHEN i < n THEN 0.01 + mb * 0.005 ELSE 0 END AS ce FROM s),
+cuts AS (SELECT net, i, n, gt, ge, dt, de, bad, CASE WHEN i < n THEN 0.1 + mb * 0.05 ELSE 0 END AS ct, CASE WHEN i < n THEN 0.01 + mb * 0.005 ELSE 0 END AS ce FROM s),
 cand AS (SELECT a.net, w.ge AS all_mj,
     CASE WHEN p.g THEN a.gt + b.dt - a.dt + c.gt - b.gt + w.dt - c.dt ELSE a.dt + b.gt - a.gt + c.dt - b.dt + w.gt - c.gt END + a.ct + b.ct + c.ct AS t,
     CASE WHEN p.g THEN a.ge + b.de - a.de + c.ge - b.ge + w.de - c.de ELSE a.de + b.ge - a.ge + c.de - b.de + w.ge - c.ge END + a.ce + b.ce + c.ce AS e,
     CASE WHEN p.g THEN b.bad - a.bad + w.bad - c.bad ELSE a.bad + c.bad - b.bad END AS bad
-  FROM at a JOIN at b ON b.net = a.net AND (b.i > a.i OR a.i = a.n AND b.i = b.n) JOIN at c ON c.net = a.net AND (c.i > b.i OR b.i = b.n AND c.i = c.n) JOIN at w ON w.net = a.net AND w.i = w.n, (SELECT unnest([TRUE, FALSE]) AS g) p),
+  FROM cuts a JOIN cuts b ON b.net = a.net AND (b.i > a.i OR a.i = a.n AND b.i = b.n) JOIN cuts c ON c.net = a.net AND (c.i > b.i OR b.i = b.n AND c.i = c.n) JOIN cuts w ON w.net = a.net AND w.i = w.n, (SELECT unnest([TRUE, FALSE]) AS g) p),
 good AS (SELECT net, min({'t': round(t, 9), 'e': round(e, 9)}) AS b FROM cand WHERE bad = 0 AND e <= 0.8 * all_mj + 1e-9 GROUP BY 1)"""
 
 
