@@ -154,7 +154,7 @@ def failures_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select("event_id", "score", F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("user")).unionByName(dead.select("event_id", F.lit(None).cast("double").alias("score"), "error", F.col("user_id").cast("string").alias("user")))
 
 
-@query("SELECT p_partkey || CASE WHEN p_size % 2 = 0 THEN '.png' ELSE '.txt' END AS name, length(p_name) AS size, p_name AS content FROM part WHERE p_size % 2 = 0 AND length(p_name) > 12")
+@query("SELECT p_partkey || '.png' AS name, length(p_name) * p_size AS size, repeat(p_name, p_size) AS content FROM part WHERE p_size % 2 = 0 AND length(p_name) * p_size > 100")
 def scanned_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each part, of which the larger images are read."""
     at = place(spark, "images")
@@ -170,9 +170,9 @@ def scanned_images(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield b[["name"]]
 
     ending = F.when(F.col("p_size") % 2 == 0, ".png").otherwise(".txt")
-    own = views.table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), ending).alias("name"), F.col("p_name").alias("text"))
+    own = views.table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), ending).alias("name"), F.expr("repeat(p_name, p_size)").alias("text"))
     own.mapInPandas(put, "name string").count()
-    found = scan.scan(spark, at).where(F.col("name").endswith(".png") & (F.col("size") > 12))
+    found = scan.scan(spark, at).where(F.col("name").endswith(".png") & (F.col("size") > 100))
     return found.select("name", "size", F.decode("content", "UTF-8").alias("content"))
 
 

@@ -72,26 +72,26 @@ def scored_or_failed(rows: DataFrame, model: Callable[[Iterator[pd.DataFrame]],
     names = [f.name for f in kind]
     out = T.StructType([*kind, T.StructField(ERROR, T.StringType()), T.StructField(INPUT, rows.schema)])
 
-    def tried(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def tried(batch: pd.DataFrame, good: list[pd.DataFrame], lost: list[tuple[str, dict]]) -> None:
         try:
-            found = list(model(iter([batch])))
+            good.extend(model(iter([batch])))
         except Exception as e:  # noqa: BLE001  whatever the model raises
-            if len(batch) > 1:
-                half = len(batch) // 2
-                yield from tried(batch.iloc[:half])
-                yield from tried(batch.iloc[half:])
+            if len(batch) == 1:
+                lost.append((f"{type(e).__name__}: {e}", batch.iloc[0].to_dict()))
                 return
-            lost = pd.DataFrame({n: [None] for n in names})
-            lost[ERROR] = f"{type(e).__name__}: {e}"
-            lost[INPUT] = [batch.iloc[0].to_dict()]
-            yield lost
-            return
-        for good in found:
-            yield good[names].assign(**{ERROR: None, INPUT: None})
+            half = len(batch) // 2
+            tried(batch.iloc[:half], good, lost)
+            tried(batch.iloc[half:], good, lost)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield from tried(batch)
+            good: list[pd.DataFrame] = []
+            lost: list[tuple[str, dict]] = []
+            tried(batch, good, lost)
+            if good:
+                yield pd.concat(good)[names].assign(**{ERROR: None, INPUT: None})
+            if lost:
+                yield pd.DataFrame({n: [None] * len(lost) for n in names} | {ERROR: [e for e, _ in lost], INPUT: [row for _, row in lost]})
 
     return rows.mapInPandas(run, out)
 
