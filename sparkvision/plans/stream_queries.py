@@ -102,3 +102,19 @@ def stream_of_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames_ = video.read_frames(spark, lambda: lengths, lambda stream, i: f"{stream}:{i}".encode())
     out = frames_.join(own, ["stream_id", "frame_id"])
     return ran(spark, out.select("stream_id", "frame_id", "customer", F.lower(F.hex("data")).alias("data")), "camera")
+
+
+@query("""SELECT 'wide' AS model_id, user_id AS stream_id, event_id AS frame_id, round(value * 2 + 1, 6) AS score FROM events WHERE user_id % 3 < 2
+UNION ALL SELECT 'narrow', user_id, event_id, round(value / 2 - 1, 6) FROM events WHERE user_id % 3 > 0""")
+def stream_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models, each with two steps, over streams of which some go to both."""
+    own = source(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("frame_id"), "value")
+    k = F.col("stream_id") % 3
+    wanted = F.array_compact(F.array(F.when(k < 2, "wide"), F.when(k > 0, "narrow")))
+    models = {"wide": lambda b: b.assign(score=b.value * 2), "narrow": lambda b: b.assign(score=b.value / 2)}
+    second = {"wide": lambda b: b.assign(score=(b.score + 1).round(6))[COLUMNS], "narrow": lambda b: b.assign(score=(b.score - 1).round(6))[COLUMNS]}
+    out = frames.scored_by_model(own.withColumn("model_id", F.explode(wanted)), models, "model_id string, stream_id long, frame_id long, score double", second, whole=True)
+    return ran(spark, out, "side-by-side")
+
+
+COLUMNS = ["model_id", "stream_id", "frame_id", "score"]

@@ -26,6 +26,14 @@ def shipped(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def cleared(spark: SparkSession) -> None:
+    """Deletes all that this application has put into the shared folder: tables that were written and read back, streams'
+    checkpoints. For when no result that reads them is wanted any more."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; only in local mode, where driver and executors are one process, a
     local one of our own if the setting is missing."""

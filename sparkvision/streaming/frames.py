@@ -5,8 +5,9 @@ pressure is maxFilesPerTrigger; a model is a function on batches of rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,6 +43,30 @@ def by_model(frames_: DataFrame, models: DataFrame) -> DataFrame:
     return frames_.join(models, "stream_id")
 
 
+#: A model on a batch of one model's frames, and what turns its raw results into the rows that are wanted.
+Model = Callable[[pd.DataFrame], pd.DataFrame]
+
+
+def scored_by_model(frames_: DataFrame, models: dict[str, Model], schema: str, postprocess: dict[str, Model] | None = None, whole: bool = False) -> DataFrame:
+    """Several models side by side: each frame (with model_id) through its own model, batch by batch, and with `postprocess`
+    through its model's second step. `whole` asks for both steps of every model, so each needs a second one. A frame for a model
+    that isn't there is an error."""
+    second = postprocess or {}
+    lacking = sorted(set(models) - set(second)) if whole else sorted(set(second) - set(models))
+    if lacking:
+        raise ValueError(f"no {'second step' if whole else 'model'} for {', '.join(lacking)}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, own in batch.groupby("model_id", sort=False):
+                if name not in models:
+                    raise ValueError(f"no model {name}")
+                out = models[name](own)
+                yield second[name](out) if name in second else out
+
+    return frames_.where("model_id IS NOT NULL").mapInPandas(run, schema)
+
+
 def last_timing(timings: DataFrame) -> DataFrame:
     """Of each model the (t0, t1, seconds) of its last inference."""
     last = timings.groupBy("model_id").agg(F.max_by(F.struct("t0", "t1"), F.struct("t1", "t0")).alias("s"))

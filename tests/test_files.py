@@ -202,3 +202,12 @@ def test_missing_entries_are_errors(spark):
         files.entries_removed(cache, cache.selectExpr("'a' AS name", "'cache' AS ext")).collect()
     found = files.first_in_cache(cache, spark.createDataFrame([("a",), ("c",)], "name string"))
     assert sorted(map(tuple, found.collect())) == [("a", "engine", "2"), ("c", None, None)]
+
+
+def test_cleared(spark, tmp_path, monkeypatch):
+    from sparkvision.sources import package
+
+    monkeypatch.setattr(package, "shared_dir", lambda spark: str(tmp_path / "app"))
+    spark.range(3).write.parquet(str(tmp_path / "app" / "x"))
+    package.cleared(spark)
+    assert list(tmp_path.iterdir()) == []

@@ -113,3 +113,17 @@ def test_frames_of_cameras(spark, tmp_path):
         own.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
         got = sorted((r.stream_id, r.frame_id, r.data and bytes(r.data).decode()) for r in spark.read.parquet(out).collect())
         assert got == [(s, i, None if i == 3 else f"{s}{i}") for s, k in sorted(n.items()) for i in range(k)]
+
+
+def test_models_side_by_side(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), (None, 3)], "model_id string, x long")
+    models = {"a": lambda b: b.assign(y=b.x * 10), "b": lambda b: b.assign(y=-b.x)}
+    kind = "model_id string, x long, y long"
+    got = frames.scored_by_model(rows, models, kind, {"a": lambda b: b.assign(y=b.y + 1)})
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 11), ("a", 2, 21), ("b", 1, -1)]
+    with pytest.raises(ValueError, match="second step for b"):
+        frames.scored_by_model(rows, models, kind, {"a": lambda b: b}, whole=True)
+    with pytest.raises(ValueError, match="model for c"):
+        frames.scored_by_model(rows, models, kind, {"c": lambda b: b})
+    with pytest.raises(Exception, match="no model a"):
+        frames.scored_by_model(rows, {"b": models["b"]}, kind).collect()
