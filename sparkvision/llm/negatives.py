@@ -329,9 +329,9 @@ def hard_negatives(embeddings: DataFrame, positives: int = 5, k: int = 10, low:
 #: The rows of the query in SQL, where ids are unique and vectors equally long.
 SQL = """
 WITH own AS (
-  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, c -> floor(256 * CAST(c AS DOUBLE))) AS x
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(c AS DOUBLE)) FOR c IN embedding] AS x
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NOT NULL AND isfinite(c))) = len(embedding)
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NOT NULL AND isfinite(c)]) = len(embedding)
 ),
 scores AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
