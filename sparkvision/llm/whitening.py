@@ -79,7 +79,9 @@ def whitened(embeddings: DataFrame, n_components: int = COMPONENTS, id_col: str
     sums = total({"n": F.count("*")} | {f"s{i}": F.sum(F.col("x")[i].cast("decimal(20,0)")) for i in range(size)}, fit)
     n, s = sums["n"], [int(sums[f"s{i}"]) for i in range(size)]
     mean = [x // n + (x % n) / n for x in s]
-    centred = fit.select(*[(F.col("x")[i] - F.lit(mean[i])).alias(f"c{i}") for i in range(size)])
+    # never null, so that the sums need no test for it
+    entry = lambda i: F.coalesce(F.get("x", F.lit(i)), F.lit(0).cast("long")).cast("double")
+    centred = fit.select(*[(entry(i) - F.lit(mean[i])).alias(f"c{i}") for i in range(size)])
     value, vector = components(covariance(centred, size, n))
     trace, k = float(value.sum()), min(n_components, size)
 
