@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .scheduling import CHANGE_MJ, CHANGE_MJ_MB, CHANGE_MS, CHANGE_MS_MB, MIB, solved_one_change
 
-BLOCK, FAN = 64, 8
+BLOCK, FAN = 1024, 8
 #: Pairs of schedules that a task joins at once.
 PAIRS = 1 << 20
 SLACK = 1e-9
