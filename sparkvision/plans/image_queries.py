@@ -122,14 +122,12 @@ def image_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {views.RAW_DET}, {TILES},
 found AS (SELECT t.image_id, CAST(tile * 10000 + det_id AS INT) AS det_id, CAST(trunc((x1 + x0) * 1.0) AS DOUBLE) AS x1, CAST(trunc((y1 + y0) * 1.0) AS DOUBLE) AS y1, CAST(trunc((x2 + x0) * 1.0) AS DOUBLE) AS x2, CAST(trunc((y2 + y0) * 1.0) AS DOUBLE) AS y2, score, class_id
-  FROM raw_det r JOIN (SELECT *, count(*) OVER (PARTITION BY image_id) AS n FROM tiles) t ON t.image_id = r.image_id AND tile = det_id % n WHERE score >= 0.6), {nms_sql("image_id, class_id", "found")}
+  FROM raw_det r JOIN tiles t ON t.image_id = r.image_id WHERE score >= 0.6), {nms_sql("image_id, class_id", "found")}
 SELECT image_id, det_id, class_id, score, x1, y1, x2, y2 FROM nms""")
 def tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes found in one tile each, moved to the image and suppressed together."""
+    """Boxes found in every tile of their image, moved to the image and suppressed together."""
     tiles = image.tiles(views.images(spark, sf_dir)).withColumns({"sx": F.lit(1.0), "sy": F.lit(1.0)})
-    number = tiles.groupBy("image_id").agg(F.count("*").cast("int").alias("n_tiles"))
-    own = views.raw_det(spark, sf_dir).where("score >= 0.6").join(number, "image_id").withColumn("tile", F.col("det_id") % F.col("n_tiles")).join(tiles, ["image_id", "tile"])
-    own = own.withColumn("det_id", (F.col("tile") * 10000 + F.col("det_id")).cast("int"))
+    own = views.raw_det(spark, sf_dir).where("score >= 0.6").join(tiles, "image_id").withColumn("det_id", (F.col("tile") * 10000 + F.col("det_id")).cast("int"))
     return detection.nms(image.tile_detections_moved(own), 0.5)
 
 
