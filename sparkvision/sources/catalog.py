@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import prod
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Family, default size, input range, resize, mean/std normalisation, input and output layout, built-in suppression.
 FAMILIES = (
@@ -81,15 +85,55 @@ def routed(name: Column, rules: list[tuple[str, str | None, str]]) -> Column:
     return F.coalesce(*out, F.lit(None).cast("string"))
 
 
-def uniform(ids: DataFrame, key: str, place: Column, seed: int) -> Column:
-    """A number from 0 to below 1 for each id and place, the same one each time: 24 bits of a 32-bit mixing of both with the
-    seed, in whole numbers that any engine can follow."""
-    mask = F.lit((1 << 32) - 1)
-    whole = F.col(key).cast("long") if ids.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(key)
-    x = (F.pmod(whole, F.lit(1 << 31)) * 1103515245 + place.cast("long") * 12345 + (seed % (1 << 31)) * 69069 + 1).bitwiseAND(mask)
+MASK = np.uint64((1 << 32) - 1)
+#: Elements of the tensors that a task makes at once; a single tensor may have more.
+ELEMENTS = 1 << 20
+
+
+def uniform(keys: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
+    """A number from 0 to below 1 for each key (0 to 2^31 - 1) and place, the same one each time: 24 bits of a 32-bit mixing of
+    both with the seed, in whole numbers that any engine can follow."""
+    u = np.uint64
+    x = (keys.astype(u) * u(1103515245) + places.astype(u) * u(12345) + u(seed % (1 << 31) * 69069 + 1)) & MASK
     for _ in range(2):
-        x = (x.bitwiseXOR(F.shiftright(x, 16)) * 73244475).bitwiseAND(mask)
-    return F.shiftright(x.bitwiseXOR(F.shiftright(x, 16)), 8) / float(1 << 24)
+        x = ((x ^ (x >> u(16))) * u(73244475)) & MASK
+    return ((x ^ (x >> u(16))) >> u(8)) / float(1 << 24)
+
+
+def whole(ids: DataFrame, key: str) -> Column:
+    """The key that uniform() takes of an id."""
+    own = F.col(key).cast("long") if ids.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(key)
+    return F.pmod(own, F.lit(1 << 31))
+
+
+def filled(rows: DataFrame, low: float = 0.0, high: float = 1.0, seed: int = 0) -> DataFrame:
+    """rows without their last three columns _key, _n and _zero, with data: _n uniform values by _key and place, or zeros. Rows
+    are few bytes and tensors many, so rows are dealt out anew before they are filled. A row with a null key has null values, one
+    with a null number none."""
+    kind = T.StructType([*rows.schema.fields[:-3], T.StructField("data", T.ArrayType(T.FloatType()))])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, n, zero = b.columns[-3:]
+            null = ~key.is_valid().to_numpy(zero_copy_only=False)
+            key, size, zero = (c.fill_null(0).to_numpy() for c in (key, n, zero.cast(pa.int8())))
+            size = np.maximum(size, 0)
+            end = np.cumsum(size)
+            at = 0
+            while at < len(size):
+                to = max(at + 1, int(np.searchsorted(end, end[at] - size[at] + ELEMENTS, side="right")))
+                own, first = size[at:to], end[at:to] - size[at:to]
+                place = np.arange(own.sum()) - np.repeat(first - first[0], own)
+                x = (uniform(np.repeat(key[at:to], own), place, seed) * (high - low) + low).astype(np.float32)
+                zeros = zero[at:to] > 0
+                x[np.repeat(zeros, own)] = 0
+                values = pa.array(x, mask=np.repeat(null[at:to] & ~zeros, own)) if null[at:to].any() else pa.array(x)
+                data = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(own)), pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([*b.slice(at, to - at).columns[:-3], data], names=kind.names)
+                at = to
+
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(parts).mapInArrow(fill, kind)
 
 
 def uniform_sql(key: str, place: str, seed: int) -> str:
@@ -106,13 +150,13 @@ def synthetic_batches(ids: DataFrame, shape: tuple[int, ...], low: float = 0.0,
     if n < 1:
         raise ValueError("a batch needs at least one element")
     key = ids.columns[0]
-    data = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (uniform(ids, key, i, seed) * (high - low) + low).cast("float"))
-    return ids.select(key, F.array(*map(F.lit, shape)).alias("shape"), data.alias("data"))
+    rows = ids.select(key, F.array(*map(F.lit, shape)).alias("shape"), whole(ids, key).alias("_key"), F.lit(n).cast("long").alias("_n"), F.lit(False).alias("_zero"))
+    return filled(rows, low, high, seed)
 
 
 def random_inputs(specs: DataFrame, seed: int = 0) -> DataFrame:
     """Adds data to (id, shape, dtype): 0 for whole-number types, else uniform values from 0 to 1 by the id, the place and the
     seed; so they are the same until another seed asks for new ones. The id is the first column."""
     key, n = specs.columns[0], F.aggregate("shape", F.lit(1).cast("long"), lambda a, d: a * d)
-    value = lambda i: F.when(F.col("dtype").rlike("^u?int"), F.lit(0.0)).otherwise(uniform(specs, key, i, seed)).cast("float")
-    return specs.withColumn("data", F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), value)).otherwise(F.array().cast("array<float>")))
+    zero = F.coalesce(F.col("dtype").rlike("^u?int"), F.lit(False))
+    return filled(specs.select("*", whole(specs, key).alias("_key"), n.alias("_n"), zero.alias("_zero")), seed=seed)
