@@ -2,8 +2,8 @@
 
 A segment is a run of layers, known by what its schedules can do: for the processors of its first and last layer and the
 number of changes inside, the schedules of which no other has both less time and less energy. Two neighbours join into one,
-and the joining is associative, so segments of BLOCK layers are made at once, each by itself, and FAN neighbours join in each
-round: log(layers) rounds instead of one task that walks a whole network.
+and the joining is associative, so segments of BLOCK layers are made at once, each by itself, from small ones in which all places
+of changes are tried, and FAN neighbours join in each round: log(layers) rounds instead of one task that walks a whole network.
 
 What cannot be part of an answer is dropped early: schedules that leave the rest of the network, at its least energy, no
 room in the budget, and those whose time lies above the best schedule with one change even if the rest costs no more than in
@@ -12,6 +12,10 @@ the Lagrangian relaxation of the budget, whose multiplier is where layers moved
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +26,8 @@ from .scheduling import CHANGE_MJ, CHANGE_MJ_MB, CHANGE_MS, CHANGE_MS_MB, MIB, s
 BLOCK, FAN = 1024, 8
 #: Pairs of schedules that a task joins at once.
 PAIRS = 1 << 20
+#: Places of changes that are tried one by one in the smallest segments, of which a segment has as many layers as this allows.
+TRIED = 4500
 SLACK = 1e-9
 SEGMENT = "net string, seg long, start long, end long, first string, last string, changes int, ms double, mj double, cuts array<int>, mb double, least double, relaxed double, budget double, bound double, multiplier double, all_least double, all_relaxed double"
 FACTS = ("net", "budget", "bound", "multiplier", "all_least", "all_relaxed")
@@ -88,6 +94,11 @@ def joined(a: Segment, b: Segment, net, most: int) -> Segment:
                 cuts[:, k : k + changed] = b.start
                 cuts[:, k + changed : k + changed + m] = c2[y, :m]
                 found.setdefault((p, s, k + m + changed), []).append(front(t[x, y], e[x, y], cuts))
+    return Segment(a.start, b.end, b.mb, least, relaxed_, best_of(found))
+
+
+def best_of(found: dict[tuple, list]) -> dict:
+    """The fronts of what was found, without schedules that one of fewer changes equals or beats."""
     fronts = {}
     for key in sorted(found, key=lambda f: f[2]):  # fewer changes leave more to the rest, so they rule out more of them
         own = front(*map(np.concatenate, zip(*found[key], strict=True)))
@@ -99,7 +110,49 @@ def joined(a: Segment, b: Segment, net, most: int) -> Segment:
                 own = tuple(x[~worse] for x in own)
         if len(own[0]):
             fronts[key] = own
-    return Segment(a.start, b.end, b.mb, least, relaxed_, fronts)
+    return fronts
+
+
+def leaf_size(most: int) -> int:
+    """Layers of the smallest segments."""
+    n = 2
+    while n < BLOCK and comb(n, most) <= TRIED:
+        n += 1
+    return n
+
+
+@cache
+def places(n: int, changes: int) -> np.ndarray:
+    """All ways to cut n layers so many times."""
+    return np.array(list(combinations(range(1, n), changes)), np.int64).reshape(comb(n - 1, changes), changes)
+
+
+def leaf(rows: pd.DataFrame, net, most: int) -> Segment:
+    """A few layers as a segment: all places of the changes at once, from sums over the first layers."""
+    n, idx, mb = len(rows), rows.idx.to_numpy(), rows.mb.to_numpy()
+    least, relaxed_ = float(rows.least.sum()), float(rows.relaxed.sum())
+    rest = net.all_least - least, net.all_relaxed - relaxed_
+    on_dla = (rows["compat"].astype(bool) & rows.dla_ms.notna() & rows.dla_mj.notna()).to_numpy()
+    first_layers = lambda x: np.append(0.0, np.cumsum(x))
+    none = np.zeros(n)
+    sums = {"G": [first_layers(x) for x in (rows.gpu_ms, rows.gpu_mj, none)], "D": [first_layers(x) for x in (np.where(on_dla, rows.dla_ms, 0), np.where(on_dla, rows.dla_mj, 0), ~on_dla)]}
+    found: dict[tuple, list] = {}
+    for k in range(min(most, n - 1) + 1):
+        at = places(n, k)
+        edges = np.hstack([np.zeros((len(at), 1), np.int64), at, np.full((len(at), 1), n)])
+        moved = mb[at - 1].sum(1)
+        for proc in "GD":
+            t, e, bad = k * CHANGE_MS + moved * CHANGE_MS_MB, k * CHANGE_MJ + moved * CHANGE_MJ_MB, np.zeros(len(at))
+            own = proc
+            for j in range(k + 1):
+                own = proc if j % 2 == 0 else "DG"[proc == "D"]
+                t, e, bad = (x + s[edges[:, j + 1]] - s[edges[:, j]] for x, s in zip((t, e, bad), sums[own], strict=True))
+            some = np.flatnonzero((bad == 0) & possible(t, e, *rest, net))
+            if len(some):
+                cuts = np.full((len(some), most), -1, np.int32)
+                cuts[:, :k] = idx[at[some]]
+                found[proc, own, k] = [front(t[some], e[some], cuts)]
+    return Segment(int(idx[0]), int(idx[-1]), float(mb[-1]), least, relaxed_, best_of(found))
 
 
 def rows_of(s: Segment | None, net, seg: int) -> pd.DataFrame:
@@ -114,7 +167,7 @@ def solved_in_rounds(layers: DataFrame, energy_share: float = 0.8, max_transitio
     """Per network the fastest schedule with at most max_transitions changes of processor whose energy is at most energy_share
     of all-GPU; all-GPU if there is none. layers: net, idx (0, 1, ...), gpu_ms, gpu_mj, dla_ms, dla_mj, size, compat. Gives
     net, first_proc, cuts (places of the layers before which the processor changes), time_ms, energy_mj, transitions."""
-    most = max_transitions
+    most, size = max_transitions, leaf_size(max_transitions)
     bound = solved_one_change(layers, energy_share) if most else layers.groupBy("net").agg(F.lit(None).cast("double").alias("time_ms"), F.lit(None).cast("double").alias("energy_mj"))
     own = relaxed(layers.select("net", F.col("idx").cast("long").alias("idx"), "gpu_ms", "gpu_mj", "dla_ms", "dla_mj", (F.col("size") / MIB).alias("mb"), F.coalesce("compat", F.lit(False)).alias("compat")), energy_share)
     # all-GPU stands there where no schedule fits the budget: then time bounds nothing
@@ -122,10 +175,9 @@ def solved_in_rounds(layers: DataFrame, energy_share: float = 0.8, max_transitio
     own = own.drop("time_ms", "energy_mj")
 
     def start(pdf: pd.DataFrame) -> pd.DataFrame:
-        net, done = pdf.iloc[0], None
-        for r in pdf.sort_values("idx").itertuples():
-            kinds = [("G", r.gpu_ms, r.gpu_mj)] + [("D", r.dla_ms, r.dla_mj)] * bool(r.compat and pd.notna(r.dla_ms) and pd.notna(r.dla_mj))
-            one = Segment(r.idx, r.idx, r.mb, r.least, r.relaxed, {(p, p, 0): (np.array([t]), np.array([e]), np.full((1, most), -1, np.int32)) for p, t, e in kinds})
+        net, done, own = pdf.iloc[0], None, pdf.sort_values("idx")
+        for i in range(0, len(own), size):
+            one = leaf(own.iloc[i : i + size], net, most)
             done = joined(done, one, net, most) if done else one
         return rows_of(done, net, int(net.idx) // block)
 
