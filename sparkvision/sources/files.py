@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,34 +65,88 @@ def scored(rows: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[p
 ERROR, INPUT = "error", "input"
 
 
+#: Different values that a column may have in a batch so that failures are guessed from it.
+FEW = 32
+#: Rows that a model gets at once at most, and of a task's first ones.
+PORTION, FIRST = 1000, 64
+
+
+class Guess:
+    """Which rows of a batch are likely to fail: those with a value with which all rows before failed, in a column of few
+    values. It decides in what portions rows are tried, never what comes of them."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.failed, self.passed = names, {n: set() for n in names}, {n: set() for n in names}
+
+    def likely(self, batch: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(len(batch), bool)
+        for n in self.names:
+            if sure := self.failed[n] - self.passed[n]:
+                out |= batch[n].isin(sure).to_numpy(bool)
+        return out
+
+    def learn(self, batch: pd.DataFrame, bad: np.ndarray) -> None:
+        for n in list(self.names):
+            try:
+                values = pd.unique(batch[n].dropna())
+            except TypeError:  # arrays and the like
+                values = range(FEW + 1)
+            if len(values) > FEW:
+                self.names.remove(n)
+                continue
+            self.failed[n] |= set(batch[n][bad].dropna())
+            self.passed[n] |= set(batch[n][~bad].dropna())
+
+
 def scored_or_failed(rows: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """As scored, but a row on which the model raises costs nothing else: its result is null, `error` holds the exception and
-    `input` the row. A batch that fails is halved until the failing rows stand alone. The model must give each row's result
+    `input` the row. A batch that fails is halved until the failing rows stand alone; rows that look like those that failed
+    before are tried alone at once, so that most calls are for rows that fail. The model must give each row's result
     from that row, as it may see a row more than once."""
     kind = T.StructType.fromDDL(schema)
-    names = [f.name for f in kind]
+    names, columns = [f.name for f in kind], rows.columns
     out = T.StructType([*kind, T.StructField(ERROR, T.StringType()), T.StructField(INPUT, rows.schema)])
 
-    def tried(batch: pd.DataFrame, good: list[pd.DataFrame], lost: list[tuple[str, dict]]) -> None:
+    def tried(batch: pd.DataFrame, good: list[pd.DataFrame], lost: list[tuple[str, int]], at: int) -> None:
         try:
-            good.extend(model(iter([batch])))
+            good.extend(list(model(iter([batch]))))
         except Exception as e:  # noqa: BLE001  whatever the model raises
             if len(batch) == 1:
-                lost.append((f"{type(e).__name__}: {e}", batch.iloc[0].to_dict()))
+                lost.append((f"{type(e).__name__}: {e}", at))
                 return
             half = len(batch) // 2
-            tried(batch.iloc[:half], good, lost)
-            tried(batch.iloc[half:], good, lost)
+            tried(batch.iloc[:half], good, lost, at)
+            tried(batch.iloc[half:], good, lost, at + half)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def portions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = FIRST  # from the first few rows the others are guessed
         for batch in batches:
+            at = 0
+            while at < len(batch):
+                yield batch.iloc[at : at + size].reset_index(drop=True)
+                at, size = at + size, PORTION
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        guess = Guess(columns)
+        for batch in portions(batches):
             good: list[pd.DataFrame] = []
-            lost: list[tuple[str, dict]] = []
-            tried(batch, good, lost)
+            lost: list[tuple[str, int]] = []
+            alone = guess.likely(batch)
+            order = np.argsort(alone, kind="stable")
+            own = batch.iloc[order].reset_index(drop=True) if alone.any() else batch
+            first = len(batch) - int(alone.sum())
+            if first:
+                tried(own.iloc[:first], good, lost, 0)
+            for i in range(first, len(batch)):
+                tried(own.iloc[i : i + 1], good, lost, i)
+            bad = np.zeros(len(batch), bool)
+            bad[[i for _, i in lost]] = True
+            if lost or any(guess.failed.values()):
+                guess.learn(own, bad)
             if good:
                 yield pd.concat(good)[names].assign(**{ERROR: None, INPUT: None})
             if lost:
-                yield pd.DataFrame({n: [None] * len(lost) for n in names} | {ERROR: [e for e, _ in lost], INPUT: [row for _, row in lost]})
+                yield pd.DataFrame({n: [None] * len(lost) for n in names} | {ERROR: [e for e, _ in lost], INPUT: own.iloc[[i for _, i in lost]].to_dict("records")})
 
     return rows.mapInPandas(run, out)
 
