@@ -165,12 +165,26 @@ def tile_detections_moved(dets: DataFrame) -> DataFrame:
 def patch_grid(images: DataFrame, size_w: int = 640, size_h: int = 640, overlap_x: float = 0.2, overlap_y: float = 0.2) -> DataFrame:
     """(image_id, w, h, nw, nh, tile, x0, y0, tw, th): patches of one size that cover the image resized to (nw, nh), the least
     size not below its own (or a patch's) that a whole number of steps fills. Tiles are numbered by rows."""
-    step = {"w": max(1, int(size_w * (1 - overlap_x))), "h": max(1, int(size_h * (1 - overlap_y)))}
-    steps = {a: F.ceil(F.greatest(F.col(a) - size, F.lit(0)) / step[a]).cast("int") for a, size in (("w", size_w), ("h", size_h))}
-    own = images.select("image_id", "w", "h", steps["w"].alias("_nx"), steps["h"].alias("_ny"))
-    own = own.withColumns({"nw": size_w + F.col("_nx") * step["w"], "nh": size_h + F.col("_ny") * step["h"]})
-    own = own.withColumn("_ty", F.explode(F.sequence(F.lit(0), F.col("_ny")))).withColumn("_tx", F.explode(F.sequence(F.lit(0), F.col("_nx"))))
-    return own.select("image_id", "w", "h", "nw", "nh", (F.col("_ty") * (F.col("_nx") + 1) + F.col("_tx")).alias("tile"), (F.col("_tx") * step["w"]).alias("x0"), (F.col("_ty") * step["h"]).alias("y0"), F.lit(size_w).alias("tw"), F.lit(size_h).alias("th"))
+    own = patch_steps(images.select("image_id", "w", "h"), size_w, size_h, overlap_x, overlap_y)
+    own = own.withColumn("tile", F.explode(F.sequence(F.lit(0), (F.col("_nx") + 1) * (F.col("_ny") + 1) - 1)))
+    return patch_placed(own, size_w, size_h, overlap_x, overlap_y).select("image_id", "w", "h", "nw", "nh", "tile", "x0", "y0", F.lit(size_w).alias("tw"), F.lit(size_h).alias("th"))
+
+
+def patch_step(size: int, overlap: float) -> int:
+    return max(1, int(size * (1 - overlap)))
+
+
+def patch_steps(images: DataFrame, size_w: int, size_h: int, overlap_x: float, overlap_y: float) -> DataFrame:
+    """Adds to images (w, h) how many steps patches take (_nx, _ny), and the size that these fill (nw, nh)."""
+    sides = {"x": ("w", size_w, patch_step(size_w, overlap_x)), "y": ("h", size_h, patch_step(size_h, overlap_y))}
+    own = images.withColumns({f"_n{k}": F.ceil(F.greatest(F.col(a) - size, F.lit(0)) / step).cast("int") for k, (a, size, step) in sides.items()})
+    return own.withColumns({f"n{a}": size + F.col(f"_n{k}") * step for k, (a, size, step) in sides.items()})
+
+
+def patch_placed(rows: DataFrame, size_w: int, size_h: int, overlap_x: float, overlap_y: float) -> DataFrame:
+    """Adds x0 and y0 of a patch by its number, tile, to rows with the image's steps: no patch meets another."""
+    across, down = F.pmod("tile", F.col("_nx") + 1), F.floor(F.col("tile") / (F.col("_nx") + 1)).cast("int")
+    return rows.withColumns({"x0": across * patch_step(size_w, overlap_x), "y0": down * patch_step(size_h, overlap_y)})
 
 
 #: Rows of pixels in a cell of the grid by which rows meet the tiles that hold them.

@@ -138,9 +138,10 @@ found AS (SELECT image_id, det_id, trunc((x1 + tile % (nx + 1) * 512) * sx) AS x
 SELECT image_id, det_id, class_id, score, x1, y1, x2, y2 FROM nms""")
 def patch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes found in one patch each, moved and scaled from the resized image back to the image, and suppressed together."""
-    grid = image.patch_grid(views.images(spark, sf_dir), 640, 480, 0.2, 0.25).withColumns({"sx": F.col("w") / F.col("nw"), "sy": F.col("h") / F.col("nh")})
-    number = grid.groupBy("image_id").agg(F.count("*").cast("int").alias("n_tiles"))
-    own = views.raw_det(spark, sf_dir).join(number, "image_id").withColumn("tile", (F.col("det_id") % F.col("n_tiles")).cast("int")).join(grid, ["image_id", "tile"])
+    shape = (640, 480, 0.2, 0.25)
+    own = image.patch_steps(views.raw_det(spark, sf_dir).join(views.images(spark, sf_dir), "image_id"), *shape)
+    own = image.patch_placed(own.withColumn("tile", F.col("det_id") % ((F.col("_nx") + 1) * (F.col("_ny") + 1))), *shape)
+    own = own.withColumns({"sx": F.col("w") / F.col("nw"), "sy": F.col("h") / F.col("nh")})
     return detection.nms(image.tile_detections_moved(own), 0.5)
 
 

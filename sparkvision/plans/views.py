@@ -54,9 +54,12 @@ IMAGES = "images AS (SELECT o_orderkey AS image_id, CAST(320 + o_custkey * 37 %
 
 def raw_det(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, det_id, pos, x1, y1, x2, y2, score, class_id): boxes in network coordinates, eight orders to an image."""
-    own = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")])
+    columns = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    # dealt out by image once, for all that follows
+    own = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 8").alias("image_id"), "l_orderkey", "l_linenumber", *columns).repartition("image_id")
+    own = own.groupBy("image_id", "l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in columns])
     own = own.selectExpr(
-        "l_orderkey div 8 AS image_id",
+        "image_id",
         "CAST(l_orderkey % 8 * 100 + l_linenumber AS INT) AS det_id",
         "CAST(l_partkey % 600 AS DOUBLE) AS x1",
         "CAST(l_suppkey * 7 % 600 AS DOUBLE) AS y1",
