@@ -15,12 +15,15 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(remainder(id_col, folds) == fold, F.lit(True))
 
 
-def label_sample(labels: DataFrame, label: str, id_col: str, folds: int, fold: int, limit: int) -> DataFrame:
-    """(id, label) of at most `limit` labelled ids outside the held-out fold, the same ones each time. An id with several
-    labels has their greatest."""
+def labelled_ids(labels: DataFrame, label: str, id_col: str, folds: int, fold: int) -> DataFrame:
+    """(sample_id, label) of all labelled ids outside the held-out fold. An id with several labels has their greatest."""
     own = labels.select(F.col(id_col).alias("sample_id"), F.col(label).cast("int").alias("label")).where("sample_id IS NOT NULL AND label IS NOT NULL")
-    own = own.where(~held_out("sample_id", folds, fold)).groupBy("sample_id").agg(F.max("label").alias("label"))
-    return own.orderBy(F.xxhash64("sample_id"), "sample_id").limit(limit)
+    return own.where(~held_out("sample_id", folds, fold)).groupBy("sample_id").agg(F.max("label").alias("label"))
+
+
+def label_sample(labels: DataFrame, label: str, id_col: str, folds: int, fold: int, limit: int) -> DataFrame:
+    """At most `limit` of the labelled ids, the same ones each time."""
+    return labelled_ids(labels, label, id_col, folds, fold).orderBy(F.xxhash64("sample_id"), "sample_id").limit(limit)
 
 
 def in_order(id_col: str, *content: str) -> list[Column]:

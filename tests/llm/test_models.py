@@ -230,3 +230,27 @@ def test_additive_score_by_table():
             f += t[at[i] * quality_model.COARSE // len(m.tables[i]), at[j] * quality_model.COARSE // len(m.tables[j])]
         assert abs(score - 1 / (1 + np.exp(-f))) < 1e-9
     assert m.scores(x)[5] == m.scores(x)[6]
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """A word of three toxic rows, wherever they stand among 8000 labelled ones, and every row's count; in several tasks."""
+    rng = random.Random(9)
+    rows = [(i, f"w{i} x{rng.randrange(50)} y{rng.randrange(50)}" + (" scoundrel" if i % 4 == 0 else ""), "en", "s", 0) for i in range(8000)]
+    rare = [i for i in range(8000) if i % 4 == 0 and fold(i, 5) != 0]
+    words = {i: f"unique{k // 6}q" for k, i in enumerate(rare)}
+    rows = [(i, f"{t} {words.get(i, '')}", *rest) for i, t, *rest in rows]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(8000)], "doc_id int, toxic int")
+    begun = []
+    begin = toxicity.Model.begin
+    monkeypatch.setattr(toxicity.Model, "begin", lambda self, *a: (begun.append(a), begin(self, *a)))
+    monkeypatch.setattr(toxicity, "SHARD", 2000)
+    got = {r.doc_id: r for r in toxicity.scored(spark.createDataFrame(rows, SCHEMA), labels).collect()}
+    place, _, number, bad, toxic, texts = begun[0]
+    n = sum(fold(i, 5) != 0 for i in range(8000))
+    assert abs(texts - n * (1 - toxicity.CHECKED)) < 0.05 * n
+    whole = {p: (int(a), int(b)) for p, a, b in zip(place.tolist(), number, bad, strict=True)}
+    at = int(toxicity.places([b"scoundrel"])[0][0, 0])
+    assert whole[at] == (toxic, toxic)
+    known = sum(int(toxicity.places([w.encode()])[0][0, 0]) in whole for w in set(words.values()))
+    assert known > 0.8 * len(set(words.values()))
+    assert np.mean([got[i].predicted == (i % 4 == 0) for i in range(8000) if fold(i, 5) == 0]) > 0.99
