@@ -125,7 +125,7 @@ fused AS (SELECT net, layer, fused, n FROM (SELECT *, row_number() OVER (PARTITI
 
 
 def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("net").orderBy("idx")
+    w = Window.partitionBy("net", F.expr("idx div 10")).orderBy("idx")  # names that are joined stand in one ten
     own = views.layers(spark, sf_dir).withColumns({"b": F.lead("name").over(w), "d": F.lead("name", 2).over(w)})
     k = F.col("idx") % 10
     name = F.when(k == 0, F.concat("name", F.lit(" + "), "b")).when(k == 2, F.concat(F.lit("{ForeignNode["), "name", F.lit("..."), "d", F.lit("]}"))).when(k == 5, F.concat(F.lit("{ForeignNode["), "name", F.lit("]}"))).when(k == 6, F.concat("name", F.lit("_myl3_4"))).when(k == 7, F.concat(F.lit("x"), "name")).otherwise(F.concat(F.lit("other"), F.col("idx").cast("string")))

@@ -101,10 +101,19 @@ SLICES = """slices AS (SELECT event_id AS slice_id, 'layer' || CAST(user_id % 10
 power AS (SELECT epoch_us(ts) / 1e6 AS ts, value * 100 AS mw FROM events WHERE event_type = 'error')"""
 
 
+#: Keys in a block of layers.
+KEYS = 4096
+
+
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(net, idx, name, type, size, compat): the layers of 25 networks, one per brand, in key order."""
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("net"), (F.row_number().over(w) - 1).alias("idx"), F.concat(F.col("p_name"), F.lit("_"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("type"), F.col("p_size").cast("long").alias("size"), (F.col("p_size") % 4 > 0).alias("compat"), F.col("p_retailprice").alias("price"), F.col("p_partkey").alias("key"))
+    """(net, idx, name, type, size, compat): the layers of 25 networks, one per brand, in key order. A layer's place is that
+    in its block of keys and the number of layers in the blocks before, so no task holds a network."""
+    own = table(spark, sf_dir, "part").withColumn("_block", F.floor(F.col("p_partkey") / KEYS))
+    before = F.sum("_n").over(Window.partitionBy("p_brand").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = own.groupBy("p_brand", "_block").agg(F.count("*").alias("_n")).select(F.col("p_brand").alias("_brand"), F.col("_block").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    own = own.withColumn("_place", F.row_number().over(Window.partitionBy("p_brand", "_block").orderBy("p_partkey")))
+    own = own.join(blocks, F.col("p_brand").eqNullSafe(F.col("_brand")) & F.col("_block").eqNullSafe(F.col("_at")))
+    return own.select(F.col("p_brand").alias("net"), (F.col("_before") + F.col("_place") - 1).cast("int").alias("idx"), F.concat(F.col("p_name"), F.lit("_"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("type"), F.col("p_size").cast("long").alias("size"), (F.col("p_size") % 4 > 0).alias("compat"), F.col("p_retailprice").alias("price"), F.col("p_partkey").alias("key"))
 
 
 LAYERS = "layers AS (SELECT p_brand AS net, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS idx, p_name || '_' || CAST(p_partkey AS VARCHAR) AS name, p_type AS type, CAST(p_size AS BIGINT) AS size, p_size % 4 > 0 AS compat, p_retailprice AS price, p_partkey AS key FROM part)"
