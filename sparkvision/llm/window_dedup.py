@@ -27,9 +27,12 @@ OTHER = 0x8BB84B93962EACC9
 
 
 def later(doc, mark, start, units, some, first):
-    """Of a chunk's equal stretches all but the earliest are removed whole."""
-    go = some[(doc[some] != doc[first]) | (start[some] != start[first])]
-    return doc[go], mark[go], start[go], start[go] + units[go]
+    """Of a chunk's equal stretches all but the earliest are removed whole. Several rows of one id may hold the earliest: those of
+    different texts all travel, as an earlier one elsewhere removes each of them."""
+    away = (doc[some] != doc[first]) | (start[some] != start[first])
+    copy = np.append(False, (first[1:] == first[:-1]) & (mark[some][1:] == mark[some][:-1]))[: len(some)]
+    go = some[away]
+    return (doc[go], mark[go], start[go], start[go] + units[go]), some[away | copy]
 
 
 def hashes(r: Received, i: int, j: int, window: int) -> tuple[np.ndarray, ...]:

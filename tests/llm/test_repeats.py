@@ -206,6 +206,25 @@ def test_many_rows_without_or_with_one_id(spark, same):
     assert {r.n_words for r, e in zip(got, ends, strict=True) if e} == {firsts}
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_rows_of_one_id_that_hold_a_passage_at_one_place(spark, monkeypatch, hot):
+    """Of such rows in one task none stands for the others: an earlier place in another task removes the passage in all."""
+    rng = random.Random(11)
+    passage = prose(rng, 80)
+    late = [(i % 2, prose(rng, 21) + " " + passage, "en", "s", 0) for i in range(12)]
+    early = [(i % 2, prose(rng, 20) + " " + passage, "en", "s", 0) for i in range(2)]
+    alone = [(i % 2, prose(rng, 30), "en", "s", 0) for i in range(6)]
+    monkeypatch.setattr(superwindows, "SHARE", 1 << 12 if hot else 4)
+    monkeypatch.setattr(superwindows, "CONDENSE", 500 if hot else 1 << 20)
+    rows = [*late, *late, *early, *alone]
+    tasks = [[*late, *late], [*early, *alone]]
+    df = spark.createDataFrame(spark.sparkContext.union([spark.sparkContext.parallelize(task, 1) for task in tasks]), SCHEMA)
+    found, _ = superwindows.frequent(superwindows.keyed(df, "doc_id", "text"), superwindows.Shape(True, 20, 2))
+    assert bool(len(found)) == hot
+    assert as_set(window_dedup.remove_repeated_windows(df, 20)) == sorted(map(str, brute_windows(rows, 20)))
+    assert as_set(suffix_dedup.remove_repeated_bytes(df, 100)) == sorted(map(str, brute_bytes(rows, 100)))
+
+
 def test_bytes_of_the_whole_table(spark):
     """Every row of sf0.1 against hashes of all its 400-byte windows."""
     path = "/root/testdata/sf0.1/documents.parquet"
