@@ -3,10 +3,11 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkvision.llm import suffix_dedup, superwindows, window_dedup
@@ -105,6 +106,75 @@ def test_shards_are_merged(spark, monkeypatch):
     assert whole and judged() == whole
 
 
+def stretches_of(texts, window):
+    """What one task receives if all windows have one minimiser, and the bytes that brute force removes, by text."""
+    batch = pa.RecordBatch.from_pydict({"text": texts, "doc": range(len(texts)), "mark": range(len(texts))})
+    shape = superwindows.Shape(False, window, max(1, min(32, window // 8)))
+    blobs = [x for b in superwindows.send([batch], shape, np.zeros(0, np.uint64), 1, lambda doc, mark, start, units, some, first: (tuple(x[:0] for x in (doc, mark, start, start)), some[:0])) for x in b.column(1).to_pylist() if x]
+    r = superwindows.Received(blobs, shape, every=True)
+    r.minimum = np.zeros_like(r.minimum)
+    number = Counter(t[k : k + window] for t in map(str.encode, texts) for k in range(len(t) - window + 1))
+    gone = [{k + x for k in range(len(t) - window + 1) if number[t[k : k + window]] > 1 for x in range(window)} for t in map(str.encode, texts)]
+    return r, gone
+
+
+def removed_by(r, window, n):
+    found = [set() for _ in range(n)]
+    for doc, _, lo, hi in suffix_dedup.judged(r, window):
+        for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            found[d] |= set(range(a, b))
+    return found
+
+
+def common_line(seed, n):
+    """A line that all texts hold between words of their own, and passages that some of them share."""
+    rng = random.Random(seed)
+    line, passages = prose(rng, 8), [prose(rng, 30) for _ in range(4)]
+    return [f"{prose(rng, 20)}\n{line}\n{rng.choice(passages) if rng.random() < 0.3 else prose(rng, 20)} {prose(rng, rng.randint(0, 5))}" for _ in range(n)]
+
+
+def same_few_lines(seed, n):
+    """Nothing but three lines in any order, and runs of one letter."""
+    rng = random.Random(seed)
+    lines = [prose(rng, 3) for _ in range(3)]
+    return ["\n".join(rng.choice(lines) for _ in range(rng.randint(2, 12))) for _ in range(n)] + ["q" * rng.randint(50, 400) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("texts", "window"), [(common_line, 100), (common_line, 40), (same_few_lines, 60), (same_few_lines, 30)])
+def test_large_minimisers(monkeypatch, texts, window):
+    """Dealt out anew by the next minimiser, or merged where windows hold the same few runs of bytes."""
+    monkeypatch.setattr(suffix_dedup, "SHARD", 4000)
+    for seed in range(3):
+        r, gone = stretches_of(texts(seed, 80), window)
+        assert any(gone) and removed_by(r, window, len(gone)) == gone
+
+
+def test_shards_of_one_minimiser_are_looked_up(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD", 1000)
+    monkeypatch.setattr(suffix_dedup, "TILE", 3)
+    for texts in (common_line, same_few_lines):
+        r, gone = stretches_of(texts(4, 30), 40)
+        found = [set() for _ in gone]
+        for doc, _, lo, hi in [r.merged(40), *suffix_dedup.looked_up(r, 0, len(r.minimum), 40)]:
+            for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                found[d] |= set(range(a, b))
+        assert found == gone
+
+
+def test_work_on_a_large_minimiser_follows_its_bytes(monkeypatch):
+    """A line in many texts: suffix arrays over no more than its stretches' bytes, and no pairs of shards that meet."""
+    monkeypatch.setattr(suffix_dedup, "SHARD", 10_000)
+    built, pairs = [], []
+    monkeypatch.setattr(suffix_dedup.Shard, "built", lambda self, window, f=suffix_dedup.Shard.built: built.append(len(self.buf)) or f(self, window))
+    monkeypatch.setattr(suffix_dedup, "met", lambda *a, f=suffix_dedup.met: pairs.append(1) or f(*a))
+    for n in (200, 800):
+        r, gone = stretches_of(common_line(9, n), 100)
+        assert r.size.sum() > 8 * suffix_dedup.SHARD
+        built.clear()
+        assert removed_by(r, 100, n) == gone
+        assert not pairs and sum(built) <= 2 * r.size.sum()
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(2)
     text = bytes(rng.choice(b"ab") for _ in range(300))
