@@ -175,6 +175,21 @@ def test_work_on_a_large_minimiser_follows_its_bytes(monkeypatch):
         assert not pairs and sum(built) <= 2 * r.size.sum()
 
 
+def test_a_frequent_line_at_the_query_s_window(monkeypatch):
+    """Windows of 400 bytes around a line of 4000 texts, in shards of the usual size: none is looked up in another's array."""
+    monkeypatch.setattr(suffix_dedup.Shard, "holds", lambda *a: pytest.fail("windows are looked up"))
+    rng = random.Random(3)
+    line = prose(rng, 10)
+    texts = [f"{rng.randbytes(150).hex()}\n{line}\n{rng.randbytes(150).hex()}" for _ in range(4000)]
+    texts += [t[10:] for t in texts[:50]]
+    r, _ = stretches_of(texts, 400)
+    assert r.size.sum() > 4 * suffix_dedup.SHARD
+    found = removed_by(r, 400, len(texts))
+    whole = [{*range(len(t))} for t in texts]
+    assert found[50:4000] == [set()] * 3950 and found[4000:] == whole[4000:]
+    assert found[:50] == [x - {*range(10)} for x in whole[:50]]
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(2)
     text = bytes(rng.choice(b"ab") for _ in range(300))
