@@ -1,9 +1,10 @@
 import json
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkvision.sources import video
 from sparkvision.streaming import frames, retrieval
@@ -127,3 +128,74 @@ def test_models_side_by_side(spark):
         frames.scored_by_model(rows, models, kind, {"c": lambda b: b})
     with pytest.raises(Exception, match="no model a"):
         frames.scored_by_model(rows, {"b": models["b"]}, kind).collect()
+
+
+class Store:
+    """A stream's state in memory, which notes what is asked of it."""
+
+    def __init__(self):
+        self.asked, self.kept, self.timers = [], {}, set()
+
+    def variable(self, name, schema):
+        own = self
+
+        class Variable:
+            def get(self):
+                own.asked.append(f"get {name}")
+                return own.kept.get(name)
+
+            def put(self, value):
+                own.kept[name] = value
+
+            update = put
+
+            def clear(self):
+                own.kept.pop(name)
+
+        return Variable()
+
+    getValueState = getListState = variable
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_buffer_is_read_only_where_frames_wait():
+    """A row of the buffer holds many frames; a stream without waiting frames asks for neither buffer nor timers."""
+    state = T.StructType([T.StructField(c, T.LongType()) for c in ("frame_id", "_us", "n")])
+    made, store, at = retrieval.Resequencer(["stream_id", *state.names, "arrived"], state, 5000, 0), Store(), datetime(1969, 12, 31, 23, 59, 59, 999_999, timezone.utc)
+    made.init(store)
+    given = lambda frames, watermark: [tuple(r)[1:] for r in made.handleInputRows(("s",), iter([("s", i, at + timedelta(seconds=i), n) for i, n in frames]), Watermark(watermark))]
+    assert given([(1, 7), (0, 6), (1, 8)], 0) == [(0, -1, 6, True), (1, 999_999, 7, True)]
+    assert given([(0, 9), (2, None)], 0) == [(2, 1_999_999, None, True)]
+    assert store.asked == ["get next", "get next"] and not store.timers
+    assert given([(i, i) for i in range(3000, 3, -1)], 0) == []
+    assert len(store.kept["waiting"]) == 3 and store.timers == {8999}
+    assert given([(4, 0), (2998, 0)], 8998) == [] and store.timers == {8999}
+    late = [tuple(r)[1:] for r in made.handleExpiredTimer(("s",), Watermark(8999), Watermark(8999))]
+    assert late == [(3, None, None, False), *[(i, i * 1_000_000 - 1, i, True) for i in range(4, 3001)]]
+    assert "waiting" not in store.kept and store.kept["next"] == (3001, None)
+
+
+def test_columns_of_frames_in_order(spark, tmp_path):
+    """Columns keep their places and types; microseconds, nulls and times before 1970 stay; a frame that comes twice counts once."""
+    kind, folder, got = "n int, ts timestamp, frame_id int, seen timestamp, tags array<string>, stream_id long", str(tmp_path / "in"), []
+    at = lambda s: datetime(1970, 1, 1, 0, 0, 1, 1) + timedelta(seconds=s)
+    rows = [(1, at(0), 0, at(-9), ["a", None], 5), (None, at(2), 2, None, None, 5), (3, at(2), 2, at(1), [], 5), (4, at(3), 0, at(3), ["b"], None), (5, at(400), 0, None, [], 6)]
+    spark.createDataFrame(rows[:2], kind).coalesce(1).write.parquet(f"{folder}/0")
+    spark.createDataFrame(rows[2:], kind).coalesce(1).write.parquet(f"{folder}/1")
+    stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
+    own = retrieval.in_order(stream, 60_000)
+    assert own.dtypes == [("n", "int"), ("ts", "timestamp"), ("frame_id", "bigint"), ("seen", "timestamp"), ("tags", "array<string>"), ("stream_id", "bigint"), ("arrived", "boolean")]
+    own.writeStream.foreachBatch(lambda df, k: got.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    first, gap, third = (1, at(0), 0, at(-9), ["a", None], 5, True), (None, None, 1, None, None, 5, False), (None, at(2), 2, None, None, 5, True)
+    assert [r for r in got if r[5] == 5] == [first, gap, third]
+    assert [r for r in got if r[5] != 5] == [(5, at(400), 0, None, [], 6, True)]
