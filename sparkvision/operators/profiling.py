@@ -76,38 +76,44 @@ def iteration_totals(samples: DataFrame) -> DataFrame:
 EXACT = "decimal(38,10)"
 
 
-def looked_up(samples: DataFrame, slices: DataFrame, x: str | None = None) -> DataFrame:
-    """Adds to slices (t0, t1, ...), both ends included: _first and _end, the places of the different sample times inside
-    (from _first + 1 to _end), _n, the number of samples (with `x`: of its values), and with `x` _sum. Running sums over the samples' different times
-    are looked up twice for a slice: before t0 and at t1; no sample meets a slice."""
+def summed(samples: DataFrame, slices: DataFrame, x: str | None = None) -> DataFrame:
+    """(t, kind, to_k, to_n, to_s): running sums over the samples' different times (kind 1) and the ends of slices that are looked
+    up (kind 0 for t0, 2 for t1): the number of different times, of samples (with `x`: of its values), and with `x` their sum."""
     value = F.sum(F.col(x).cast(EXACT)) if x else F.lit(0)
     times = samples.where("ts IS NOT NULL").groupBy("ts").agg(F.count(x or "*").alias("n"), value.cast(EXACT).alias("s")).select(F.col("ts").alias("t"), F.lit(1).alias("kind"), F.lit(1).alias("k"), "n", "s")
     # a look-up at t0 stands before the samples of that time, one at t1 behind them
     asked = slices.select(F.explode(F.array(F.struct(F.col("t0").alias("t"), F.lit(0).alias("kind")), F.struct(F.col("t1").alias("t"), F.lit(2).alias("kind")))).alias("a")).select("a.*").where("t IS NOT NULL").distinct()
     both = times.unionByName(asked.select("t", "kind", F.lit(0).alias("k"), F.lit(0).cast("long").alias("n"), F.lit(0).cast(EXACT).alias("s")))
-    sums = running_sums(both, ["t", "kind"], {"to_k": "k", "to_n": "n", "to_s": "s"}, cuts_of(both, "t")).where("kind <> 1")
+    return running_sums(both, ["t", "kind"], {"to_k": "k", "to_n": "n", "to_s": "s"}, cuts_of(both, "t"))
+
+
+def looked_up(samples: DataFrame, slices: DataFrame, x: str | None = None, sums: DataFrame | None = None) -> DataFrame:
+    """Adds to slices (t0, t1, ...), both ends included: _first and _end, the places of the different sample times inside
+    (from _first + 1 to _end), _n, the number of samples (with `x`: of its values), and with `x` _sum. Running sums over the samples' different times
+    are looked up twice for a slice: before t0 and at t1; no sample meets a slice. sums: as summed gives them, if they are there already."""
+    sums = summed(samples, slices, x) if sums is None else sums
     at = lambda kind, t, name: sums.where(F.col("kind") == kind).select(F.col("t").alias(t), *[F.col(f"to_{c}").alias(f"_{name}_{c}") for c in "kns"])
     own = slices.join(at(0, "t0", "a"), "t0").join(at(2, "t1", "b"), "t1").where("t0 <= t1")
     return own.select(*slices.columns, F.col("_a_k").alias("_first"), F.col("_b_k").alias("_end"), (F.col("_b_n") - F.col("_a_n")).alias("_n"), (F.col("_b_s") - F.col("_a_s")).alias("_sum"))
 
 
-#: Different times in a block of samples at most.
-MOST = 4096
+#: Different times in a block of samples at least and at most.
+LEAST, MOST = 8, 4096
 
 
 def within(samples: DataFrame, slices: DataFrame) -> DataFrame:
     """Interval join, both ends included: samples (ts, ...) with slices (t0, t1, ...). Each slice knows the places of the
     sample times that it holds. Times stand in blocks of consecutive places, of a width for each slice of 1/8 to 1/4 of its
-    times (1 to MOST), so a slice meets 9 blocks at most, or one for every MOST of its times, and compares at most 1.5 times the
-    samples that it holds if times have about as many each. Pairs are made by the last join and not shuffled. Samples go once into the blocks of each width,
-    a power of two, that a slice has."""
-    times = samples.where("ts IS NOT NULL").select(F.col("ts").alias("t"), F.lit(1).alias("k")).distinct()
-    places = running_sums(times, ["t"], {"_place": "k"}, cuts_of(times, "t")).select("_place", F.col("t").alias("ts"))
-    own = looked_up(samples, slices).where("_end > _first").drop("_n", "_sum")
-    width = F.least(F.lit(MOST), F.greatest(F.lit(1), F.pow(2.0, F.floor(F.log2(F.col("_end") - F.col("_first"))) - 2))).cast("long")
+    times (LEAST to MOST), so a slice meets 9 blocks at most, or one for every MOST of its times, and compares at most 1.5 times the
+    samples that it holds, or those of 2 * (LEAST - 1) times more, if times have about as many each. Pairs are made by the last join and not shuffled.
+    Samples go once into the blocks of each width, a power of two, that a slice has."""
+    sums = summed(samples, slices)
+    places = sums.where("kind = 1").select(F.col("to_k").alias("_place"), F.col("t").alias("ts"))
+    own = looked_up(samples, slices, sums=sums).where("_end > _first").drop("_n", "_sum")
+    width = F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.pow(2.0, F.floor(F.log2(F.col("_end") - F.col("_first"))) - 2))).cast("long")
     own = own.withColumn("_width", width)
     own = own.withColumn("_block", F.explode(F.sequence(F.floor((F.col("_first") + 1) / F.col("_width")), F.floor(F.col("_end") / F.col("_width")))))
-    widths = F.broadcast(own.select("_width").distinct())  # 13 at most
+    widths = F.broadcast(own.select("_width").distinct())  # 10 at most
     dealt = samples.join(places, "ts").crossJoin(widths).withColumn("_block", F.floor(F.col("_place") / F.col("_width"))).drop("_place")
     met = own.drop("_first", "_end").join(dealt, ["_width", "_block"]).where("ts >= t0 AND ts <= t1")
     return met.select(*slices.columns, *samples.columns)

@@ -6,7 +6,10 @@ before it, of which there are at most RANGES, are added. The cuts decide how the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 1024
@@ -19,22 +22,18 @@ def cuts_of(rows: DataFrame, order: str) -> list[float]:
     return sorted(set(found or []))
 
 
-def range_of(value: Column, cuts: list[float]) -> Column:
-    """How many cuts are at most the value: first among every root-th one, then between two of these."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, int(len(cuts) ** 0.5))
-    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    below = lambda array: F.size(F.filter(array, lambda c: c <= value))
-    block = below(F.array(*[F.lit(b[0]) for b in blocks]))
-    inside = F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), block - 1)
-    return F.when(block == 0, 0).otherwise((block - 1) * step + below(inside))
+def range_of(rows: DataFrame, order: str, cuts: list[float], name: str) -> DataFrame:
+    """Adds `name`: how many finite cuts are at most the value, by binary search."""
+    inner = [c for c in cuts if math.isfinite(c)]
+    if not inner:
+        return rows.withColumn(name, F.lit(0.0))
+    return Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol=order, outputCol=name, handleInvalid="keep").transform(rows)
 
 
 def running_sums(rows: DataFrame, order: list[str], sums: dict[str, str], cuts: list[float]) -> DataFrame:
     """Adds the columns named in `sums`: the sum of a column over all rows up to this one by `order`, whose first column the
     cuts are of. Rows that are equal in all of `order` count in any order, so they should differ."""
-    own = rows.withColumn("_range", range_of(F.col(order[0]), cuts))
+    own = range_of(rows, order[0], cuts, "_range")
     within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = own.groupBy("_range").agg(*[F.sum(c).alias(f"_all_{name}") for name, c in sums.items()])
     # a row a range; of RANGES at most
